@@ -11,6 +11,7 @@ ordinary text; every row keeps its key; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
@@ -24,6 +25,10 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a worker remembers; beyond it memory starts anew. Results don't depend on it.
 MEMORY_WORDS = 150_000
+#: "\x1c".."\x1f" are spaces here but not to the pattern; they only make the parts longer.
+_GAP = re.compile(r"(?<=\S)(?= \S)")
+#: Parts longer than this many characters are hardly ever met again.
+_LONG = 64
 _NONE = 1 << 62
 
 
@@ -88,46 +93,46 @@ def bpe(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Memory(dict):
+    """Ids by key, found out on first use and forgotten all at once when there are too many keys."""
+
+    def __init__(self, find, limit: int):
+        super().__init__()
+        self.find, self.limit = find, limit
+
+    def __missing__(self, key: str):
+        ids = self.find(key)
+        if len(key) <= _LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts with one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = MEMORY_WORDS):
-        self.ranks, self.words, self.memory = ranks, regex.compile(pattern), memory
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, w: str) -> tuple[int, ...]:
-        ids = tuple(bpe(w.encode(), self.ranks))
-        if len(self.known) >= self.memory:
-            self.known.clear()
-        self.known[w] = ids
-        return ids
+        self.ranks, self.words = ranks, regex.compile(pattern)
+        self.known = _Memory(lambda w: tuple(bpe(w.encode(), ranks)), memory)
+        self.pieces = _Memory(self._piece, memory)
+        self.spaced = _Memory(lambda p: None if not p or p[0].isspace() or p[-1].isspace() else self._piece(" " + p), memory)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        known = self.known
-        ids = tuple(chain.from_iterable(known.get(w) or self._word(w) for w in self.words.findall(piece)))
-        if len(piece) <= 64:
-            if len(self.pieces) >= self.memory:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        return tuple(chain.from_iterable(map(self.known.__getitem__, self.words.findall(piece))))
+
+    def parts(self, text: str) -> list[tuple[int, ...]]:
+        """Ids of the parts of a text. A single space between two visible characters always begins a word, so a
+        text may be split there; other spaces stay within a part."""
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            got = list(map(self.spaced.__getitem__, rest))
+            if None not in got:
+                return [self.pieces[first], *got]
+        return list(map(self.pieces.__getitem__, _GAP.split(text)))
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a text. A single space between two visible characters always begins a word, so texts part there."""
-        parts, get, out = text.split(" "), self.pieces.get, []
-        add = out.extend
-        whole, last = parts[0], parts[0][-1:].isspace()
-        for p in parts[1:]:
-            # "\x1c".."\x1f" are spaces to str but not to the pattern; they only make pieces longer
-            if p and whole and not last and not p[0].isspace():
-                add(get(whole) or self._piece(whole))
-                whole = " " + p
-            else:
-                whole += " " + p
-            last = not p or p[-1].isspace()
-        if whole:
-            add(get(whole) or self._piece(whole))
-        return out
+        return list(chain.from_iterable(self.parts(text)))
 
 
 @lru_cache(maxsize=4)
@@ -142,15 +147,14 @@ def encode_corpus(docs: DataFrame, vocabulary: str | Path, key: str = "doc_id",
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        encode = _encoder(shipped.value, pattern).encode
+        parts = _encoder(shipped.value, pattern).parts
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [encode(t) if t else () for t in part.column(1).to_pylist()]
+                ids = [np.fromiter(chain.from_iterable(parts(t)) if t else (), np.int32) for t in part.column(1).to_pylist()]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, count=int(offsets[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, ids array<int>")
