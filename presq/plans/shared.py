@@ -79,3 +79,8 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, rows
     """df with a broadcast hint if its counted rows at row_bytes each stay below limit, else df: the join then shuffles."""
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes that the optimiser expects df to hold; for a scan, the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
