@@ -29,6 +29,15 @@ win as (select distinct doc_id, array_to_string(w[i:i+12], ' ') as g from (selec
 leak as (select distinct doc_id, item_id from win join gram using (g))
 """
 
+_SPANS = """with d as (select doc_id, text, length(text) as n from documents where text is not null and length(text) >= 160),
+w as (select doc_id, i, hash(substr(text, i + 1, 160)) as h, md5(substr(text, i + 1, 160)) as m from (select doc_id, text, unnest(range(0, n - 159)) as i from d)),
+rep as (select h, m from w group by h, m having min(doc_id) <> max(doc_id)),
+pos as (select w.doc_id, w.i from w semi join rep on w.h = rep.h and w.m = rep.m),
+step as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 160 then 0 else 1 end as fresh from pos),
+isle as (select *, sum(fresh) over (partition by doc_id order by i) as k from step),
+span as (select doc_id, min(i)::int as span_start, (max(i) + 160)::int as span_end from isle group by doc_id, k)
+"""
+
 ORACLE: dict[str, str] = {
     "p2_found": _GROUPS + "select guid, group_id from grp",
     "p2_group_sizes": _GROUPS + "select group_id, count(*)::bigint as members from grp group by group_id",
@@ -36,5 +45,10 @@ ORACLE: dict[str, str] = {
     "p5_term_counts": _TERMS + "select allele, n_rows, n_samples, mark from m",
     "p7_found": _LEAKS + "select doc_id, item_id from leak",
     "p7_leaked_items": _LEAKS + "select item_id, count(*)::bigint as n_docs from leak group by item_id",
+    "p8_found": _SPANS + "select doc_id, span_start, span_end from span",
+    "p8_shared_share": _SPANS
+    + """select documents.doc_id, coalesce(any_value(length(text)), 0)::int as n_chars, count(span_start)::bigint as n_spans,
+  coalesce(sum(span_end - span_start), 0)::bigint as shared_chars
+from documents left join span on span.doc_id = documents.doc_id group by documents.doc_id""",
     "p7_clean_corpus": _LEAKS + "select doc_id, lang, source from documents where doc_id not in (select doc_id from leak)",
 }

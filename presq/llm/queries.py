@@ -14,6 +14,7 @@ from presq.functions.text import norm
 from presq.llm.bpe import encode_corpus
 from presq.llm.components import components, group_sizes
 from presq.llm.leakage import leaked_items, leaks, without_leaks
+from presq.llm.spans import shared_share, shared_spans
 from presq.llm.termcount import marked_terms
 from presq.plans.tables import cells, table
 
@@ -77,6 +78,15 @@ def p7_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(docs, leaks(docs, table(spark, d, "eval_items"))).select("doc_id", "lang", "source")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "documents"))
+
+
+def p8_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return shared_share(docs, shared_spans(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
@@ -86,4 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
     "p7_clean_corpus": p7_clean_corpus,
+    "p8_found": p8_found,
+    "p8_shared_share": p8_shared_share,
 }
