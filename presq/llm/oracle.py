@@ -38,9 +38,28 @@ isle as (select *, sum(fresh) over (partition by doc_id order by i) as k from st
 span as (select doc_id, min(i)::int as span_start, (max(i) + 160)::int as span_end from isle group by doc_id, k)
 """
 
+_PAIRS = f"""with s as (select g as id, a, 0 as kind from ({_CELLS}) union all
+  select distinct strain_id, upper(trim(a)), 1 from (select strain_id, unnest(alleles) as a from strains) where a is not null),
+n as (select id, kind, count(*) as n from s group by id, kind),
+o as (select x.id as ia, y.id as ib, x.kind as ka, y.kind as kb, count(*) as o from s x join s y on x.a = y.a and x.id < y.id and x.kind + y.kind < 2 group by all)
+select ia as id_a, ib as id_b from o join n na on na.id = ia and na.kind = ka join n nb on nb.id = ib and nb.kind = kb
+where o * 10 >= 7 * (na.n + nb.n - o)"""
+
+_NEAR = """with v as (select upper(trim(guid)) as g, min(profile) as p from profiles
+  where guid is not null and len(profile) = 64 and len([x for x in profile if x is null or isnan(x) or isinf(x)]) = 0
+  and len([x for x in profile if x <> 0]) > 0 group by 1),
+u as (select g, p::double[64] as p from v),
+c as (select x.g as guid, y.g as neighbour, array_cosine_similarity(x.p, y.p) as sim from u x join u y on x.g <> y.g),
+r as (select *, row_number() over (partition by guid order by round(sim, 12) desc, neighbour) as r from c),
+near as (select guid, neighbour from r where r <= 5 and sim >= 0.9)
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _PAIRS,
     "p2_found": _GROUPS + "select guid, group_id from grp",
     "p2_group_sizes": _GROUPS + "select group_id, count(*)::bigint as members from grp group by group_id",
+    "p3_found": _NEAR + "select distinct least(guid, neighbour) as guid_a, greatest(guid, neighbour) as guid_b from near",
+    "p3_neighbours": _NEAR + "select guid, neighbour from near",
     "p5_found": _TERMS + "select allele, mark from m where mark is not null",
     "p5_term_counts": _TERMS + "select allele, n_rows, n_samples, mark from m",
     "p7_found": _LEAKS + "select doc_id, item_id from leak",

@@ -14,6 +14,9 @@ from presq.functions.text import norm
 from presq.llm.bpe import encode_corpus
 from presq.llm.components import components, group_sizes
 from presq.llm.leakage import leaked_items, leaks, without_leaks
+from presq.llm.neighbours import nearest
+from presq.llm.overlap import similar_pairs
+from presq.llm.sets import token_sets
 from presq.llm.spans import shared_share, shared_spans
 from presq.llm.termcount import marked_terms
 from presq.plans.tables import cells, table
@@ -30,6 +33,15 @@ def _vocabulary() -> Path:
     return Path(folder) / "byte_bpe_50k.tiktoken"
 
 
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return token_sets(cells(table(spark, d, "presence")).select(F.col("guid").alias("rec"), F.col("allele").alias("term")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    strains = table(spark, d, "strains").select(F.col("strain_id").alias("rec"), F.explode("alleles").alias("a")).select("rec", norm("a").alias("term"))
+    return similar_pairs(_samples(spark, d).union(token_sets(strains, kind=1)), "7/10")
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "match_results").where((F.col("distance") <= MATCH_DISTANCE) & F.col("guid_a").isNotNull() & F.col("guid_b").isNotNull())
     links = m.select(norm("guid_a").alias("a"), norm("guid_b").alias("b"))
@@ -44,6 +56,16 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return group_sizes(_groups(spark, d))
 
 
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "profiles").select(norm("guid").alias("id"), F.col("profile").alias("vec"))
+    return nearest(vectors, width=64, k=5, min_similarity=0.9).select(F.col("id").alias("guid"), F.col("other").alias("neighbour"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p3_neighbours(spark, d)
+    return near.select(F.least("guid", "neighbour").alias("guid_a"), F.greatest("guid", "neighbour").alias("guid_b")).distinct()
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     rows = cells(table(spark, d, "presence")).select(F.col("allele").alias("term"), F.col("guid").alias("rec"))
     return marked_terms(rows, table(spark, d, "alleles").select(norm("allele").alias("term")))
@@ -88,8 +110,11 @@ def p8_shared_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
     "p5_term_counts": p5_term_counts,
     "p6_ids": p6_ids,
