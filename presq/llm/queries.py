@@ -14,6 +14,7 @@ from presq.functions.text import norm
 from presq.llm.bpe import encode_corpus
 from presq.llm.components import components, group_sizes
 from presq.llm.leakage import leaked_items, leaks, without_leaks
+from presq.llm.lineages import clusters, described
 from presq.llm.neighbours import nearest
 from presq.llm.overlap import similar_pairs
 from presq.llm.sets import token_sets
@@ -66,6 +67,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("guid", "neighbour").alias("guid_a"), F.greatest("guid", "neighbour").alias("guid_b")).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters(_samples(spark, d), "15/100")[0].select(F.col("id").alias("guid"), "cluster_id")
+
+
+def p4_described(spark: SparkSession, d: str) -> DataFrame:
+    return described(clusters(_samples(spark, d), "15/100")[0])
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     rows = cells(table(spark, d, "presence")).select(F.col("allele").alias("term"), F.col("guid").alias("rec"))
     return marked_terms(rows, table(spark, d, "alleles").select(norm("allele").alias("term")))
@@ -115,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_group_sizes": p2_group_sizes,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p4_found": p4_found,
+    "p4_described": p4_described,
     "p5_found": p5_found,
     "p5_term_counts": p5_term_counts,
     "p6_ids": p6_ids,
