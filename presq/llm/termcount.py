@@ -12,13 +12,15 @@ table gives zero counts; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from presq.plans.shared import materialize, shuffle_partitions
+from presq.plans.shared import materialize, shared_folder, shuffle_partitions
 
 #: Rows that one task aggregates at most; larger radix partitions are split.
 PART_ROWS = 2_000_000
@@ -55,30 +57,49 @@ def _radix(cells: DataFrame, part_rows: int) -> list[tuple[int, int, int]]:
         depth += MORE_BITS
 
 
-def _aggregate(batches):
-    """DuckDB over one radix partition, in a database file of the task so that it may spill."""
-    import duckdb
-
-    first = next(batches, None)
-    if first is None:
-        return
-    with tempfile.TemporaryDirectory() as d:
-        con = duckdb.connect(f"{d}/part.db", config={"memory_limit": DUCKDB_MEMORY, "threads": "1", "temp_directory": d})
-        con.execute("create table part (term varchar, rec varchar, n bigint)")
-        held, size = [first], first.num_rows
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= 500_000:
-                t = pa.Table.from_batches(held)
+def _aggregate(scratch: str | None):
+    """DuckDB over one radix partition, in a database file of the task below scratch, where it spills; in memory without one."""
+
+    def run(batches):
+        import duckdb
+
+        first = next(batches, None)
+        if first is None:
+            return
+        folder = tempfile.mkdtemp(prefix="radix-", dir=scratch) if scratch else None
+        try:
+            config = {"memory_limit": DUCKDB_MEMORY, "threads": "1", "temp_directory": folder} if folder else {"threads": "1"}
+            con = duckdb.connect(f"{folder}/part.db" if folder else ":memory:", config=config)
+            con.execute("create table part (term varchar, rec varchar, n bigint)")
+            held, size = [first], first.num_rows
+            for b in batches:
+                held.append(b)
+                size += b.num_rows
+                if size >= 500_000:
+                    t = pa.Table.from_batches(held)
+                    con.execute("insert into part select term, rec, n from t")
+                    held, size = [], 0
+            if held:
+                t = pa.Table.from_batches(held)  # noqa: F841
                 con.execute("insert into part select term, rec, n from t")
-                held, size = [], 0
-        if held:
-            t = pa.Table.from_batches(held)  # noqa: F841
-            con.execute("insert into part select term, rec, n from t")
-        got = con.execute("select term, sum(n)::bigint as n_rows, count(distinct rec)::bigint as n_records from part group by term").fetch_arrow_table()
-        yield from got.cast(pa.schema([("term", pa.string()), ("n_rows", pa.int64()), ("n_records", pa.int64())])).to_batches(max_chunksize=20_000)
-        con.close()
+            got = con.sql("select term, sum(n)::bigint as n_rows, count(distinct rec)::bigint as n_records from part group by term").to_arrow_table()
+            yield from got.cast(pa.schema([("term", pa.string()), ("n_rows", pa.int64()), ("n_records", pa.int64())])).to_batches(max_chunksize=20_000)
+            con.close()
+        finally:
+            if folder:
+                shutil.rmtree(folder, ignore_errors=True)
+
+    return run
+
+
+def _scratch(spark) -> str | None:
+    """The shared folder as a path that tasks can open, if it's a file system's."""
+    folder = shared_folder(spark)
+    path = folder.removeprefix("file:") if folder.startswith("file:") else folder if "://" not in folder else None
+    if path is not None:
+        path = "/" + path.lstrip("/")
+        os.makedirs(path, exist_ok=True)
+    return path
 
 
 def term_counts(rows: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +126,7 @@ def term_counts(rows: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame,
             pick = F.when(F.col(f"b{d}").isNotNull(), F.xxhash64(F.col(f"k{d}"), F.lit(d), rec)).otherwise(pick)
         part = keyed.withColumn("part", pick)
     n = max(min(len(leaves), 1 << FIRST_BITS, shuffle_partitions(spark)), len(leaves) if split else 1, 1)
-    counts = part.select("term", "rec", "n", "part").repartition(n, "part").select("term", "rec", "n").mapInArrow(_aggregate, "term string, n_rows long, n_records long")
+    counts = part.select("term", "rec", "n", "part").repartition(n, "part").select("term", "rec", "n").mapInArrow(_aggregate(_scratch(spark)), "term string, n_rows long, n_records long")
     if any(b for _, _, b in leaves):
         counts = counts.groupBy("term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))
     return counts, cells
