@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presq.plans.shared import materialize, partitions_for
+from presq.plans.shared import materialize
 
 DIMENSIONS = 8
 CONFIDENCE = 0.9995
 CELL_ROWS = 20_000
-LEAF = 48
+LEAF = 32
+#: Queries searched together, and leaves they visit between two tests.
+GROUP = 64
+AT_ONCE = 8
 #: Rows that the cells are laid out on: a bound of the sample alone, every row is indexed.
 LAYOUT_ROWS = 20_000
 SEED = 20240229
@@ -136,40 +139,47 @@ def search(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.nda
     leaves = _leaves(p, LEAF)
     low = np.stack([p[r].min(0) for r in leaves])
     high = np.stack([p[r].max(0) for r in leaves])
+    place = np.concatenate(leaves)  # rows of a leaf lie together
+    ends = np.cumsum([len(r) for r in leaves])
+    begins = ends - [len(r) for r in leaves]
+    rows_of, ids_of = index[place], ids[place]
+    none = np.iinfo(np.int64).max
     best = np.full((len(queries), k), -2.0)
-    where = np.full((len(queries), k), np.iinfo(np.int64).max)
-    for begin in range(0, len(queries), 2048):
-        part = slice(begin, begin + 2048)
-        qq = q[part]
-        gap = np.zeros((len(qq), len(leaves)))
+    where = np.full((len(queries), k), none)
+    for group in _leaves(q, GROUP):
+        # queries of a group lie together, so they visit leaves in about the same order
+        qq, vv, own, b, w = q[group], queries[group], qids[group], best[group], where[group]
+        gap = np.zeros((len(group), len(leaves)))
         for d in range(q.shape[1]):
             x = qq[:, d : d + 1]
             g = np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0)
             gap += g * g
-        order = np.argsort(gap, axis=1, kind="stable")
-        limit = bound[part].copy()
-        alive = np.arange(len(qq))
-        for step in range(len(leaves)):
-            nxt = order[alive, step]
-            go = gap[alive, nxt] <= factor * limit[alive] + 1e-12
-            alive, nxt = alive[go], nxt[go]
-            if not len(alive):
+        limit = bound[group].copy()
+        least = np.full(len(group), floor)  # a candidate below this changes nothing
+        left = np.argsort(gap.min(0), kind="stable")
+        while len(left):
+            need = gap[:, left] <= factor * limit[:, None] + 1e-12
+            left = left[need.any(0)]
+            now, left = left[:AT_ONCE], left[AT_ONCE:]
+            if not len(now):
                 break
-            by = np.argsort(nxt, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, nxt[by][1:] != nxt[by][:-1]])
-            for c, e in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
-                rows = alive[by[c:e]]
-                cand = leaves[nxt[by[c]]]
-                sim = queries[begin + rows] @ index[cand].T
-                pos = np.broadcast_to(cand, sim.shape).copy()
-                own = ids[cand][None, :] == qids[begin + rows][:, None]
-                sim[own] = -2.0
-                sim[sim < floor] = -2.0
-                pos[sim == -2.0] = np.iinfo(np.int64).max
-                s, w = _top(np.hstack([best[begin + rows], sim]), np.hstack([where[begin + rows], pos]), k)
-                best[begin + rows], where[begin + rows] = s, w
-                full = s[:, -1] > -2.0
-                limit[rows[full]] = np.minimum(limit[rows[full]], 2 - 2 * s[full, -1])
+            rows = np.flatnonzero((gap[:, now] <= factor * limit[:, None] + 1e-12).any(1))
+            at = np.concatenate([np.arange(begins[x], ends[x]) for x in now.tolist()])
+            sim = vv[rows] @ rows_of[at].T
+            good = (sim >= least[rows][:, None]) & (ids_of[at][None, :] != own[rows][:, None])
+            hit = np.flatnonzero(good.any(1))
+            if not len(hit):
+                continue
+            rows, good = rows[hit], good[hit]
+            cols = np.flatnonzero(good.any(0))
+            new = np.where(good[:, cols], sim[np.ix_(hit, cols)], -2.0)
+            pos = np.where(good[:, cols], place[at[cols]][None, :], none)
+            s, w[rows] = _top(np.hstack([b[rows], new]), np.hstack([w[rows], pos]), k)
+            b[rows] = s
+            full = rows[s[:, -1] > -2.0]
+            least[full] = np.maximum(least[full], b[full, -1] - 1e-12)
+            limit[full] = np.minimum(limit[full], 2 - 2 * b[full, -1])
+        best[group], where[group] = b, w
     where[best == -2.0] = -1
     return best, where
 
@@ -276,13 +286,13 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
             r, j = np.nonzero(where >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(list(rep[q[r]]), pa.string()), pa.array(list(rep[at[where[r, j]]]), pa.string()), pa.array(best[r, j])], names=["rep", "other", "sim"])
 
-    parts = partitions_for(spark, len(cells), 1)
+    parts = len(cells)
     placed = points.mapInArrow(place, _CELL_SCHEMA)
-    first = materialize(placed.repartition(parts, "cell").mapInArrow(local, "rep string, other string, sim double, cell int, bound double"), "p3-local")
+    first = materialize(placed.repartitionById(parts, F.col("cell")).mapInArrow(local, "rep string, other string, sim double, cell int, bound double"), "p3-local")
     hits = first.where(F.col("other").isNotNull()).select("rep", "other", "sim")
     if len(cells) > 1:
         visits = first.where(F.col("cell").isNotNull()).select("cell", "rep", "bound").join(points, "rep").select("cell", "rep", "vec", "bound", F.lit(1).cast("byte").alias("role"))
-        hits = hits.union(placed.union(visits).repartition(parts, "cell").mapInArrow(remote, _HIT_SCHEMA))
+        hits = hits.union(placed.union(visits).repartitionById(parts, F.col("cell")).mapInArrow(remote, _HIT_SCHEMA))
     # classes: own copies and the least ids of the neighbours', best k + 1 of them; each member takes k others
     best = hits.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc(F.round("sim", 12)), "other"))).where(F.col("r") <= k)
     least = few.select(F.col("rep").alias("other"), "least")
