@@ -28,6 +28,8 @@ BATCH_CHARS = 2_000_000
 #: A first-level window with more differing surroundings than this within a batch skips the middle levels.
 BATCH_HOT = 64
 TASK_ROWS = 1_500_000
+#: The optimiser's size of what it can't tell is beyond this.
+UNKNOWN = 1 << 60
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 FULL, DONE, OPEN, GIVER, HOT = 0, 1, 2, 3, 4
@@ -339,7 +341,10 @@ def shared_spans(docs: DataFrame, length: int = 160, key: str = "doc_id", text:
     spark, k = docs.sparkSession, length // 4
     long_enough = docs.where(F.col(key).isNotNull() & (F.length(text) >= length)).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     # about one window in (length - k + 2) / 2 characters is picked; files hold texts at a third of their size
-    picked = 3 * scan_bytes(docs) * 2 // (length - k + 2)
+    chars = 3 * scan_bytes(docs)
+    if chars >= UNKNOWN:
+        chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    picked = chars * 2 // (length - k + 2)
     n = partitions_for(spark, picked, task_rows)
     first = long_enough.mapInArrow(_picker(length, k, batch_hot), _PICK_SCHEMA)
     ranges = materialize(first.repartition(n, "key").mapInArrow(_narrow(length, k), _RANGE_SCHEMA), "p8-ranges")
