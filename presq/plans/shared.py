@@ -23,7 +23,6 @@ def shared_folder(spark: SparkSession) -> str:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="presq-")
-            spark.conf.set("spark.checkpoint.dir", root)
         _runs[app] = f"{root.rstrip('/')}/presq-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _runs[app])
     return _runs[app]
