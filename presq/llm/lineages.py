@@ -3,13 +3,16 @@
 Method: power-iteration spectral clustering. Each record is linked to a few hubs it shares most tokens with; the
 similarities of the links that reach the threshold form a sparse affinity matrix, which is normalised by its row
 sums. Several vectors of random start values are iterated with it, which makes them nearly constant within a cluster
-and different between clusters; k-means on the resulting embedding gives groups, and members are ranked by their
-internal affinity, the sum of affinities within their group. The first of each group describes it.
+and different between clusters; k-means on the resulting embedding gives groups, whose first members, those of the
+greatest sum of links within their group, stand for them.
 
 An exact check follows, as k-means may cut or join clusters: groups whose first members reach the threshold are
 joined, a record stays only where it reaches the threshold to its group's first member or else to another's, and
 records that reach none are clustered among themselves. Similarity is taken to be transitive at the threshold.
 
+Members of the final clusters are ranked by their internal affinity, the sum of their similarities to all other members,
+copies included. It is exact: every pair of unequal sets within a cluster is compared, in blocks of BLOCK records.
+
 Links are linear in the data (no pairs within a token's records), equal sets are one vertex, and what is broadcast
 are the first members of at most GROUPS groups.
 Defined cases: as for sets in general; a record similar to no other is its own cluster; empty tables give no rows.
@@ -40,6 +43,8 @@ ITERATIONS = 8
 HUBS = 3
 #: More records than this that fit no group are clustered by another round instead of pair by pair.
 REST = 50_000
+#: Records of one cluster that are compared with as many others in one task.
+BLOCK = 8000
 SEED = 7
 
 
@@ -155,8 +160,84 @@ def _checked(points: DataFrame, grouped: DataFrame, firsts: list, threshold: flo
     return points.join(grouped.select("num", "grp"), "num").select("num", "grp", "tokens").mapInArrow(run, "num long, cluster int")
 
 
-def clusters(sets: DataFrame, threshold: str = "15/100", k: int = GROUPS, rest_rows: int = REST) -> tuple[DataFrame, DataFrame]:
-    """(id, cluster_id, affinity) of sets(id, kind, tokens), and the table of sets; cluster_id is the cluster's least id."""
+def _columns(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and flat tokens of a column of lists."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.r_[0, np.cumsum(lengths)], lists.flatten().to_numpy()
+
+
+def _similarity_sums(a, b, wa: np.ndarray, wb: np.ndarray, slab: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of a the sum of its similarities to the sets of b weighted by wb, and the same for b with wa.
+
+    Tokens that many of the sets hold are counted by a matrix product, the others by inverted lists.
+    """
+    (oa, fa), (ob, fb) = a, b
+    na, nb = len(oa) - 1, len(ob) - 1
+    _, number, count = np.unique(np.r_[fa, fb], return_inverse=True, return_counts=True)
+    many = count * 16 >= na + nb
+    column = np.cumsum(many) - 1
+    ta, tb = number[: len(fa)], number[len(fa) :]
+    ra, rb = np.repeat(np.arange(na), np.diff(oa)), np.repeat(np.arange(nb), np.diff(ob))
+    dense = np.zeros((nb, int(many.sum())), np.float32)
+    dense[rb[many[tb]], column[tb[many[tb]]]] = 1
+    order = np.argsort(tb, kind="stable")
+    listed, begin = rb[order], np.r_[0, np.cumsum(np.bincount(tb, minlength=len(count)))]
+    size_a, size_b = np.diff(oa), np.diff(ob)
+    sum_a, sum_b = np.zeros(na), np.zeros(nb)
+    for s in range(0, na, slab):
+        e = min(s + slab, na)
+        t, r = ta[oa[s] : oa[e]], ra[oa[s] : oa[e]] - s
+        hot = many[t]
+        rows = np.zeros((e - s, dense.shape[1]), np.float32)
+        rows[r[hot], column[t[hot]]] = 1
+        common = (rows @ dense.T).astype(np.float64)
+        t, r = t[~hot], r[~hot]
+        c = begin[t + 1] - begin[t]
+        at = np.repeat(begin[t], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        common += np.bincount(np.repeat(r, c) * nb + listed[at], minlength=(e - s) * nb).reshape(e - s, nb)
+        near = common / (size_a[s:e, None] + size_b[None, :] - common)
+        sum_a[s:e] = near @ wb
+        sum_b += wa[s:e] @ near
+    return sum_a, sum_b
+
+
+def _block_sums(key: tuple, table: pa.Table) -> pa.Table:
+    """(num, s) of the records of one block of a cluster, or of two different ones, compared with each other."""
+    part = table["part"].to_numpy()
+    sides = [table.filter(pa.array(part == p.as_py())).combine_chunks() for p in dict.fromkeys(key[1:])]
+    lists = [_columns(t["tokens"].combine_chunks()) for t in sides]
+    w = [t["w"].to_numpy().astype(np.float64) for t in sides]
+    if len(sides) == 1:
+        sums = [_similarity_sums(lists[0], lists[0], w[0], w[0])[0]]
+    elif all(t.num_rows for t in sides):
+        sums = _similarity_sums(*lists, *w)
+    else:
+        sums = [np.zeros(t.num_rows) for t in sides]  # one block is empty
+    return pa.table({"num": np.concatenate([t["num"].to_numpy() for t in sides]), "s": np.concatenate(sums)})
+
+
+def internal_affinity(labelled: DataFrame, points: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(num, affinity): the sum of a record's similarities to all other members of its cluster, by labelled(num, cluster_id).
+
+    members are the copies of equal sets, which count one by one. Each block of a cluster meets each other one in a
+    task of its own, so no task holds more than two blocks.
+    """
+    copies = members.groupBy(F.xxhash64("rep").alias("num")).agg(F.count("*").alias("w"))
+    parts = labelled.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = labelled.select("num", "cluster_id").join(parts, "cluster_id").join(copies, "num", "left").join(points.select("num", "tokens"), "num")
+    own = own.withColumn("part", F.pmod(F.xxhash64("num", F.lit(SEED)), F.col("parts")).cast("int")).withColumn("w", F.coalesce("w", F.lit(1).cast("long")))
+    met = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("cluster_id", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "num", "part", "w", "tokens")
+    both = met.groupBy("cluster_id", "i", "j").applyInArrow(_block_sums, "num long, s double")
+    # its similarity to itself is 1; rounded, as the order of addition varies
+    return both.groupBy("num").agg(F.round(F.sum("s") - 1, 9).alias("affinity"))
+
+
+def clusters(sets: DataFrame, threshold: str = "15/100", k: int = GROUPS, rest_rows: int = REST, affinity: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster_id, affinity) of sets(id, kind, tokens), and the table of sets; cluster_id is the cluster's least id.
+
+    Without affinity that column, and the comparison of all members that it takes, is left out.
+    """
     t = Fraction(threshold)
     sets = materialize(sets.where(F.size("tokens") > 0), "p4-sets")
     reps, members = classes(sets, "p4-members")
@@ -186,11 +267,15 @@ def clusters(sets: DataFrame, threshold: str = "15/100", k: int = GROUPS, rest_r
     labels = parts[0]
     for p in parts[1:]:
         labels = labels.union(p)
-    labelled = materialize(points.select("num", "id").join(labels, "num").select(F.col("id").alias("rep"), "label", "affinity"), "p4-labels")
+    labelled = materialize(points.select("num", "id").join(labels, "num").select("num", F.col("id").alias("rep"), "label"), "p4-labels")
     least = labelled.groupBy("label").agg(F.min("rep").alias("cluster_id"))
     named = labelled.join(least, "label")
+    extra = []
+    if affinity:
+        named, extra = materialize(named.select("num", "rep", "cluster_id"), "p4-named"), ["affinity"]
+        named = named.join(internal_affinity(named, points, members), "num")
     twin = members.select("rep", "id")
-    return named.join(twin, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "cluster_id", "affinity"), sets
+    return named.join(twin, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "cluster_id", *extra), sets
 
 
 def described(clustered: DataFrame, top: int = 3) -> DataFrame:

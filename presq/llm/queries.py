@@ -68,7 +68,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return clusters(_samples(spark, d), "15/100")[0].select(F.col("id").alias("guid"), "cluster_id")
+    return clusters(_samples(spark, d), "15/100", affinity=False)[0].select(F.col("id").alias("guid"), "cluster_id")
 
 
 def p4_described(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -74,6 +75,28 @@ def test_clusters(spark, options):
     assert about["tiny1"].size == 2
 
 
+def most_typical(sets, members, top):
+    """By the sum of similarities to all other members, as fractions; ties by id."""
+    sums = {x: sum(Fraction(*jaccard(sets[x], sets[y])) for y in members if y != x) for x in members}
+    return sorted(members, key=lambda x: (-sums[x], x))[:top]
+
+
+def test_typical_members(spark, monkeypatch):
+    import presq.llm.lineages as lineages
+
+    monkeypatch.setattr(lineages.internal_affinity, "__defaults__", (5,))  # several blocks to a cluster
+    sets = records(seed=4, each=8)
+    sets |= {f"Copy-{i}": set(sets["R1-3"]) for i in range(4)}
+    found, _ = clusters(token_sets(rows(spark, sets)), "15/100")
+    found = found.persist()
+    about = {r.cluster_id: r for r in described(found, 3).collect()}
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.cluster_id, []).append(r.id)
+    assert {len(m) for m in by.values()} >= {8, 10, 12}
+    assert {c: (r.size, list(r.typical)) for c, r in about.items()} == {c: (len(m), most_typical(sets, m, 3)) for c, m in by.items()}
+
+
 def test_clusters_of_nothing(spark):
     found, _ = clusters(token_sets(spark.createDataFrame([], "rec string, term string")))
     assert found.count() == 0
