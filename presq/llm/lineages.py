@@ -252,7 +252,7 @@ def clusters(sets: DataFrame, threshold: str = "15/100", k: int = GROUPS, rest_r
         firsts = first.join(left, "num").select("grp", "num", "tokens").collect()  # at most k rows
         fit = materialize(_checked(left, grouped, firsts, float(t)), "p4-checked")
         name = F.concat(F.lit(f"{turn}-"), F.col("cluster").cast("string"))
-        parts.append(fit.where(F.col("cluster").isNotNull()).join(rank, "num").select("num", name.alias("label"), "affinity"))
+        parts.append(fit.where(F.col("cluster").isNotNull()).select("num", name.alias("label")))
         left = materialize(left.join(fit.where(F.col("cluster").isNull()).select("num"), "num", "left_semi"), "p4-rest")
         before, n, turn = n, left.count(), turn + 1
         if n and (n <= rest_rows or n > 0.8 * before):
@@ -260,7 +260,7 @@ def clusters(sets: DataFrame, threshold: str = "15/100", k: int = GROUPS, rest_r
             alone = left.select(F.col("id"), F.lit(0).cast("byte").alias("kind"), "tokens")
             pairs = similar_pairs(alone, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
             named = components(pairs, alone.select("id")).select("id", F.concat(F.lit("rest-"), "group_id").alias("label"))
-            parts.append(left.select("num", "id").join(named, "id").select("num", "label", F.lit(0.0).alias("affinity")))
+            parts.append(left.select("num", "id").join(named, "id").select("num", "label"))
             break
     if not parts:
         return sets.sparkSession.createDataFrame([], "id string, cluster_id string, affinity double"), sets

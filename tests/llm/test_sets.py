@@ -81,13 +81,14 @@ def most_typical(sets, members, top):
     return sorted(members, key=lambda x: (-sums[x], x))[:top]
 
 
-def test_typical_members(spark, monkeypatch):
+@pytest.mark.parametrize("options", [{}, {"k": 2, "rest_rows": 10**6}])  # two first members: most clusters are found pair by pair
+def test_typical_members(spark, monkeypatch, options):
     import presq.llm.lineages as lineages
 
     monkeypatch.setattr(lineages.internal_affinity, "__defaults__", (5,))  # several blocks to a cluster
     sets = records(seed=4, each=8)
     sets |= {f"Copy-{i}": set(sets["R1-3"]) for i in range(4)}
-    found, _ = clusters(token_sets(rows(spark, sets)), "15/100")
+    found, _ = clusters(token_sets(rows(spark, sets)), "15/100", **options)
     found = found.persist()
     about = {r.cluster_id: r for r in described(found, 3).collect()}
     by = {}
