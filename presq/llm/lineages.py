@@ -41,8 +41,10 @@ VECTORS = 6
 ITERATIONS = 8
 #: Hubs kept per record, those that it shares most tokens with: the sparsity of the affinity matrix.
 HUBS = 3
-#: More records than this that fit no group are clustered by another round instead of pair by pair.
-REST = 50_000
+#: Records that fit no group are clustered by further rounds while each leaves at most this share of its records; the
+#: remainder, or REST records at most, pair by pair.
+LEFT = 0.8
+REST = 0
 #: Records of one cluster that are compared with as many others in one task.
 BLOCK = 8000
 SEED = 7
@@ -255,8 +257,8 @@ def clusters(sets: DataFrame, threshold: str = "15/100", k: int = GROUPS, rest_r
         parts.append(fit.where(F.col("cluster").isNotNull()).select("num", name.alias("label")))
         left = materialize(left.join(fit.where(F.col("cluster").isNull()).select("num"), "num", "left_semi"), "p4-rest")
         before, n, turn = n, left.count(), turn + 1
-        if n and (n <= rest_rows or n > 0.8 * before):
-            # few are left, or many that are alike to few: exact pairs among them alone
+        if n and (n <= rest_rows or n > LEFT * before):
+            # the last round made no progress, as most are alike to few: exact pairs among them alone
             alone = left.select(F.col("id"), F.lit(0).cast("byte").alias("kind"), "tokens")
             pairs = similar_pairs(alone, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
             named = components(pairs, alone.select("id")).select("id", F.concat(F.lit("rest-"), "group_id").alias("label"))

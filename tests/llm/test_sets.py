@@ -98,6 +98,17 @@ def test_typical_members(spark, monkeypatch, options):
     assert {c: (r.size, list(r.typical)) for c, r in about.items()} == {c: (len(m), most_typical(sets, m, 3)) for c, m in by.items()}
 
 
+def test_rounds_go_on_while_they_label(spark, monkeypatch):
+    import presq.llm.lineages as lineages
+
+    seen, real = [], lineages.power_vectors
+    monkeypatch.setattr(lineages, "power_vectors", lambda left, links, **k: seen.append(left.count()) or real(left, links, **k))
+    sets = {f"{f}-{k}": {f"t{f}.{i}" for i in range(20)} | {f"own{f}.{k}"} for f in "abcdef" for k in range(3)}
+    found, _ = clusters(token_sets(rows(spark, sets)), "15/100", k=3)
+    assert {r.id: r.cluster_id for r in found.collect()} == {x: f"{x[0]}-0" for x in sets}
+    assert len(seen) > 1 and all(b <= lineages.LEFT * a for a, b in zip(seen, seen[1:], strict=False))
+
+
 def test_clusters_of_nothing(spark):
     found, _ = clusters(token_sets(spark.createDataFrame([], "rec string, term string")))
     assert found.count() == 0
