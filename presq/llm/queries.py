@@ -109,6 +109,19 @@ def p7_clean_corpus(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(docs, leaks(docs, table(spark, d, "eval_items"))).select("doc_id", "lang", "source")
 
 
+def _cleaned(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return without_leaks(docs, leaks(docs, table(spark, d, "eval_items")), mode).select("doc_id", "text", "lang", "source")
+
+
+def p7_clean_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d, "document")
+
+
+def p7_cut_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d, "span")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(table(spark, d, "documents"))
 
@@ -132,6 +145,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
     "p7_clean_corpus": p7_clean_corpus,
+    "p7_clean_texts": p7_clean_texts,
+    "p7_cut_texts": p7_cut_texts,
     "p8_found": p8_found,
     "p8_shared_share": p8_shared_share,
 }

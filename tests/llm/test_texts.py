@@ -90,6 +90,18 @@ def test_leaks(spark, block_words):
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
 
 
+def test_cleaned_texts(spark, tmp_path):
+    from presq.llm.queries import QUERIES
+
+    texts = [(1, "before " + passage(1) + " after"), (2, "nothing of it"), (3, None)]
+    spark.createDataFrame([(i, t, "en", "s", 7) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", passage(1))], "item_id string, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    clean, cut = (QUERIES[n](spark, str(tmp_path)) for n in ("p7_clean_texts", "p7_cut_texts"))
+    assert clean.columns == cut.columns == ["doc_id", "text", "lang", "source"]
+    assert {r.doc_id: r.text for r in clean.collect()} == dict(texts[1:])
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: "before  after", **dict(texts[1:])}
+
+
 def test_words():
     assert words("Ab-c_D 1²x İq") == ["ab", "c", "d", "1²x", "i̇q"]
 
