@@ -1,20 +1,23 @@
 """Problem 4: grouping records into similarity clusters.
 
-Method: power-iteration spectral clustering. Each record is linked to a few hubs it shares most tokens with; the
-similarities of the links that reach the threshold form a sparse affinity matrix, which is normalised by its row
-sums. Several vectors of random start values are iterated with it, which makes them nearly constant within a cluster
-and different between clusters; k-means on the resulting embedding gives groups, whose first members, those of the
-greatest sum of links within their group, stand for them.
-
-An exact check follows, as k-means may cut or join clusters: groups whose first members reach the threshold are
-joined, a record stays only where it reaches the threshold to its group's first member or else to another's, and
-records that reach none are clustered among themselves. Similarity is taken to be transitive at the threshold.
-
-Members of the final clusters are ranked by their internal affinity, the sum of their similarities to all other members,
-copies included. It is exact: every pair of unequal sets within a cluster is compared, in blocks of BLOCK records.
-
-Links are linear in the data (no pairs within a token's records), equal sets are one vertex, and what is broadcast
-are the first members of at most GROUPS groups.
+Method: power-iteration spectral clustering, in rounds. Each record is linked to the hubs that it shares most rare
+tokens with; similarities of links that reach the threshold are the sparse affinities. They are normalised by their
+row sums, and several vectors of random start values are iterated with the lazy walk until they stand still: they then
+are the same within a cluster and differ between clusters. k-means of the embedding gives the groups: equal places
+are one weighted point, k-means over all points parts them coarsely, and k-means within each part takes as many
+centres as there are points further apart than a radius, so that the number of groups comes from the data.
+
+The embedding alone says who belongs together. The exact similarity to the group's most central member only verifies it:
+a record that fails leaves its group and stands for itself. The most central members and the records on their own are
+the records of the next round, with other hubs and other start values, until a round finds no affinity between any.
+Similarity is taken to be transitive at the threshold, as a verified group is described by one member.
+
+Members of the final clusters are ranked by their internal affinity: the sum of the cosine similarities of their sets,
+|A and B| / sqrt(|A| |B|), to all other members, copies included. It is exact and linear in the cells, as the sums over
+a cluster are taken token by token.
+
+Links are linear in the data (no pairs within a token's records), and equal sets are one vertex. Sides are broadcast
+below the size limit only; nothing but k-means centres, MOST_CENTRES at most, reaches the driver.
 Defined cases: as for sets in general; a record similar to no other is its own cluster; empty tables give no rows.
 """
 
@@ -29,247 +32,196 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presq.llm.components import components
-from presq.llm.overlap import similar_pairs
-from presq.llm.sets import classes, jaccard
-from presq.plans.shared import BROADCAST_BYTES, materialize
-
-#: Groups of k-means: one for every RECORDS_A_GROUP records, GROUPS at most; more clusters than that take more rounds.
-GROUPS = 2000
-RECORDS_A_GROUP = 25
-VECTORS = 6
-ITERATIONS = 8
-#: Hubs kept per record, those that it shares most tokens with: the sparsity of the affinity matrix.
+from presq.llm.sets import classes, jaccard, reaches
+from presq.plans.shared import drop_table, materialize, small_side
+
+VECTORS = 8
+#: Share of a record's own value that a step of the walk keeps: without it a star of links would swing for ever.
+LAZY = 0.3
+#: Steps between two looks at the vectors, and the most steps of a round; what isn't at rest then is met in the next round.
+STEPS = 4
+MOST_STEPS = 16
+#: A value is at rest when a step moves it by no more than this.
+REST = 1e-4
+#: Places of the embedding are told apart on this grid; k-means joins those within RADIUS of a centre.
+GRID = 5e-3
+RADIUS = 5e-2
+#: Hubs kept per record, those that it shares most rare tokens with: the sparsity of the affinity matrix. Later rounds
+#: have few records and keep more.
 HUBS = 3
-#: Records that fit no group are clustered by further rounds while each leaves at most this share of its records; the
-#: remainder, or REST records at most, pair by pair.
-LEFT = 0.8
-REST = 0
-#: Records of one cluster that are compared with as many others in one task.
-BLOCK = 8000
+LATER_HUBS = 16
+#: Places that one task clusters, and centres of a coarse k-means.
+PLACES = 400
+MOST_CENTRES = 1000
 SEED = 7
 
 
-def affinities(points: DataFrame, threshold: float, hubs: int = HUBS) -> DataFrame:
-    """(a, b, w): similarities of records to the hubs of their tokens, those that reach the threshold; a has num a.
+def affinities(units: DataFrame, n: int, threshold: Fraction, hubs: int = HUBS, seed: int = SEED, ends: int = 1) -> DataFrame:
+    """(a, b, w): similarities of units(num, tokens), n in all, to the hubs of their tokens, those that reach the threshold.
 
-    A token's hub is the record of least number among its records; records of one cluster share hubs.
+    A token's hub is the record first in a random order among its records, with ends = 2 the last one too; records of
+    one cluster share hubs. Shared tokens count by their rarity.
     """
-    cell = points.select("num", F.explode("tokens").alias("t"))
-    hub = cell.groupBy("t").agg(F.min("num").alias("hub"), F.count("*").alias("c")).where("c > 1").select("t", "hub")
-    shared = cell.join(hub, "t").where("num <> hub").groupBy("num", "hub").agg(F.count("*").alias("n"))
-    best = shared.withColumn("r", F.row_number().over(Window.partitionBy("num").orderBy(F.desc("n"), "hub"))).where(F.col("r") <= hubs)
+    cell = units.select("num", F.explode("tokens").alias("t"))
+    place = F.struct(F.xxhash64(F.lit(seed), "num").alias("h"), "num")
+    picked = [F.min(place)["num"], F.max(place)["num"]][:ends]
+    hub = cell.groupBy("t").agg(F.count("*").alias("c"), F.array_distinct(F.array(*picked)).alias("hubs")).where("c > 1")
+    hub = hub.select("t", (1 - F.col("c") / F.lit(float(n + 1))).alias("rarity"), F.explode("hubs").alias("hub"))
+    shared = cell.join(hub, "t").where("num <> hub").groupBy("num", "hub").agg(F.round(F.sum("rarity"), 6).alias("s"))
+    best = shared.withColumn("r", F.row_number().over(Window.partitionBy("num").orderBy(F.desc("s"), "hub"))).where(F.col("r") <= hubs)
     best = materialize(best.select(F.col("num").alias("a"), F.col("hub").alias("b")), "p4-hubs")
-    size = points.agg(F.sum(8 * F.size("tokens") + 64)).first()[0] or 0
-    whole = F.broadcast(points) if size <= BROADCAST_BYTES else points
+    size = units.agg(F.sum(8 * F.size("tokens") + 64)).first()[0] or 0
+    whole = small_side(units, 1, rows=size)
     ta = whole.select(F.col("num").alias("a"), F.col("tokens").alias("ta"))
     tb = whole.select(F.col("num").alias("b"), F.col("tokens").alias("tb"))
-    near = best.join(ta, "a").join(tb, "b").select("a", "b", jaccard("ta", "tb").alias("w")).where(F.col("w") >= threshold)
-    return materialize(near, "p4-affinities")
+    near = best.join(ta, "a").join(tb, "b").where(reaches("ta", "tb", threshold)).select("a", "b", jaccard("ta", "tb").alias("w"))
+    out = materialize(near, "p4-affinities")
+    drop_table(best)
+    return out
 
 
-def power_vectors(points: DataFrame, links: DataFrame, vectors: int = VECTORS, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
-    """(num, v): the embedding. Each step replaces a record's values by the affinity-weighted mean of its own and its links'."""
+def power_vectors(links: DataFrame, vectors: int = VECTORS, seed: int = SEED) -> DataFrame:
+    """(num, v, d) of every linked record: the embedding, and the sum of its affinities.
+
+    Each step replaces a record's values by their affinity-weighted mean over its links, and a share of its own.
+    """
     names = [f"v{i}" for i in range(vectors)]
-    start = [(F.pmod(F.xxhash64("num", F.lit(seed + i)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(n) for i, n in enumerate(names)]
     both = links.select("a", "b", "w").union(links.select("b", "a", "w")).distinct()
-    both = both.union(points.select(F.col("num").alias("a"), F.col("num").alias("b"), F.lit(1.0).alias("w")))
-    total = both.groupBy("a").agg(F.sum("w").alias("d"))
-    matrix = materialize(both.join(total, "a").select("a", "b", (F.col("w") / F.col("d")).alias("w")), "p4-matrix")
-    state = points.select("num", *start)
-    for step in range(iterations):
-        moved = matrix.join(state.withColumnRenamed("num", "b"), "b").groupBy("a").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
-        state = moved.withColumnRenamed("a", "num")
-        if step % 2 == 1 or step == iterations - 1:
-            state = materialize(state, "p4-vectors")
-    return state.select("num", F.array(*names).alias("v"))
-
-
-def groups(embedding: DataFrame, k: int = GROUPS, seed: int = SEED) -> DataFrame:
-    """(num, grp) by k-means."""
-    data = embedding.select("num", array_to_vector("v").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=8, initSteps=2).fit(data)
-    return materialize(model.transform(data).select("num", F.col("prediction").alias("grp")), "p4-groups")
-
-
-def ranked(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    """(num, grp, affinity): the sum of each member's affinities within its group."""
-    ga = grouped.select(F.col("num").alias("a"), F.col("grp").alias("ga"))
-    gb = grouped.select(F.col("num").alias("b"), F.col("grp").alias("gb"))
-    inner = links.join(ga, "a").join(gb, "b").where("ga = gb")
-    parts = inner.select(F.col("a").alias("num"), "w").union(inner.select(F.col("b").alias("num"), "w")).groupBy("num").agg(F.sum("w").alias("affinity"))
-    return grouped.join(parts, "num", "left").withColumn("affinity", F.coalesce("affinity", F.lit(0.0)))
-
-
-class _Firsts:
-    """Token sets of the first members, as inverted lists."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets], np.int64)
-        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
-        order = np.argsort(flat, kind="stable")
-        flat, self.row = flat[order], row[order]
-        self.tokens, self.begin = np.unique(flat, return_index=True)
-        self.end = np.r_[self.begin[1:], len(flat)]
-
-    def similar(self, offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """Similarity of each set, given by offsets into flat, to each first member."""
-        n, k = len(offsets) - 1, len(self.size)
-        own = np.repeat(np.arange(n), np.diff(offsets))
-        at = np.minimum(np.searchsorted(self.tokens, flat), len(self.tokens) - 1)
-        hit = self.tokens[at] == flat
-        at, own = at[hit], own[hit]
-        c = self.end[at] - self.begin[at]
-        col = self.row[np.repeat(self.begin[at], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)]
-        common = np.bincount(np.repeat(own, c) * k + col, minlength=n * k).reshape(n, k)
-        return common / (np.diff(offsets)[:, None] + self.size[None, :] - common)
-
-
-def _checked(points: DataFrame, grouped: DataFrame, firsts: list, threshold: float) -> DataFrame:
-    """(num, cluster) by the exact check; cluster is null where no first member is similar enough."""
-    sets = [np.array(f.tokens, np.int64) for f in firsts]
-    index, k = _Firsts(sets), len(firsts)
-    ends = []
-    for s in range(0, k, 200):
-        part = sets[s : s + 200]
-        near = index.similar(np.r_[0, np.cumsum([len(x) for x in part])], np.concatenate(part)) >= threshold
-        i, j = np.nonzero(near)
-        ends.append(np.stack([i + s, j]))
-    i, j = np.concatenate(ends, 1)
-    label = np.arange(k)
+    degree = materialize(both.groupBy("a").agg(F.sum("w").alias("d")), "p4-degree")
+    step = both.join(degree, "a").select("a", "b", (F.col("w") / F.col("d") * (1 - LAZY)).alias("w"))
+    matrix = materialize(step.union(degree.select("a", F.col("a").alias("b"), F.lit(LAZY).alias("w"))), "p4-matrix")
+    start = [(F.pmod(F.xxhash64("a", F.lit(seed + i)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(x) for i, x in enumerate(names)]
+    state, taken, before = degree.select(F.col("a").alias("num"), *start), 0, None
+    while taken < MOST_STEPS:
+        for _ in range(STEPS):
+            met = matrix.join(state.withColumnRenamed("num", "b"), "b")
+            sums = [F.sum(F.col("w") * F.col(x)).alias(x) for x in names]
+            # the record's own row tells how far the step moves it
+            old = [F.max(F.when(F.col("a") == F.col("b"), F.col(x))).alias(f"o{x}") for x in names]
+            moved = met.groupBy(F.col("a").alias("num")).agg(*sums, *old)
+            state = moved.select("num", *names, F.greatest(*[F.abs(F.col(x) - F.col(f"o{x}")) for x in names]).alias("change"))
+        state = materialize(state, "p4-vectors")
+        taken += STEPS
+        restless = state.where(F.col("change") > REST).count()
+        if restless == 0 or restless == before:
+            break
+        before = restless
+        state = state.select("num", *names)
+    return state.join(degree.withColumnRenamed("a", "num"), "num").select("num", F.array(*names).alias("v"), "d")
+
+
+def _centres(points: np.ndarray, weight: np.ndarray, radius: float) -> np.ndarray:
+    """k-means within one part: each point's centre. The heaviest points left start centres until all lie within radius of one."""
+    n, free, starts = len(points), np.ones(len(points), bool), []
+    for i in np.lexsort((np.arange(n), -weight)).tolist():
+        if free[i]:
+            starts.append(i)
+            free &= ((points - points[i]) ** 2).sum(1) > radius * radius
+    centre = points[starts]
+    for _ in range(3):
+        own = np.concatenate([((points[s : s + 256, None] - centre[None]) ** 2).sum(2).argmin(1) for s in range(0, n, 256)])
+        total = np.bincount(own, weight, len(centre))
+        for d in range(points.shape[1]):
+            mean = np.bincount(own, weight * points[:, d], len(centre))
+            centre[:, d] = np.where(total > 0, mean / np.maximum(total, 1), centre[:, d])
+    return own
+
+
+def _cluster_part(table: pa.Table) -> pa.Table:
+    """(cell, grp) of the places of one part."""
+    table = table.sort_by("cell").combine_chunks()
+    v = table["v"].chunk(0).flatten().to_numpy().reshape(table.num_rows, -1).copy()
+    own = _centres(v, table["n"].to_numpy().astype(np.float64), RADIUS)
+    return pa.table({"cell": table["cell"], "grp": pa.array(table["part"][0].as_py() * (1 << 24) + own.astype(np.int64))})
+
+
+def groups(embedding: DataFrame, places: int = PLACES, seed: int = SEED) -> DataFrame:
+    """(num, grp) of embedding(num, v) by k-means, first between parts of the places, then within each."""
+    grid = F.transform("v", lambda x: F.round(x / GRID).cast("long"))
+    keyed = embedding.select("num", F.xxhash64(grid).alias("cell"), "v")
+    d = len(embedding.select("v").first().v)
+    mean = F.array(*[F.avg(F.col("v")[i]) for i in range(d)])
+    left = materialize(keyed.groupBy("cell").agg(F.count("*").alias("n"), mean.alias("v")), "p4-places")
+    parted, level = None, 0
     while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        if (low == label).all():
+        n = left.count()
+        if n > places and level < 10:
+            data = left.withColumn("features", array_to_vector("v"))
+            model = KMeans(k=min(MOST_CENTRES, -(-2 * n // places)), seed=seed + level, maxIter=5, initSteps=2).fit(data)
+            got = materialize(model.transform(data).select("cell", "n", "v", F.col("prediction").cast("long").alias("part")), "p4-parts")
+            big = [r.part for r in got.groupBy("part").count().where(F.col("count") > 4 * places).collect()]  # MOST_CENTRES rows at most
+        else:
+            got, big = left.withColumn("part", F.lit(0).cast("long")), []
+        done = got.where(~F.col("part").isin(big)).withColumn("part", F.col("part") + level * MOST_CENTRES)
+        parted = done if parted is None else parted.union(done)
+        if not big:
             break
-        label = low
-    of_group = {f.grp: i for i, f in enumerate(firsts)}
-    shipped = points.sparkSession.sparkContext.broadcast((index, label, of_group))
-
-    def run(batches):
-        index, label, of_group = shipped.value
-        for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                lists = part.column(2)
-                length = lists.value_lengths().to_numpy(zero_copy_only=False)
-                sim = index.similar(np.r_[0, np.cumsum(length)], lists.flatten().to_numpy())
-                own = np.array([of_group[g] for g in part.column(1).to_pylist()])
-                best = np.where(sim[np.arange(len(own)), own] >= threshold, own, sim.argmax(1))
-                ok = sim[np.arange(len(best)), best] >= threshold
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(label[best].astype(np.int32), mask=~ok)], names=["num", "cluster"])
-
-    return points.join(grouped.select("num", "grp"), "num").select("num", "grp", "tokens").mapInArrow(run, "num long, cluster int")
-
-
-def _columns(lists) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and flat tokens of a column of lists."""
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    return np.r_[0, np.cumsum(lengths)], lists.flatten().to_numpy()
-
-
-def _similarity_sums(a, b, wa: np.ndarray, wb: np.ndarray, slab: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """For each set of a the sum of its similarities to the sets of b weighted by wb, and the same for b with wa.
-
-    Tokens that many of the sets hold are counted by a matrix product, the others by inverted lists.
-    """
-    (oa, fa), (ob, fb) = a, b
-    na, nb = len(oa) - 1, len(ob) - 1
-    _, number, count = np.unique(np.r_[fa, fb], return_inverse=True, return_counts=True)
-    many = count * 16 >= na + nb
-    column = np.cumsum(many) - 1
-    ta, tb = number[: len(fa)], number[len(fa) :]
-    ra, rb = np.repeat(np.arange(na), np.diff(oa)), np.repeat(np.arange(nb), np.diff(ob))
-    dense = np.zeros((nb, int(many.sum())), np.float32)
-    dense[rb[many[tb]], column[tb[many[tb]]]] = 1
-    order = np.argsort(tb, kind="stable")
-    listed, begin = rb[order], np.r_[0, np.cumsum(np.bincount(tb, minlength=len(count)))]
-    size_a, size_b = np.diff(oa), np.diff(ob)
-    sum_a, sum_b = np.zeros(na), np.zeros(nb)
-    for s in range(0, na, slab):
-        e = min(s + slab, na)
-        t, r = ta[oa[s] : oa[e]], ra[oa[s] : oa[e]] - s
-        hot = many[t]
-        rows = np.zeros((e - s, dense.shape[1]), np.float32)
-        rows[r[hot], column[t[hot]]] = 1
-        common = (rows @ dense.T).astype(np.float64)
-        t, r = t[~hot], r[~hot]
-        c = begin[t + 1] - begin[t]
-        at = np.repeat(begin[t], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        common += np.bincount(np.repeat(r, c) * nb + listed[at], minlength=(e - s) * nb).reshape(e - s, nb)
-        near = common / (size_a[s:e, None] + size_b[None, :] - common)
-        sum_a[s:e] = near @ wb
-        sum_b += wa[s:e] @ near
-    return sum_a, sum_b
+        left, level = got.where(F.col("part").isin(big)).drop("part"), level + 1
+    clustered = materialize(parted.groupBy("part").applyInArrow(_cluster_part, "cell long, grp long"), "p4-centres")
+    return materialize(keyed.join(clustered, "cell").select("num", "grp"), "p4-groups")
 
 
-def _block_sums(key: tuple, table: pa.Table) -> pa.Table:
-    """(num, s) of the records of one block of a cluster, or of two different ones, compared with each other."""
-    part = table["part"].to_numpy()
-    sides = [table.filter(pa.array(part == p.as_py())).combine_chunks() for p in dict.fromkeys(key[1:])]
-    lists = [_columns(t["tokens"].combine_chunks()) for t in sides]
-    w = [t["w"].to_numpy().astype(np.float64) for t in sides]
-    if len(sides) == 1:
-        sums = [_similarity_sums(lists[0], lists[0], w[0], w[0])[0]]
-    elif all(t.num_rows for t in sides):
-        sums = _similarity_sums(*lists, *w)
-    else:
-        sums = [np.zeros(t.num_rows) for t in sides]  # one block is empty
-    return pa.table({"num": np.concatenate([t["num"].to_numpy() for t in sides]), "s": np.concatenate(sums)})
+def verified(units: DataFrame, embedding: DataFrame, grouped: DataFrame, threshold: Fraction) -> DataFrame:
+    """(num, parent): the members of each group that reach the threshold to its most central member, the parent."""
+    central = grouped.join(embedding.select("num", "d"), "num").groupBy("grp").agg(F.max(F.struct("d", "num")).alias("m"), F.count("*").alias("c"))
+    central = central.where("c > 1").select("grp", F.col("m.num").alias("parent"))
+    sets = central.join(units.select(F.col("num").alias("parent"), F.col("tokens").alias("tp")), "parent")
+    sets = materialize(sets, "p4-central")
+    size = sets.agg(F.sum(8 * F.size("tp") + 64)).first()[0] or 0
+    met = grouped.join(units.select("num", "tokens"), "num").join(small_side(sets, 1, rows=size), "grp")
+    return materialize(met.where(F.col("num") != F.col("parent")).where(reaches("tokens", "tp", threshold)).select("num", "parent"), "p4-verified")
 
 
-def internal_affinity(labelled: DataFrame, points: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(num, affinity): the sum of a record's similarities to all other members of its cluster, by labelled(num, cluster_id).
+def internal_affinity(labelled: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:
+    """(num, affinity): the sum of a record's cosine similarities to all other members of its cluster, by labelled(num, cluster_id).
 
-    members are the copies of equal sets, which count one by one. Each block of a cluster meets each other one in a
-    task of its own, so no task holds more than two blocks.
+    members are the copies of equal sets, which count one by one. A cluster's sums are kept by token, so no pair is met.
     """
     copies = members.groupBy(F.xxhash64("rep").alias("num")).agg(F.count("*").alias("w"))
-    parts = labelled.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    own = labelled.select("num", "cluster_id").join(parts, "cluster_id").join(copies, "num", "left").join(points.select("num", "tokens"), "num")
-    own = own.withColumn("part", F.pmod(F.xxhash64("num", F.lit(SEED)), F.col("parts")).cast("int")).withColumn("w", F.coalesce("w", F.lit(1).cast("long")))
-    met = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("cluster_id", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "num", "part", "w", "tokens")
-    both = met.groupBy("cluster_id", "i", "j").applyInArrow(_block_sums, "num long, s double")
+    own = labelled.select("num", "cluster_id").join(copies, "num", "left").join(points.select("num", "tokens"), "num")
+    root = F.sqrt(F.size("tokens").cast("double"))
+    cell = own.select("num", "cluster_id", root.alias("root"), (F.coalesce("w", F.lit(1)) / root).alias("m"), F.explode("tokens").alias("t"))
+    profile = cell.groupBy("cluster_id", "t").agg(F.sum("m").alias("total"))
+    sums = cell.join(profile, ["cluster_id", "t"]).groupBy("num").agg((F.sum("total") / F.max("root")).alias("s"))
     # its similarity to itself is 1; rounded, as the order of addition varies
-    return both.groupBy("num").agg(F.round(F.sum("s") - 1, 9).alias("affinity"))
+    return sums.select("num", F.round(F.col("s") - 1, 9).alias("affinity"))
 
 
-def clusters(sets: DataFrame, threshold: str = "15/100", k: int = GROUPS, rest_rows: int = REST, affinity: bool = True) -> tuple[DataFrame, DataFrame]:
+def clusters(sets: DataFrame, threshold: str = "15/100", hubs: int = HUBS, places: int = PLACES, affinity: bool = True, report: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, cluster_id, affinity) of sets(id, kind, tokens), and the table of sets; cluster_id is the cluster's least id.
 
-    Without affinity that column, and the comparison of all members that it takes, is left out.
+    Without affinity that column, and the sums that it takes, is left out. report gets a dict of counts per round.
     """
     t = Fraction(threshold)
     sets = materialize(sets.where(F.size("tokens") > 0), "p4-sets")
     reps, members = classes(sets, "p4-members")
     points = materialize(reps.select(F.xxhash64("rep").alias("num"), F.col("rep").alias("id"), "tokens"), "p4-points")
-    parts, left, n, turn = [], points, points.count(), 0
-    while n > 0:
-        links = affinities(left, float(t))
-        embedding = power_vectors(left, links, seed=SEED + turn)
-        grouped = groups(embedding, min(k, max(2, n // RECORDS_A_GROUP), n), SEED + turn) if n > 1 else left.select("num", F.lit(0).alias("grp"))
-        rank = materialize(ranked(grouped, links), "p4-ranked")
-        first = rank.groupBy("grp").agg(F.max(F.struct("affinity", "num")).alias("m")).select("grp", F.col("m.num").alias("num"))
-        firsts = first.join(left, "num").select("grp", "num", "tokens").collect()  # at most k rows
-        fit = materialize(_checked(left, grouped, firsts, float(t)), "p4-checked")
-        name = F.concat(F.lit(f"{turn}-"), F.col("cluster").cast("string"))
-        parts.append(fit.where(F.col("cluster").isNotNull()).select("num", name.alias("label")))
-        left = materialize(left.join(fit.where(F.col("cluster").isNull()).select("num"), "num", "left_semi"), "p4-rest")
-        before, n, turn = n, left.count(), turn + 1
-        if n and (n <= rest_rows or n > LEFT * before):
-            # the last round made no progress, as most are alike to few: exact pairs among them alone
-            alone = left.select(F.col("id"), F.lit(0).cast("byte").alias("kind"), "tokens")
-            pairs = similar_pairs(alone, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-            named = components(pairs, alone.select("id")).select("id", F.concat(F.lit("rest-"), "group_id").alias("label"))
-            parts.append(left.select("num", "id").join(named, "id").select("num", "label"))
+    units, n, turn, parents, still = points.select("num", "tokens"), points.count(), 0, [], 0
+    while n > 1 and still < 2:
+        first = turn == 0
+        links = affinities(units, n, t, hubs if first else max(hubs, LATER_HUBS), SEED + 100 * turn, 1 if first else 2)
+        moved, linked = None, links.count()
+        if linked:
+            embedding = power_vectors(links, seed=SEED + 100 * turn)
+            grouped = groups(embedding, places, SEED + turn)
+            moved = verified(units, embedding, grouped, t)
+        joined = moved.count() if moved is not None else 0
+        if report is not None:
+            report.append({"records": n, "links": linked, "groups": grouped.agg(F.count_distinct("grp")).first()[0] if linked else 0, "joined": joined})
+        turn += 1
+        if not linked:
             break
-    if not parts:
-        return sets.sparkSession.createDataFrame([], "id string, cluster_id string, affinity double"), sets
-    labels = parts[0]
-    for p in parts[1:]:
-        labels = labels.union(p)
-    labelled = materialize(points.select("num", "id").join(labels, "num").select("num", F.col("id").alias("rep"), "label"), "p4-labels")
+        # links between units that don't join: other hubs get one more try
+        still = 0 if joined else still + 1
+        if joined:
+            parents.append(moved)
+            units = materialize(units.join(moved.select("num"), "num", "left_anti"), "p4-units")
+            n -= joined
+    labels = points.select("num", F.col("id").alias("rep"), F.col("num").alias("label"))
+    for moved in parents:
+        step = moved.select(F.col("num").alias("label"), "parent")
+        labels = labels.join(step, "label", "left").select("num", "rep", F.coalesce("parent", "label").alias("label"))
+    labelled = materialize(labels, "p4-labels")
     least = labelled.groupBy("label").agg(F.min("rep").alias("cluster_id"))
     named = labelled.join(least, "label")
     extra = []

@@ -57,8 +57,16 @@ near as (select guid, neighbour from r where r <= 5 and sim >= 0.9)
 _CLUSTERS = f"""with recursive c as ({_CELLS}), n as (select g, count(*) as n from c group by g),
 o as (select x.g as a, y.g as b, count(*) as o from c x join c y on x.a = y.a and x.g <> y.g group by 1, 2),
 arc as (select a, b from o join n na on na.g = a join n nb on nb.g = b where o * 100 >= 15 * (na.n + nb.n - o)),
-reach(id, other) as (select g, g from n union select reach.id, arc.b from reach join arc on arc.a = reach.other)
-select id as guid, min(other) as cluster_id from reach group by id"""
+reach(id, other) as (select g, g from n union select reach.id, arc.b from reach join arc on arc.a = reach.other),
+lab as (select id as guid, min(other) as cluster_id from reach group by id)
+"""
+
+_DESCRIBED = """, own as (select x.guid, x.cluster_id, sum(o / (sqrt(na.n::double) * sqrt(nb.n::double))) as s
+  from lab x join o on o.a = x.guid join lab y on y.guid = o.b and y.cluster_id = x.cluster_id
+  join n na on na.g = o.a join n nb on nb.g = o.b group by 1, 2),
+ranked as (select lab.guid, lab.cluster_id, row_number() over (partition by lab.cluster_id order by round(coalesce(s, 0), 9) desc, lab.guid) as r
+  from lab left join own on own.guid = lab.guid)
+select cluster_id, count(*)::bigint as size, list(guid order by r) filter (where r <= 3) as typical from ranked group by cluster_id"""
 
 ORACLE: dict[str, str] = {
     "p1_found": _PAIRS,
@@ -66,7 +74,8 @@ ORACLE: dict[str, str] = {
     "p2_group_sizes": _GROUPS + "select group_id, count(*)::bigint as members from grp group by group_id",
     "p3_found": _NEAR + "select distinct least(guid, neighbour) as guid_a, greatest(guid, neighbour) as guid_b from near",
     "p3_neighbours": _NEAR + "select guid, neighbour from near",
-    "p4_found": _CLUSTERS,
+    "p4_found": _CLUSTERS + "select guid, cluster_id from lab",
+    "p4_described": _CLUSTERS + _DESCRIBED,
     "p5_found": _TERMS + "select allele, mark from m where mark is not null",
     "p5_term_counts": _TERMS + "select allele, n_rows, n_samples, mark from m",
     "p7_found": _LEAKS + "select doc_id, item_id from leak",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,12 @@ def classes(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
+def reaches(a, b, threshold: Fraction):
+    """Whether the similarity of two token arrays reaches a threshold, in whole numbers."""
+    common = F.size(F.array_intersect(a, b))
+    return common * (threshold.denominator + threshold.numerator) >= (F.size(a) + F.size(b)) * threshold.numerator
+
+
 def jaccard(a, b):
     """Similarity of two token arrays without repeats; 0 for two empty ones."""
     common = F.size(F.array_intersect(a, b))

@@ -1,4 +1,3 @@
-from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -60,7 +59,7 @@ def test_pairs_of_two_tables(spark):
     assert similar_pairs(token_sets(empty)).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"k": 3}, {"rest_rows": 0}])
+@pytest.mark.parametrize("options", [{}, {"hubs": 1}, {"places": 2}])
 def test_clusters(spark, options):
     sets = records()
     # a shared token alone makes no cluster; the large records are near none
@@ -76,16 +75,13 @@ def test_clusters(spark, options):
 
 
 def most_typical(sets, members, top):
-    """By the sum of similarities to all other members, as fractions; ties by id."""
-    sums = {x: sum(Fraction(*jaccard(sets[x], sets[y])) for y in members if y != x) for x in members}
+    """By the sum of cosine similarities to all other members; ties by id."""
+    sums = {x: round(sum(len(sets[x] & sets[y]) / (len(sets[x]) * len(sets[y])) ** 0.5 for y in members if y != x), 9) for x in members}
     return sorted(members, key=lambda x: (-sums[x], x))[:top]
 
 
-@pytest.mark.parametrize("options", [{}, {"k": 2, "rest_rows": 10**6}])  # two first members: most clusters are found pair by pair
-def test_typical_members(spark, monkeypatch, options):
-    import presq.llm.lineages as lineages
-
-    monkeypatch.setattr(lineages.internal_affinity, "__defaults__", (5,))  # several blocks to a cluster
+@pytest.mark.parametrize("options", [{}, {"hubs": 1, "places": 3}])
+def test_typical_members(spark, options):
     sets = records(seed=4, each=8)
     sets |= {f"Copy-{i}": set(sets["R1-3"]) for i in range(4)}
     found, _ = clusters(token_sets(rows(spark, sets)), "15/100", **options)
@@ -98,15 +94,31 @@ def test_typical_members(spark, monkeypatch, options):
     assert {c: (r.size, list(r.typical)) for c, r in about.items()} == {c: (len(m), most_typical(sets, m, 3)) for c, m in by.items()}
 
 
-def test_rounds_go_on_while_they_label(spark, monkeypatch):
+def test_the_embedding_decides(spark, monkeypatch):
+    """Groups drawn by chance give other clusters: nothing after k-means finds out who belongs together."""
     import presq.llm.lineages as lineages
-
-    seen, real = [], lineages.power_vectors
-    monkeypatch.setattr(lineages, "power_vectors", lambda left, links, **k: seen.append(left.count()) or real(left, links, **k))
-    sets = {f"{f}-{k}": {f"t{f}.{i}" for i in range(20)} | {f"own{f}.{k}"} for f in "abcdef" for k in range(3)}
-    found, _ = clusters(token_sets(rows(spark, sets)), "15/100", k=3)
-    assert {r.id: r.cluster_id for r in found.collect()} == {x: f"{x[0]}-0" for x in sets}
-    assert len(seen) > 1 and all(b <= lineages.LEFT * a for a, b in zip(seen, seen[1:], strict=False))
+    from pyspark.sql import functions as F
+
+    sets = records(seed=2, families=10, each=9)
+    want, report = {x: min(y for y in sets if jaccard(sets[x], sets[y])[0] * 100 >= 15 * jaccard(sets[x], sets[y])[1]) for x in sets}, []
+    found, _ = clusters(token_sets(rows(spark, sets)), "15/100", affinity=False, report=report)
+    assert {r.id: r.cluster_id for r in found.collect()} == want
+    assert sum(r["joined"] for r in report) == report[0]["records"] - len(set(want.values()))
+    chance = lambda embedding, *_: embedding.select("num", F.pmod(F.xxhash64(F.lit(99), "num"), F.lit(10)).alias("grp"))
+    monkeypatch.setattr(lineages, "groups", chance)
+    found, _ = clusters(token_sets(rows(spark, sets)), "15/100", affinity=False)
+    assert {r.id: r.cluster_id for r in found.collect()} != want
+
+
+def test_centres():
+    """As many centres as there are places further apart than the radius."""
+    from presq.llm.lineages import _centres
+
+    rng = np.random.default_rng(1)
+    middle = rng.random((20, 4))
+    points = np.repeat(middle, 7, 0) + rng.normal(0, 1e-4, (140, 4))
+    own = _centres(points, np.ones(140), 1e-2)
+    assert len(set(own)) == 20 and all(len(set(own[i : i + 7])) == 1 for i in range(0, 140, 7))
 
 
 def test_clusters_of_nothing(spark):
