@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest side, in bytes of its rows, that is ever broadcast; beyond it joins shuffle.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 8 << 20
 _runs: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """This application's folder below spark.checkpoint.dir; a folder of our own only where that is unset and all
+    tasks run in this process. On a cluster without the setting no folder is known to be shared: an error."""
     app = spark.sparkContext.applicationId
     if app not in _runs:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="presq-")
         _runs[app] = f"{root.rstrip('/')}/presq-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _runs[app])
