@@ -16,8 +16,8 @@ Members of the final clusters are ranked by their internal affinity: the sum of
 |A and B| / sqrt(|A| |B|), to all other members, copies included. It is exact and linear in the cells, as the sums over
 a cluster are taken token by token.
 
-Links are linear in the data (no pairs within a token's records), and equal sets are one vertex. Sides are broadcast
-below the size limit only; nothing but k-means centres, MOST_CENTRES at most, reaches the driver.
+Links are linear in the data (no pairs within a token's records), and equal sets are one vertex. Nothing is broadcast
+by hint; nothing but k-means centres, MOST_CENTRES at most, reaches the driver.
 Defined cases: as for sets in general; a record similar to no other is its own cluster; empty tables give no rows.
 """
 
@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presq.llm.sets import classes, jaccard, reaches
-from presq.plans.shared import drop_table, materialize, small_side
+from presq.plans.shared import drop_table, materialize
 
-VECTORS = 8
+VECTORS = 6
 #: Share of a record's own value that a step of the walk keeps: without it a star of links would swing for ever.
 LAZY = 0.3
 #: Steps between two looks at the vectors, and the most steps of a round; what isn't at rest then is met in the next round.
@@ -70,10 +70,8 @@ def affinities(units: DataFrame, n: int, threshold: Fraction, hubs: int = HUBS,
     shared = cell.join(hub, "t").where("num <> hub").groupBy("num", "hub").agg(F.round(F.sum("rarity"), 6).alias("s"))
     best = shared.withColumn("r", F.row_number().over(Window.partitionBy("num").orderBy(F.desc("s"), "hub"))).where(F.col("r") <= hubs)
     best = materialize(best.select(F.col("num").alias("a"), F.col("hub").alias("b")), "p4-hubs")
-    size = units.agg(F.sum(8 * F.size("tokens") + 64)).first()[0] or 0
-    whole = small_side(units, 1, rows=size)
-    ta = whole.select(F.col("num").alias("a"), F.col("tokens").alias("ta"))
-    tb = whole.select(F.col("num").alias("b"), F.col("tokens").alias("tb"))
+    ta = units.select(F.col("num").alias("a"), F.col("tokens").alias("ta"))
+    tb = units.select(F.col("num").alias("b"), F.col("tokens").alias("tb"))
     near = best.join(ta, "a").join(tb, "b").where(reaches("ta", "tb", threshold)).select("a", "b", jaccard("ta", "tb").alias("w"))
     out = materialize(near, "p4-affinities")
     drop_table(best)
@@ -93,14 +91,14 @@ def power_vectors(links: DataFrame, vectors: int = VECTORS, seed: int = SEED) ->
     start = [(F.pmod(F.xxhash64("a", F.lit(seed + i)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(x) for i, x in enumerate(names)]
     state, taken, before = degree.select(F.col("a").alias("num"), *start), 0, None
     while taken < MOST_STEPS:
-        for _ in range(STEPS):
+        for k in range(STEPS):
             met = matrix.join(state.withColumnRenamed("num", "b"), "b")
             sums = [F.sum(F.col("w") * F.col(x)).alias(x) for x in names]
-            # the record's own row tells how far the step moves it
-            old = [F.max(F.when(F.col("a") == F.col("b"), F.col(x))).alias(f"o{x}") for x in names]
-            moved = met.groupBy(F.col("a").alias("num")).agg(*sums, *old)
-            state = moved.select("num", *names, F.greatest(*[F.abs(F.col(x) - F.col(f"o{x}")) for x in names]).alias("change"))
-        state = materialize(state, "p4-vectors")
+            # in the last step the record's own row tells how far it moves
+            old = [F.max(F.when(F.col("a") == F.col("b"), F.col(x))).alias(f"o{x}") for x in names if k == STEPS - 1]
+            state = met.groupBy(F.col("a").alias("num")).agg(*sums, *old)
+        change = F.greatest(*[F.abs(F.col(x) - F.col(f"o{x}")) for x in names])
+        state = materialize(state.select("num", *names, change.alias("change")), "p4-vectors")
         taken += STEPS
         restless = state.where(F.col("change") > REST).count()
         if restless == 0 or restless == before:
@@ -166,9 +164,7 @@ def verified(units: DataFrame, embedding: DataFrame, grouped: DataFrame, thresho
     central = grouped.join(embedding.select("num", "d"), "num").groupBy("grp").agg(F.max(F.struct("d", "num")).alias("m"), F.count("*").alias("c"))
     central = central.where("c > 1").select("grp", F.col("m.num").alias("parent"))
     sets = central.join(units.select(F.col("num").alias("parent"), F.col("tokens").alias("tp")), "parent")
-    sets = materialize(sets, "p4-central")
-    size = sets.agg(F.sum(8 * F.size("tp") + 64)).first()[0] or 0
-    met = grouped.join(units.select("num", "tokens"), "num").join(small_side(sets, 1, rows=size), "grp")
+    met = grouped.join(units.select("num", "tokens"), "num").join(sets, "grp")
     return materialize(met.where(F.col("num") != F.col("parent")).where(reaches("tokens", "tp", threshold)).select("num", "parent"), "p4-verified")
 
 
