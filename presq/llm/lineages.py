@@ -40,7 +40,7 @@ VECTORS = 6
 LAZY = 0.3
 #: Steps between two looks at the vectors, and the most steps of a round; what isn't at rest then is met in the next round.
 STEPS = 4
-MOST_STEPS = 16
+MOST_STEPS = 12
 #: A value is at rest when a step moves it by no more than this.
 REST = 1e-4
 #: Places of the embedding are told apart on this grid; k-means joins those within RADIUS of a centre.
@@ -48,7 +48,7 @@ GRID = 5e-3
 RADIUS = 5e-2
 #: Hubs kept per record, those that it shares most rare tokens with: the sparsity of the affinity matrix. Later rounds
 #: have few records and keep more.
-HUBS = 3
+HUBS = 2
 LATER_HUBS = 16
 #: Places that one task clusters, and centres of a coarse k-means.
 PLACES = 400
