@@ -20,8 +20,8 @@ from presq.plans.shared import drop_table, materialize
 
 #: Stripping goes on to chain compression once a pass removes less than this share of the edges.
 WORTHWHILE = 0.1
-#: Reductions end when the core has this many edges at most; star steps solve it.
-SMALL_CORE = 1000
+#: Reductions end when the core has this many edges at most; star steps solve what can't be reduced.
+SMALL_CORE = 0
 
 
 def _simple(edges: DataFrame) -> DataFrame:
@@ -46,16 +46,17 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(child, parent) of every degree-one vertex, and the edges left. Of a lone edge the greater end is the child."""
-    ends = _both(edges).groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("y"))
-    leaves = ends.where("n = 1").select(F.col("x").alias("child"), F.col("y").alias("parent"))
-    other = leaves.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    lone = leaves.join(other, ["child", "parent"]).where(F.col("child") < F.col("parent")).select("child")
-    gone = materialize(leaves.join(lone, "child", "left_anti"), "p2-leaves")
-    ids = gone.select("child")
-    left = edges.join(ids.withColumnRenamed("child", "u"), "u", "left_anti")
-    left = left.join(ids.withColumnRenamed("child", "v"), "v", "left_anti").select("u", "v")
-    return gone, left
+    """(child, parent) of every degree-one vertex, and the edges left. Of a lone edge the greater end is the child.
+
+    Both are read from one table: each edge with the vertex that leaves by it, if any.
+    """
+    leaves = _both(edges).groupBy("x").agg(F.count("*").alias("n")).where("n = 1").select("x", F.lit(True).alias("leaf"))
+    at = lambda end: leaves.select(F.col("x").alias(end), F.col("leaf").alias(f"leaf_{end}"))
+    tagged = edges.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    u, v = F.col("leaf_u").isNotNull(), F.col("leaf_v").isNotNull()
+    tagged = tagged.select("u", "v", F.when(v, F.col("v")).when(u, F.col("u")).alias("child"), F.when(v, F.col("u")).when(u, F.col("v")).alias("parent"))
+    tagged = materialize(tagged, "p2-stripped")
+    return tagged.where(F.col("child").isNotNull()).select("child", "parent"), tagged.where(F.col("child").isNull()).select("u", "v")
 
 
 def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +142,6 @@ def components(links: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     count, removed = edges.count(), []
     while count > SMALL_CORE:
         gone, left = _strip(edges)
-        left = materialize(left, "p2-edges")
         after = left.count()
         removed.append(gone)
         slow = count - after < WORTHWHILE * count

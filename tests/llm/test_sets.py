@@ -163,6 +163,18 @@ def test_components(spark, monkeypatch, name, core):
     assert got == brute(links, ["alone"])
 
 
+def test_small_graphs_are_reduced_too(spark, monkeypatch):
+    import presq.llm.components as c
+
+    calls = []
+    for name in ("_strip", "_compress"):
+        monkeypatch.setattr(c, name, lambda edges, name=name, real=getattr(c, name): calls.append(name) or real(edges))
+    links = graphs()["lasso"] + [("k1", "t1"), ("k2", "t2"), ("t2", "t3")]
+    got = {r.id: r.group_id for r in components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == brute(links, [])
+    assert calls.count("_strip") >= 2 and "_compress" in calls
+
+
 def test_components_of_nothing(spark):
     none = components(spark.createDataFrame([], "a string, b string"))
     assert none.count() == 0
