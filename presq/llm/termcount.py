@@ -1,13 +1,14 @@
 """Problem 5: frequency of every distinct value or term.
 
-Method: recursive radix spilling. Terms are partitioned by hash bits into a table on disk in the shared folder;
-partitions above a bound are split again by further bits, and one that is a single hot term by the bits of its
-records; each partition is aggregated out of core by DuckDB. Partial counts of a split term add up exactly, as
-its parts hold different records.
-
-Repeated (term, record) rows are combined before any exchange, so a hot record or cell costs one row per task.
-Defined cases: rows with a null term or record count nowhere; listed terms without rows get 0 and 0; an empty
-table gives zero counts; other columns are ignored.
+Method: recursive radix spilling. Rows are partitioned by the hash bits of their terms into folders of the shared
+folder, by the tasks that read them and without an exchange. A partition above a bound is read again, alone, and split
+by further bits; one that holds a single hot term is split by the bits of its records. Each leaf is aggregated by one
+task with DuckDB, which reads the leaf's files and spills beside them. Counts of a split term add up exactly, as its
+leaves hold different records.
+
+The folder must be a file system that all executors see, as DuckDB opens its files by path: an error says so otherwise.
+Defined cases: rows with a null term or record count nowhere; repeated rows count as rows but once as records; listed
+terms without rows get 0 and 0; an empty table gives zero counts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,127 +16,117 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presq.plans.shared import materialize, shared_folder, shuffle_partitions
+from presq.plans.shared import scan_bytes, shared_folder
 
-#: Rows that one task aggregates at most; larger radix partitions are split.
+#: Rows of a leaf at most, and so of a task; larger partitions are split.
 PART_ROWS = 2_000_000
-FIRST_BITS = 6
+#: Bits of the first level by the size of the input: a partition for every PART_BYTES of it.
+LEAST_BITS, MOST_BITS, PART_BYTES = 4, 8, 16 << 20
 MORE_BITS = 4
 DUCKDB_MEMORY = "256MB"
-#: Term hashes are used bit by bit from the top; afterwards record hashes are.
-TERM_BITS = 48
+#: The optimiser's size of what it can't tell is beyond this.
+UNKNOWN = 1 << 60
 
 
 def _bits(col, start: int, n: int):
     return F.shiftrightunsigned(col, 64 - start - n).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
 
-def _radix(cells: DataFrame, part_rows: int) -> list[tuple[int, int, int]]:
-    """Leaves (bits, prefix, record bits) of the radix tree; levels are counted only where a partition is too large."""
-    out, depth, open_ = [], FIRST_BITS, None
-    h = F.xxhash64("term")
-    while True:
-        if open_ is None:
-            rows = cells.groupBy(_bits(h, 0, depth).alias("k")).count()
-        else:
-            rows = cells.select(_bits(h, 0, depth - MORE_BITS).alias("o"), _bits(h, 0, depth).alias("k")).join(F.broadcast(open_), "o").groupBy("k").count()
-        counts = {x.k: x["count"] for x in rows.collect()}
-        big = [k for k, c in counts.items() if c > part_rows]
-        if depth + MORE_BITS > TERM_BITS:
-            # a single term is left: split by the record's bits into parts of equal size
-            out += [(depth, k, 0 if c <= part_rows else max(1, (c // part_rows).bit_length())) for k, c in counts.items()]
-            return out
-        out += [(depth, k, 0) for k, c in counts.items() if c <= part_rows]
-        if not big:
-            return out
-        open_ = cells.sparkSession.createDataFrame([Row(o=k) for k in big], "o long")
-        depth += MORE_BITS
-
-
-def _aggregate(scratch: str | None):
-    """DuckDB over one radix partition, in a database file of the task below scratch, where it spills; in memory without one."""
+def _scratch(spark) -> str:
+    """The shared folder as a path that tasks can open."""
+    folder = shared_folder(spark)
+    if "://" in folder and not folder.startswith("file:"):
+        raise ValueError("terms are counted in files that DuckDB opens: spark.checkpoint.dir must be on a shared file system")
+    path = "/" + folder.removeprefix("file:").lstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _spill(cells: DataFrame, part, path: str) -> dict[int, tuple[int, bool]]:
+    """Writes cells(term, rec) below path, a folder for each value of part; rows of each, and whether it is one term alone."""
+    spark = cells.sparkSession
+    cells.select("term", "rec", part.cast("long").alias("part")).write.option("compression", "zstd").partitionBy("part").parquet(f"file://{path}")
+    held = spark.read.schema("term string, rec string, part long").parquet(f"file://{path}")
+    sizes = held.groupBy("part").agg(F.count("*").alias("n"), (F.min("term") == F.max("term")).alias("alone"))
+    return {r.part: (r.n, r.alone) for r in sizes.collect()}  # a row for each leaf or partition to split
+
+
+def _leaves(cells: DataFrame, root: str, bits: int, part_rows: int) -> list[tuple[str, bool]]:
+    """Folders of the leaves, and whether a leaf has part of a term's records only."""
+    spark, term, rec = cells.sparkSession, F.xxhash64("term"), F.xxhash64("rec", F.lit(7))
+    out: list[tuple[str, bool]] = []
+    todo = [(cells, f"{root}/all", 0, 0)]
+    while todo:
+        rows, path, depth, record_bits = todo.pop()
+        n = bits if depth == 0 else MORE_BITS
+        # one term alone: its records' bits go on where the term's end
+        sizes = _spill(rows, _bits(rec, record_bits - MORE_BITS, MORE_BITS) if record_bits else _bits(term, depth, n), path)
+        for k, (count, alone) in sorted(sizes.items()):
+            own = f"{path}/part={k}"
+            if count <= part_rows or record_bits >= 60:
+                out.append((own, record_bits > 0))
+                continue
+            again = spark.read.schema("term string, rec string").parquet(f"file://{own}")
+            by_record = alone or record_bits or depth + n + MORE_BITS > 64
+            todo.append((again, f"{root}/{uuid.uuid4().hex[:12]}", depth + n, record_bits + MORE_BITS if by_record else 0))
+    return out
+
+
+_COUNTS = pa.schema([("term", pa.string()), ("n_rows", pa.int64()), ("n_records", pa.int64())])
+
+
+def _aggregate(scratch: str):
+    """DuckDB over the files of each leaf, with its own files in a folder of the task below scratch."""
 
     def run(batches):
         import duckdb
 
-        first = next(batches, None)
-        if first is None:
-            return
-        folder = tempfile.mkdtemp(prefix="radix-", dir=scratch) if scratch else None
-        try:
-            config = {"memory_limit": DUCKDB_MEMORY, "threads": "1", "temp_directory": folder} if folder else {"threads": "1"}
-            con = duckdb.connect(f"{folder}/part.db" if folder else ":memory:", config=config)
-            con.execute("create table part (term varchar, rec varchar, n bigint)")
-            held, size = [first], first.num_rows
-            for b in batches:
-                held.append(b)
-                size += b.num_rows
-                if size >= 500_000:
-                    t = pa.Table.from_batches(held)
-                    con.execute("insert into part select term, rec, n from t")
-                    held, size = [], 0
-            if held:
-                t = pa.Table.from_batches(held)  # noqa: F841
-                con.execute("insert into part select term, rec, n from t")
-            got = con.sql("select term, sum(n)::bigint as n_rows, count(distinct rec)::bigint as n_records from part group by term").to_arrow_table()
-            yield from got.cast(pa.schema([("term", pa.string()), ("n_rows", pa.int64()), ("n_records", pa.int64())])).to_batches(max_chunksize=20_000)
-            con.close()
-        finally:
-            if folder:
-                shutil.rmtree(folder, ignore_errors=True)
+        for b in batches:
+            for leaf in b.column(1).to_pylist():
+                folder = tempfile.mkdtemp(prefix="radix-", dir=scratch)
+                try:
+                    con = duckdb.connect(f"{folder}/leaf.db", config={"memory_limit": DUCKDB_MEMORY, "threads": "1", "temp_directory": folder})
+                    got = con.sql(
+                        "select term, sum(n)::bigint as n_rows, count(*)::bigint as n_records from "
+                        f"(select term, rec, count(*) as n from read_parquet('{leaf}/*.parquet', hive_partitioning = false) group by term, rec) group by term"
+                    ).to_arrow_table()
+                    yield from got.cast(_COUNTS).to_batches(max_chunksize=20_000)
+                    con.close()
+                finally:
+                    shutil.rmtree(folder, ignore_errors=True)
 
     return run
 
 
-def _scratch(spark) -> str | None:
-    """The shared folder as a path that tasks can open, if it's a file system's."""
-    folder = shared_folder(spark)
-    path = folder.removeprefix("file:") if folder.startswith("file:") else folder if "://" not in folder else None
-    if path is not None:
-        path = "/" + path.lstrip("/")
-        os.makedirs(path, exist_ok=True)
-    return path
-
-
 def term_counts(rows: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(term, n_rows, n_records) of rows(term, rec), and the table of distinct (term, rec, n) it is made from."""
+    """(term, n_rows, n_records) of rows(term, rec), and the table of (term, rec) as it was first spilled."""
     spark = rows.sparkSession
-    cells = rows.where(F.col("term").isNotNull() & F.col("rec").isNotNull()).groupBy("term", "rec").agg(F.count("*").alias("n"))
-    cells = materialize(cells, "p5-radix")
-    leaves = _radix(cells, part_rows)
+    cells = rows.where(F.col("term").isNotNull() & F.col("rec").isNotNull()).select("term", "rec")
+    expected = scan_bytes(rows)
+    bits = LEAST_BITS if expected >= UNKNOWN else min(MOST_BITS, max(LEAST_BITS, (expected // PART_BYTES).bit_length()))
+    scratch = _scratch(spark)
+    root = f"{scratch}/p5-radix-{uuid.uuid4().hex[:8]}"
+    leaves = _leaves(cells, root, bits, part_rows)
+    spilled = spark.read.schema("term string, rec string, part long").parquet(f"file://{root}/all").select("term", "rec")
     if not leaves:
-        return spark.createDataFrame([], "term string, n_rows long, n_records long"), cells
-    h, r = F.xxhash64("term"), F.xxhash64("rec", F.lit(7))
-    # most leaves lie at the first level: only the split ones need a lookup
-    split = sorted({(d, k, b) for d, k, b in leaves if d > FIRST_BITS or b})
-    part = cells.withColumn("part", _bits(h, 0, FIRST_BITS))
-    if split:
-        depths = sorted({d for d, _, _ in split if d > FIRST_BITS})
-        keyed = part
-        for d in depths:
-            own = spark.createDataFrame([(k, b) for dd, k, b in split if dd == d], f"k{d} long, b{d} int")
-            keyed = keyed.withColumn(f"k{d}", _bits(h, 0, d)).join(F.broadcast(own), f"k{d}", "left")
-        pick = F.col("part")
-        for d in depths:
-            rec = F.when(F.col(f"b{d}") > 0, F.shiftrightunsigned(r, 32) % F.pow(F.lit(2), F.col(f"b{d}")).cast("long")).otherwise(F.lit(0))
-            pick = F.when(F.col(f"b{d}").isNotNull(), F.xxhash64(F.col(f"k{d}"), F.lit(d), rec)).otherwise(pick)
-        part = keyed.withColumn("part", pick)
-    n = max(min(len(leaves), 1 << FIRST_BITS, shuffle_partitions(spark)), len(leaves) if split else 1, 1)
-    counts = part.select("term", "rec", "n", "part").repartition(n, "part").select("term", "rec", "n").mapInArrow(_aggregate(_scratch(spark)), "term string, n_rows long, n_records long")
-    if any(b for _, _, b in leaves):
+        return spark.createDataFrame([], "term string, n_rows long, n_records long"), spilled
+    listed = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(leaves)], "i int, path string")
+    counts = listed.repartitionById(len(leaves), F.col("i")).mapInArrow(_aggregate(scratch), "term string, n_rows long, n_records long")
+    if any(shared for _, shared in leaves):
         counts = counts.groupBy("term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))
-    return counts, cells
+    return counts, spilled
 
 
 def marked_terms(rows: DataFrame, listed: DataFrame, rare_at_most: int = 2, common_above: float = 0.5, part_rows: int = PART_ROWS) -> DataFrame:
     """(term, n_rows, n_records, mark) of every term of listed(term); mark is rare, common or null."""
     counts, cells = term_counts(rows, part_rows)
-    total = cells.agg(F.count_distinct("rec")).first()[0] if not cells.isEmpty() else 0
+    total = cells.agg(F.count_distinct("rec")).first()[0]
     known = listed.where(F.col("term").isNotNull()).select("term").distinct()
     n = F.coalesce("n_records", F.lit(0).cast("long"))
     return known.join(counts, "term", "left").select(

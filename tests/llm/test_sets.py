@@ -191,6 +191,28 @@ def test_terms(spark, part_rows):
     assert got == {"hot": (93, 31, "common"), "t1": (len(t1), len(set(t1)), "common" if len(set(t1)) > 15.5 else None), "never": (0, 0, "rare")}
 
 
+def test_hot_terms_are_split_alone(spark, monkeypatch):
+    """Only partitions above the bound are read again, and a hot term's records are spread over leaves."""
+    import presq.llm.termcount as tc
+
+    spilled, real = [], tc._spill
+    monkeypatch.setattr(tc, "_spill", lambda cells, part, path: spilled.append(cells.count()) or real(cells, part, path))
+    data = [("hot", f"r{i}") for i in range(300)] + [(f"t{i}", f"r{i}") for i in range(300)]
+    df = spark.createDataFrame(data, "term string, rec string")
+    counts, _ = tc.term_counts(df, part_rows=60)
+    got = {r.term: (r.n_rows, r.n_records) for r in counts.collect()}
+    assert got == {"hot": (300, 300)} | {f"t{i}": (1, 1) for i in range(300)}
+    assert spilled[0] == 600 and len(spilled) > 2 and max(spilled[1:]) < 400
+
+
+def test_terms_need_a_file_system(spark, monkeypatch):
+    import presq.llm.termcount as tc
+
+    monkeypatch.setattr(tc, "shared_folder", lambda spark: "s3a://bucket/x")
+    with pytest.raises(ValueError):
+        tc.term_counts(spark.createDataFrame([("a", "b")], "term string, rec string"))
+
+
 def test_terms_of_nothing(spark):
     df = spark.createDataFrame([], "term string, rec string")
     (r,) = marked_terms(df, spark.createDataFrame([("a",)], "term string")).collect()
