@@ -129,7 +129,8 @@ def marked_terms(rows: DataFrame, listed: DataFrame, rare_at_most: int = 2, comm
     total = cells.agg(F.count_distinct("rec")).first()[0]
     known = listed.where(F.col("term").isNotNull()).select("term").distinct()
     n = F.coalesce("n_records", F.lit(0).cast("long"))
-    return known.join(counts, "term", "left").select(
+    # the optimiser sees the few rows that name the leaves, not what comes of them: it must not broadcast
+    return known.join(counts.hint("merge"), "term", "left").select(
         "term",
         F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"),
         n.alias("n_records"),
