@@ -1,13 +1,17 @@
 """Problem 3: most similar vectors for every vector.
 
-Method: vectors of unit length are projected to a few dimensions by a 2-stable (Gaussian) matrix, so that squared
-projected distances over squared distances follow a chi-square law. Projections are indexed by a kd-tree; a vector's
-projected neighbours are visited leaf by leaf in growing distance and verified by their true similarity, until the
-chi-square test says that an unvisited one would improve the result with a chance below 1 - confidence.
-
-The top of the tree, built on a bounded sample, cuts the space into cells that tasks hold whole; each vector first
-searches its own cell and then, with the bound found there, only the cells that its test radius touches. Equal
-vectors are one point with its least ids, so copies never fill a cell.
+Method: vectors of unit length are projected to a few dimensions by 2-stable (Gaussian) matrices, so that a squared
+projected difference over the squared distance follows a chi-square law. Each projection is indexed by a kd-tree, and
+a vector's projected neighbours are verified by their true similarity until a chi-square stopping test holds, twice:
+within a cell of the tree, leaf by leaf in growing projected distance; and over cells, tree by tree. There the law with
+one degree of freedom for each dimension gives the chance that a neighbour at the distance of the worst one kept was
+cut off from the vector's own cell; the chances of independent projections multiply, and a vector is looked up in
+further trees until the product is at most 1 - confidence. So no vector is sent to cells other than its own, and its
+work doesn't grow with the number of cells as a search of all cells in reach would.
+
+The tops of the trees, built on a bounded sample, cut the space into cells that tasks hold whole, at places where few
+sampled vectors lie. Vectors that no number of trees settles (MOST_TREES) search all cells of one tree that their test
+radius touches. Equal vectors are one point with its least ids, so copies never fill a cell.
 
 Defined cases: a vector is usable if it has the given number of elements, all finite and not all zero; others, and
 null ids, take no part; an id counts once, by its least vector; ties go to the smaller id; an empty table gives an
@@ -23,15 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presq.plans.shared import materialize
+from presq.plans.shared import materialize, partitions_for
 
 DIMENSIONS = 8
 CONFIDENCE = 0.9995
-CELL_ROWS = 20_000
-LEAF = 32
-#: Queries searched together, and leaves they visit between two tests.
-GROUP = 64
-AT_ONCE = 8
+CELL_ROWS = 512
+#: Rows of a leaf within a cell, queries searched together, and leaves they visit between two tests.
+LEAF = 128
+GROUP = 256
+AT_ONCE = 4
+#: Trees of each turn; the last number goes on. Between turns, vectors whose test holds leave.
+TREES = (5, 7, 9)
+MOST_TREES = 48
+#: Rows of cells that a task holds.
+TASK_ROWS = 50_000
 #: Rows that the cells are laid out on: a bound of the sample alone, every row is indexed.
 LAYOUT_ROWS = 20_000
 SEED = 20240229
@@ -67,6 +76,19 @@ def projection(width: int, m: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width, m))
 
 
+def _cut(p: np.ndarray) -> tuple[int, float]:
+    """Dimension and value of the cut that the fewest rows lie close to, among the middle third of each dimension."""
+    best = (np.inf, -1, 0.0)
+    for d in range(p.shape[1]):
+        x = np.sort(p[:, d])
+        values = x[(len(x) * np.linspace(0.35, 0.65, 7)).astype(int)]
+        near = np.searchsorted(x, values + 0.2, "right") - np.searchsorted(x, values - 0.2, "left")
+        at = int(near.argmin())
+        if x[0] < values[at] and (near[at], d) < best[:2]:
+            best = (near[at], d, float(values[at]))
+    return best[1], best[2]
+
+
 def layout(points: np.ndarray, cells: int) -> list[tuple]:
     """Top of the kd-tree as nodes (dimension, value, left, right) or (-1, cell, low corner, high corner)."""
     nodes: list[tuple] = []
@@ -74,19 +96,15 @@ def layout(points: np.ndarray, cells: int) -> list[tuple]:
     def grow(p: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> int:
         at = len(nodes)
         nodes.append(())
-        spread = p.max(0) - p.min(0) if len(p) else np.zeros(1)
-        d = int(spread.argmax())
-        if n <= 1 or len(p) < 2 or spread[d] == 0:
+        d, value = _cut(p) if n > 1 and len(p) > 1 else (-1, 0.0)
+        if d < 0:
             nodes[at] = (-1, sum(x[:1] == (-1,) for x in nodes), low, high)
             return at
-        value = float(np.quantile(p[:, d], (n // 2) / n))
         left = p[:, d] < value
-        if not left.any():
-            value = float(p[p[:, d] > p[:, d].min(), d].min())
-            left = p[:, d] < value
+        few = min(n - 1, max(1, round(n * left.mean())))
         lh, rl = high.copy(), low.copy()
         lh[d] = rl[d] = value
-        nodes[at] = (d, value, grow(p[left], n // 2, low, lh), grow(p[~left], n - n // 2, rl, high))
+        nodes[at] = (d, value, grow(p[left], few, low, lh), grow(p[~left], n - few, rl, high))
         return at
 
     m = points.shape[1]
@@ -108,6 +126,47 @@ def _home(nodes: list[tuple], p: np.ndarray) -> np.ndarray:
     return out
 
 
+def _touched(nodes: list[tuple], p: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of every cell within the squared distance reach of a row, by descent."""
+    rows, cells = [], []
+    todo = [(0, np.arange(len(p)), np.zeros_like(p))]
+    while todo:
+        k, at, gap = todo.pop()
+        node = nodes[k]
+        if not len(at):
+            continue
+        if node[0] < 0:
+            rows.append(at)
+            cells.append(np.full(len(at), node[1]))
+            continue
+        d, value = node[:2]
+        over = p[at, d] - value
+        for child, beyond in ((node[2], np.maximum(over, 0)), (node[3], np.maximum(-over, 0))):
+            far = gap.copy()
+            far[:, d] = np.maximum(far[:, d], beyond)
+            go = (far * far).sum(1) <= reach[at] + 1e-12
+            todo.append((child, at[go], far[go]))
+    return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cells or [np.zeros(0, int)])
+
+
+def _chi_one(x: np.ndarray) -> np.ndarray:
+    """Chi-square distribution function of one degree of freedom at x * x; a rational approximation good to 2e-7."""
+    z = x / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    return 1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * np.exp(-z * z)
+
+
+def log_cut_off(nodes: list[tuple], p: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Log of the chance that a neighbour at the given true distance lies outside the cell of a projected row."""
+    boxes = {x[1]: x for x in nodes if x[0] == -1}
+    home = _home(nodes, p)
+    low = np.stack([boxes[c][2] for c in range(len(boxes))])[home]
+    high = np.stack([boxes[c][3] for c in range(len(boxes))])[home]
+    d = np.maximum(distance, 1e-9)[:, None]
+    inside = (_chi_one(np.minimum((p - low) / d, 40.0)) + _chi_one(np.minimum((high - p) / d, 40.0))) / 2
+    return np.log(np.maximum(1 - inside.prod(1), 1e-300))
+
+
 def _leaves(p: np.ndarray, size: int) -> list[np.ndarray]:
     """Rows of each leaf of a kd-tree over p; ties are parted by position, so leaves are always small."""
     out, todo = [], [np.arange(len(p))]
@@ -155,7 +214,7 @@ def search(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.nda
             g = np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0)
             gap += g * g
         limit = bound[group].copy()
-        least = np.full(len(group), floor)  # a candidate below this changes nothing
+        least = np.maximum(floor, 1 - limit / 2 - 1e-12)  # a candidate below this changes nothing
         left = np.argsort(gap.min(0), kind="stable")
         while len(left):
             need = gap[:, left] <= factor * limit[:, None] + 1e-12
@@ -195,14 +254,19 @@ def _task(batches):
 
 _CELL_SCHEMA = "cell int, rep string, vec array<float>, bound double, role byte"
 _HIT_SCHEMA = "rep string, other string, sim double"
+#: Roles of a row in a cell: found only, found and searching, searching only.
+FOUND, BOTH, ASKS = 0, 1, 2
 
 
 def _rows(cell, rep, vec, bound, role):
-    return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), rep, vec, pa.array(bound), pa.array(role, pa.int8())], names=["cell", "rep", "vec", "bound", "role"])
+    return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), rep, vec, pa.array(bound, pa.float64()), pa.array(role, pa.int8())], names=["cell", "rep", "vec", "bound", "role"])
+
 
+def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float = -1.0, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, most_trees: int = MOST_TREES, key: str = "id", vec: str = "vec", report: list | None = None) -> DataFrame:
+    """(id, other, sim): the k most similar other vectors of each usable one, of those that reach min_similarity.
 
-def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float = -1.0, dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, cell_rows: int = CELL_ROWS, key: str = "id", vec: str = "vec") -> DataFrame:
-    """(id, other, sim): the k most similar other vectors of each usable one, of those that reach min_similarity."""
+    report gets a dict of counts per turn: cells of a tree, vectors looked up, and cells visited by them.
+    """
     if dimensions < 2 or dimensions % 2:
         raise ValueError("dimensions is even")
     spark = vectors.sparkSession
@@ -218,83 +282,108 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
     n = points.count()
     if n == 0:
         return spark.createDataFrame([], "id string, other string, sim double")
-    matrix, factor = projection(width, dimensions), stop_factor(dimensions, confidence)
+    factor = stop_factor(dimensions, confidence)
     drawn = points.select("vec") if n <= LAYOUT_ROWS else points.where(F.pmod(F.xxhash64("rep"), F.lit(n)) < LAYOUT_ROWS).select("vec")
-    sample = np.array([r[0] for r in drawn.collect()], np.float32).reshape(-1, width)
-    # fewer cells than tasks would idle; a cell of too few rows prunes nothing
-    nodes = layout(_unit(sample) @ matrix, max(1, -(-n // cell_rows), min(8, n // 2000)))
-    cells = [x for x in nodes if x and x[0] < 0]
-    top_bound = 2 - 2 * min_similarity
-    floor = min_similarity - 1e-12
-
-    def place(batches):
-        for b in batches:
-            v = _unit(_matrix(b.column(1), width))
-            yield _rows(_home(nodes, v @ matrix), b.column(0), b.column(1), np.full(len(v), top_bound), np.zeros(len(v), np.int8))
-
-    def local(batches):
-        """Every point against its own cell; the points whose test radius leaves it, once per cell touched."""
+    sample = _unit(np.array([r[0] for r in drawn.collect()], np.float32).reshape(-1, width))
+    cells = max(1, min(-(-n // cell_rows), len(sample) // 8))
+    top_bound, floor, enough = 2 - 2 * min_similarity, min_similarity - 1e-12, math.log(1 - confidence)
+    matrices = [projection(width, dimensions, SEED + i) for i in range(most_trees)]
+    trees: list[list[tuple]] = []
+
+    def placed(shipped, first: int, last: int):
+        """Each point once per tree, in its own cell; those that are open ask, too."""
+
+        def run(batches):
+            trees = shipped.value
+            for b in batches:
+                v = _unit(_matrix(b.column(1), width))
+                asks = np.asarray(b.column(2).is_valid()).astype(np.int8)
+                for t in range(first, last):
+                    yield _rows(t * cells + _home(trees[t], v @ matrices[t]), b.column(0), b.column(1), b.column(2), asks * BOTH)
+
+        return run
+
+    def searched(batches):
+        """The rows that ask in each cell against all that can be found there."""
         t = _task(batches)
         if t is None:
             return
-        cell = t["cell"].to_numpy()
-        for c in np.unique(cell):
-            own = t.filter(pa.array(cell == c)).sort_by("rep").combine_chunks()
-            rep = np.array(own["rep"].to_pylist(), object)
-            v = _unit(_matrix(own["vec"].chunk(0), width))
-            best, where = search(v, np.arange(len(v)), v, np.arange(len(v)), np.full(len(v), top_bound), k, factor, matrix, floor)
-            r, j = np.nonzero(where >= 0)
-            yield _out(rep[r], rep[where[r, j]], best[r, j], None, None)
-            last = np.where(where[:, -1] >= 0, np.minimum(top_bound, 2 - 2 * best[:, -1]), top_bound)
-            q = v @ matrix
-            for x in cells:
-                if x[1] == c:
-                    continue
-                gap = np.maximum(np.maximum(x[2] - q, q - x[3]), 0)
-                far = (gap * gap).sum(1)
-                go = np.flatnonzero(far <= factor * last + 1e-12)
-                for s in range(0, len(go), 10_000):
-                    g = go[s : s + 10_000]
-                    yield _out(rep[g], None, None, np.full(len(g), x[1], np.int32), last[g])
-
-    def _out(rep, other, sim, cell, bound):
-        m = len(rep)
-        cols = [
-            pa.array(list(rep), pa.string()),
-            pa.array(list(other), pa.string()) if other is not None else pa.nulls(m, pa.string()),
-            pa.array(sim) if sim is not None else pa.nulls(m, pa.float64()),
-            pa.array(cell) if cell is not None else pa.nulls(m, pa.int32()),
-            pa.array(bound) if bound is not None else pa.nulls(m, pa.float64()),
-        ]
-        return pa.RecordBatch.from_arrays(cols, names=["rep", "other", "sim", "cell", "bound"])
-
-    def remote(batches):
-        """Points that came to a cell against the cell's own."""
-        t = _task(batches)
-        if t is None:
-            return
-        cell = t["cell"].to_numpy()
-        for c in np.unique(cell):
-            both = t.filter(pa.array(cell == c)).sort_by("rep").combine_chunks()
-            role = both["role"].to_numpy()
-            rep = np.array(both["rep"].to_pylist(), object)
-            v = _unit(_matrix(both["vec"].chunk(0), width))
-            at, q = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        order = np.lexsort((np.array(t["rep"].to_pylist(), object).astype(str), t["cell"].to_numpy()))
+        t = t.take(order).combine_chunks()
+        cell, role = t["cell"].to_numpy(), t["role"].to_numpy()
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        for lo, hi in zip(begin, np.r_[begin[1:], len(cell)], strict=True):
+            own, r = t.slice(lo, hi - lo), role[lo:hi]
+            at, q = np.flatnonzero(r != ASKS), np.flatnonzero(r != FOUND)
             if not len(at) or not len(q):
                 continue
-            best, where = search(v[at], np.full(len(at), -1), v[q], np.full(len(q), -2), both["bound"].to_numpy()[q], k, factor, matrix, floor)
-            r, j = np.nonzero(where >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rep[q[r]]), pa.string()), pa.array(list(rep[at[where[r, j]]]), pa.string()), pa.array(best[r, j])], names=["rep", "other", "sim"])
-
-    parts = len(cells)
-    placed = points.mapInArrow(place, _CELL_SCHEMA)
-    first = materialize(placed.repartitionById(parts, F.col("cell")).mapInArrow(local, "rep string, other string, sim double, cell int, bound double"), "p3-local")
-    hits = first.where(F.col("other").isNotNull()).select("rep", "other", "sim")
-    if len(cells) > 1:
-        visits = first.where(F.col("cell").isNotNull()).select("cell", "rep", "bound").join(points, "rep").select("cell", "rep", "vec", "bound", F.lit(1).cast("byte").alias("role"))
-        hits = hits.union(placed.union(visits).repartitionById(parts, F.col("cell")).mapInArrow(remote, _HIT_SCHEMA))
+            v = _unit(_matrix(own["vec"].chunk(0), width))
+            bound = own["bound"].to_numpy()
+            best, where = search(v[at], at, v[q], q, bound[q], k, factor, matrices[int(cell[lo]) // cells], floor)
+            i, j = np.nonzero(where >= 0)
+            rep = own["rep"].chunk(0)
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(q[i])), rep.take(pa.array(at[where[i, j]])), pa.array(best[i, j])], names=["rep", "other", "sim"])
+
+    def unsettled(shipped, last: int):
+        """(rep, bound) of the points whose stopping test doesn't hold after so many trees."""
+
+        def run(batches):
+            trees = shipped.value
+            for b in batches:
+                v, bound = _unit(_matrix(b.column(1), width)), b.column(2).to_numpy()
+                chance = sum(log_cut_off(trees[t], v @ matrices[t], np.sqrt(np.maximum(bound, 0))) for t in range(last))
+                yield b.filter(pa.array(chance > enough)).select([0, 2])
+
+        return run
+
+    def spread(shipped):
+        """Each open point once for every cell of the first tree that its test radius touches."""
+
+        def run(batches):
+            (nodes, *_) = shipped.value
+            for b in batches:
+                bound = b.column(2).to_numpy()
+                row, cell = _touched(nodes, _unit(_matrix(b.column(1), width)) @ matrices[0], factor * bound)
+                pick = pa.array(row)
+                yield _rows(cell, b.column(0).take(pick), b.column(1).take(pick), bound[row], np.full(len(row), ASKS, np.int8))
+
+        return run
+
+    def kept(hits: DataFrame) -> DataFrame:
+        found = hits.groupBy("rep", "other").agg(F.max("sim").alias("sim"))
+        rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc(F.round("sim", 12)), "other"))
+        return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+    def visit(rows: DataFrame, n_rows: int) -> DataFrame:
+        return rows.repartition(partitions_for(spark, n_rows, TASK_ROWS), "cell").mapInArrow(searched, _HIT_SCHEMA)
+
+    open_, n_open, best, turn = points.select("rep", F.lit(float(top_bound)).alias("bound")), n, None, 0
+    while n_open:
+        first = len(trees)
+        last = min(most_trees, first + TREES[min(turn, len(TREES) - 1)]) if cells > 1 else 1
+        over = first == last
+        if not over:
+            trees += [layout(sample @ matrices[t], cells) for t in range(first, last)]
+        shipped = spark.sparkContext.broadcast(trees)
+        asked = points.join(open_, "rep", "left").select("rep", "vec", "bound")
+        if over:
+            # no number of trees settles them: every cell in reach of one tree
+            rows = points.select("rep", "vec", F.lit(None).cast("double").alias("bound")).mapInArrow(placed(shipped, 0, 1), _CELL_SCHEMA)
+            rows = rows.union(asked.where(F.col("bound").isNotNull()).mapInArrow(spread(shipped), _CELL_SCHEMA))
+            new = visit(rows, 2 * n)
+        else:
+            new = visit(asked.mapInArrow(placed(shipped, first, last), _CELL_SCHEMA), n * (last - first))
+        best = materialize(kept(new if best is None else new.union(best)), "p3-best")
+        if report is not None:
+            report.append({"cells": cells, "asked": n_open, "trees": last - first})
+        if cells == 1 or over:
+            break
+        bounds = best.groupBy("rep").agg(F.count("*").alias("c"), F.min("sim").alias("worst")).where(F.col("c") == k)
+        bounds = bounds.select("rep", F.greatest(F.lit(0.0), F.least(F.lit(float(top_bound)), 2 - 2 * F.col("worst"))).alias("now"))
+        left = asked.where(F.col("bound").isNotNull()).join(bounds, "rep", "left").select("rep", "vec", F.coalesce("now", "bound").alias("bound"))
+        open_ = materialize(left.mapInArrow(unsettled(shipped, last), "rep string, bound double"), "p3-open")
+        n_open, turn = open_.count(), turn + 1
     # classes: own copies and the least ids of the neighbours', best k + 1 of them; each member takes k others
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc(F.round("sim", 12)), "other"))).where(F.col("r") <= k)
     least = few.select(F.col("rep").alias("other"), "least")
     wide = best.join(least, "other").select("rep", "sim", F.explode("least").alias("other"))
     own = few.where((F.size("least") > 1) & F.lit(min_similarity <= 1)).select("rep", F.lit(1.0).alias("sim"), F.explode("least").alias("other"))

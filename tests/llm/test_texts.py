@@ -148,8 +148,26 @@ def test_stop_test():
     assert abs(stop_factor(8, 0.95) - 15.507) < 1e-2
 
 
-@pytest.mark.parametrize("cell_rows", [20_000, 60])
-def test_nearest(spark, cell_rows):
+def test_chance_of_a_cut_off_neighbour():
+    from presq.llm.neighbours import _home, _touched, layout, log_cut_off
+
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((4000, 4))
+    nodes = layout(points, 16)
+    home = _home(nodes, points)
+    assert np.bincount(home).min() > 80 and home.max() == 15
+    p, d = points[:200], np.full(200, 0.3)
+    moved = p[:, None] + 0.3 * rng.standard_normal((200, 500, 4))
+    left = (_home(nodes, moved.reshape(-1, 4)).reshape(200, 500) != home[:200, None]).mean()
+    assert abs(np.exp(log_cut_off(nodes, p, d)).mean() - left) < 0.01
+    row, cell = _touched(nodes, p, np.full(200, 0.09))
+    near = moved[np.linalg.norm(moved - p[:, None], axis=2) <= 0.3]
+    owner = np.nonzero(np.linalg.norm(moved - p[:, None], axis=2) <= 0.3)[0]
+    assert set(zip(owner.tolist(), _home(nodes, near).tolist(), strict=True)) <= set(zip(row.tolist(), cell.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("cell_rows", "trees"), [(20_000, 48), (60, 48), (60, 2)])
+def test_nearest(spark, cell_rows, trees):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((12, 16))
     v = np.concatenate([b + 0.25 * rng.standard_normal((25, 16)) for b in base]).astype(np.float32)
@@ -158,7 +176,7 @@ def test_nearest(spark, cell_rows):
     bad = [("null", None, 0), ("short", [1.0] * 15, 0), ("empty", [], 0), ("zero", [0.0] * 16, 0), ("nan", [float("nan")] * 16, 0), ("inf", [float("inf")] * 16, 0), ("gap", [None] * 16, 0), (None, v[3].tolist(), 0)]
     df = spark.createDataFrame(data + bad + data[:20], "id string, vec array<float>, sim int")
     got = {}
-    for r in nearest(df, 16, 5, 0.5, cell_rows=cell_rows).collect():
+    for r in nearest(df, 16, 5, 0.5, cell_rows=cell_rows, most_trees=trees).collect():
         got.setdefault(r.id, set()).add(r.other)
     ids = np.array([d[0] for d in data])
     x = np.array([d[1] for d in data], float)
