@@ -244,7 +244,19 @@ def search(index: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.nda
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, width)
+    """Vectors of a column of 32-bit floats as bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(column.buffers()[2], np.float32, len(column) * width, int(offsets[0])).reshape(-1, width)
+
+
+def _as_bytes(batches):
+    """(rep, vec) with vectors as bytes, which are moved as they are."""
+    for b in batches:
+        flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        width = 4 * (len(flat) // max(1, b.num_rows))
+        offsets = (np.arange(b.num_rows + 1) * width).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        yield pa.RecordBatch.from_arrays([b.column(0), data], names=["rep", "vec"])
 
 
 def _task(batches):
@@ -252,7 +264,7 @@ def _task(batches):
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-_CELL_SCHEMA = "cell int, rep string, vec array<float>, bound double, role byte"
+_CELL_SCHEMA = "cell int, rep string, vec binary, bound double, role byte"
 _HIT_SCHEMA = "rep string, other string, sim double"
 #: Roles of a row in a cell: found only, found and searching, searching only.
 FOUND, BOTH, ASKS = 0, 1, 2
@@ -278,13 +290,14 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
     some = one.groupBy("h1", "h2", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("l"))
     few = some.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, k + 1).alias("least"))
     few = materialize(few.withColumn("rep", F.col("least")[0]), "p3-copies")
-    points = materialize(one.join(few.select("rep").withColumnRenamed("rep", "id"), "id", "left_semi").select(F.col("id").alias("rep"), "vec"), "p3-points")
+    points = one.join(few.select("rep").withColumnRenamed("rep", "id"), "id", "left_semi").select(F.col("id").alias("rep"), "vec")
+    points = materialize(points.mapInArrow(_as_bytes, "rep string, vec binary"), "p3-points")
     n = points.count()
     if n == 0:
         return spark.createDataFrame([], "id string, other string, sim double")
     factor = stop_factor(dimensions, confidence)
     drawn = points.select("vec") if n <= LAYOUT_ROWS else points.where(F.pmod(F.xxhash64("rep"), F.lit(n)) < LAYOUT_ROWS).select("vec")
-    sample = _unit(np.array([r[0] for r in drawn.collect()], np.float32).reshape(-1, width))
+    sample = _unit(np.frombuffer(b"".join(bytes(r[0]) for r in drawn.collect()), np.float32).reshape(-1, width))
     cells = max(1, min(-(-n // cell_rows), len(sample) // 8))
     top_bound, floor, enough = 2 - 2 * min_similarity, min_similarity - 1e-12, math.log(1 - confidence)
     matrices = [projection(width, dimensions, SEED + i) for i in range(most_trees)]
@@ -308,9 +321,9 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
         t = _task(batches)
         if t is None:
             return
-        order = np.lexsort((np.array(t["rep"].to_pylist(), object).astype(str), t["cell"].to_numpy()))
-        t = t.take(order).combine_chunks()
+        t = t.sort_by([("cell", "ascending"), ("rep", "ascending")]).combine_chunks()
         cell, role = t["cell"].to_numpy(), t["role"].to_numpy()
+        number = t["rep"].combine_chunks().dictionary_encode().indices.to_numpy()
         begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         for lo, hi in zip(begin, np.r_[begin[1:], len(cell)], strict=True):
             own, r = t.slice(lo, hi - lo), role[lo:hi]
@@ -319,7 +332,8 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
                 continue
             v = _unit(_matrix(own["vec"].chunk(0), width))
             bound = own["bound"].to_numpy()
-            best, where = search(v[at], at, v[q], q, bound[q], k, factor, matrices[int(cell[lo]) // cells], floor)
+            same = number[lo:hi]
+            best, where = search(v[at], same[at], v[q], same[q], bound[q], k, factor, matrices[int(cell[lo]) // cells], floor)
             i, j = np.nonzero(where >= 0)
             rep = own["rep"].chunk(0)
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(q[i])), rep.take(pa.array(at[where[i, j]])), pa.array(best[i, j])], names=["rep", "other", "sim"])
