@@ -3,12 +3,14 @@
 Method: size-aware overlap join. A similarity threshold t asks of a record of s tokens that it shares k of its
 s - ceil(t s) + k rarest tokens with any partner that reaches t. That turns the similarity join into an overlap
 join with the small threshold k: records whose rare part is small enumerate its k-token subsets (k is 2) and meet
-in a common subset; records whose rare part is large scan the inverted lists of its tokens and keep the partners met
-k times. The union of both is filtered by a bit signature that bounds the overlap, then by the exact similarity.
+in a common subset; records whose rare part is large scan the inverted lists of its tokens. The union of both is
+filtered by a bit signature that bounds the overlap, then by the exact similarity. The full overlap that the similarity
+asks for can't be enumerated: at 0.7 two sets of 70 share 58 tokens, and 70 tokens have more than 10^13 such subsets.
 
 A subset travels as its rarest token with the tokens after it, so a record costs as many rows as its rare part has
-tokens. Where the rarest token is hot, its subsets are spread by their second token. Equal sets are joined once, by
-a representative. Tokens are ordered by a frequency sketch of fixed size, which is all that is broadcast unchecked.
+tokens. Where the rarest token is hot, its subsets are spread by their second token. A key of more than KEY_ROWS rows
+all the same is cut into blocks, and each two blocks meet in a task of their own. Equal sets are joined once, by
+a representative. Tokens are ordered by a frequency sketch of at most 64 MB, which is broadcast with the keys cut.
 
 Defined cases: null records or tokens hold no cell; repeated cells count once; records without a cell take no part;
 similarity equal to the threshold is included; an empty table gives an empty result; other columns are ignored.
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presq.llm.sets import classes, frequency, sketch
-from presq.plans.shared import BROADCAST_BYTES, materialize, partitions_for
+from presq.llm.sets import classes, frequency, level, reaches, sketch
+from presq.plans.shared import drop_table, materialize, partitions_for
 
 #: Rare parts of more tokens than this scan inverted lists instead of enumerating subsets.
 SMALL_PART = 64
 #: Tokens of at least this many records spread their subsets by the second token.
 HOT_TOKEN = 20_000
 TASK_ROWS = 1_000_000
+#: Rows of one key that meet in one task.
+KEY_ROWS = 50_000
 PAIRS_AT_ONCE = 2_000_000
 WORDS = 4
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -111,7 +115,7 @@ def _rare_parts(shipped, threshold: Fraction, k: int, small: int, hot: int, any_
             return off, at
 
         large = length[row] > small
-        heavy = f >= hot
+        heavy = f >= level(hot)
         if k == 1:
             pick = np.flatnonzero(~large)
             yield rows(pick, flat[pick], np.zeros(len(pick) + 1, np.int64), little[:0], 0)
@@ -191,12 +195,19 @@ def _candidates(threshold: Fraction, k: int):
         for w in range(WORDS):
             x[f"w{w}"] = x[f"w{w}"].view(np.uint64)
         rest = t["rest"].chunk(0) if t["rest"].num_chunks else None
-        seen = []
+        seen: list[np.ndarray] = []
 
-        def emit(i, j):
+        def emit(i, j, last=False):
+            """Pairs found, without repeats, once there are enough of them."""
             a, b = x["id"][i], x["id"][j]
             if len(a):
                 seen.append(_distinct(np.minimum(a, b), np.maximum(a, b)))
+            if seen and (last or sum(map(len, seen)) > PAIRS_AT_ONCE):
+                got = np.concatenate(seen)
+                seen.clear()
+                got = _distinct(got[:, 0], got[:, 1])
+                for s in range(0, len(got), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(got[s : s + 200_000, 0]), pa.array(got[s : s + 200_000, 1])], names=["a", "b"])
 
         small = np.flatnonzero(x["side"] == 0)
         if len(small):
@@ -214,13 +225,13 @@ def _candidates(threshold: Fraction, k: int):
                 new = np.r_[True, x["token"][row][1:] != x["token"][row][:-1]]
             first = np.flatnonzero(new)
             for i, j in _pairs(first, np.diff(np.r_[first, len(row)])):
-                emit(*fit(x, row[i], row[j]))
+                yield from emit(*fit(x, row[i], row[j]))
         short = np.flatnonzero(x["side"] == 3)
         if len(short):
             row = short[np.argsort(x["token"][short], kind="stable")]
             first = np.flatnonzero(np.r_[True, x["token"][row][1:] != x["token"][row][:-1]])
             for i, j in _pairs(first, np.diff(np.r_[first, len(row)])):
-                emit(*fit(x, row[i], row[j]))
+                yield from emit(*fit(x, row[i], row[j]))
         large = np.flatnonzero(x["side"] == 1)
         if len(large):
             order = np.argsort(x["token"], kind="stable")
@@ -228,12 +239,9 @@ def _candidates(threshold: Fraction, k: int):
             is_large = np.flatnonzero(x["side"][order] == 1)
             first, last = np.searchsorted(key, key[is_large], "left"), np.searchsorted(key, key[is_large], "right")
             for i, j in _scans(is_large, first, last - first):
-                emit(*fit(x, order[i], order[j]))
-        if seen:
-            got = np.concatenate(seen)
-            got = _distinct(got[:, 0], got[:, 1])
-            for s in range(0, len(got), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(got[s : s + 200_000, 0]), pa.array(got[s : s + 200_000, 1])], names=["a", "b"])
+                yield from emit(*fit(x, order[i], order[j]))
+        none = np.zeros(0, np.int64)
+        yield from emit(none, none, True)
 
     return run
 
@@ -245,7 +253,21 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[new], b[new]], 1)
 
 
-def similar_pairs(sets: DataFrame, threshold: str = "7/10", subset: int = 2, small_part: int = SMALL_PART, hot_token: int = HOT_TOKEN, task_rows: int = TASK_ROWS) -> DataFrame:
+def _blocks(parts: DataFrame, key_rows: int) -> DataFrame:
+    """parts with the keys of more than key_rows rows cut: a row goes to each pair of blocks that its own block is in."""
+    hot = parts.groupBy("key").count().where(F.col("count") > key_rows)
+    # at most a key for every key_rows rows
+    hot = materialize(hot.select("key", F.ceil(F.col("count") / key_rows).cast("int").alias("blocks")), "p1-hot")
+    if hot.isEmpty():
+        return parts
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    met = parts.join(F.broadcast(hot), "key", "left").withColumn("o", own)
+    met = met.withColumn("q", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    cut = lambda c: F.when(F.col("blocks").isNull(), F.col(c)).otherwise(F.xxhash64(c, F.least("o", "q"), F.greatest("o", "q"))).alias(c)
+    return met.select(*[cut(c) if c in ("key", "token") else c for c in parts.columns])
+
+
+def similar_pairs(sets: DataFrame, threshold: str = "7/10", subset: int = 2, small_part: int = SMALL_PART, hot_token: int = HOT_TOKEN, task_rows: int = TASK_ROWS, key_rows: int = KEY_ROWS) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of sets(id, kind, tokens) whose similarity reaches the threshold, a fraction.
 
     Pairs of two records of kind 1 are left out: kind 0 is joined with itself and with kind 1.
@@ -256,20 +278,17 @@ def similar_pairs(sets: DataFrame, threshold: str = "7/10", subset: int = 2, sma
     sets = materialize(sets.where(F.size("tokens") > 0), "p1-sets")
     reps, members = classes(sets, "p1-members")
     reps = materialize(reps.withColumn("num", F.xxhash64("rep", "kind")), "p1-reps")
-    n_rows = reps.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("t"), F.max(F.size("tokens")).alias("m")).first()
+    n_rows = reps.agg(F.sum(F.size("tokens")).alias("t"), F.max(F.size("tokens")).alias("m")).first()
     top = np.array([n_rows.m or 0])
-    counts = spark.sparkContext.broadcast(sketch(sets))
+    counts = spark.sparkContext.broadcast(sketch(reps, n_rows.t or 0))
     any_large = bool((top - _floors(t, top) + subset)[0] > small_part)
-    parts = reps.select("num", "kind", "tokens").mapInArrow(_rare_parts(counts, t, subset, small_part, hot_token, any_large), _SCHEMA)
+    parts = materialize(reps.select("num", "kind", "tokens").mapInArrow(_rare_parts(counts, t, subset, small_part, hot_token, any_large), _SCHEMA), "p1-parts")
     n = partitions_for(spark, (n_rows.t or 0) // 2, task_rows)
-    pairs = materialize(parts.repartition(n, "key").mapInArrow(_candidates(t, subset), _PAIR_SCHEMA).distinct(), "p1-pairs")
-    whole = F.broadcast(reps) if (n_rows.t or 0) * 8 + (n_rows.n or 0) * 64 <= BROADCAST_BYTES else reps
-    left = whole.select(F.col("num").alias("a"), F.col("rep").alias("rep_a"), F.col("kind").alias("kind_a"), F.col("tokens").alias("ta"))
-    right = whole.select(F.col("num").alias("b"), F.col("rep").alias("rep_b"), F.col("kind").alias("kind_b"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - F.col("common")
-    near = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    near = near.where(F.col("common") * t.denominator >= union * t.numerator).select("rep_a", "kind_a", "rep_b", "kind_b")
+    pairs = materialize(_blocks(parts, key_rows).repartition(n, "key").mapInArrow(_candidates(t, subset), _PAIR_SCHEMA).distinct(), "p1-pairs")
+    drop_table(parts)
+    left = reps.select(F.col("num").alias("a"), F.col("rep").alias("rep_a"), F.col("kind").alias("kind_a"), F.col("tokens").alias("ta"))
+    right = reps.select(F.col("num").alias("b"), F.col("rep").alias("rep_b"), F.col("kind").alias("kind_b"), F.col("tokens").alias("tb"))
+    near = pairs.join(left, "a").join(right, "b").where(reaches("ta", "tb", t)).select("rep_a", "kind_a", "rep_b", "kind_b")
 
     # copies: a representative's pairs hold for its members, and the members of a class are pairs themselves
     ma = members.select(F.col("rep").alias("rep_a"), F.col("kind").alias("kind_a"), F.col("id").alias("id_a"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presq.plans.shared import materialize
 
-#: Counters of the token frequency sketch: a fixed 4 MB whatever the data.
-SKETCH = 1 << 20
+#: Counters of the token frequency sketch, a byte each: one for every four cells of the data, between these bounds.
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 26
+_BLOCK = 1 << 16
 
 
 def token_sets(rows: DataFrame, kind: int = 0) -> DataFrame:
@@ -21,17 +23,34 @@ def token_sets(rows: DataFrame, kind: int = 0) -> DataFrame:
     return sets.select("id", F.lit(kind).cast("byte").alias("kind"), F.array_sort("tokens").alias("tokens"))
 
 
-def sketch(sets: DataFrame) -> np.ndarray:
-    """Rough frequencies of tokens by hash: a bounded table that only orders tokens, so its errors change no result."""
-    slot = F.col("t").bitwiseAND(F.lit(SKETCH - 1)).cast("int")
-    rows = sets.select(F.explode("tokens").alias("t")).groupBy(slot.alias("slot")).count().toPandas()
-    out = np.zeros(SKETCH, np.int32)
-    out[rows["slot"].to_numpy(np.int64)] = np.minimum(rows["count"].to_numpy(np.int64), 2**31 - 1)
+def level(count):
+    """A count on the sketch's scale of a byte: 0 for none, 1 for one alone, eight levels to a doubling."""
+    count = np.asarray(count, np.float64)
+    return np.where(count < 1, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(count, 1))))).astype(np.uint8)
+
+
+def _block(table: pa.Table) -> pa.Table:
+    out = np.zeros(_BLOCK, np.uint8)
+    out[table["slot"].to_numpy() % _BLOCK] = level(table["count"].to_numpy())
+    return pa.table({"block": table["block"].slice(0, 1), "levels": pa.array([out.tobytes()], pa.binary())})
+
+
+def sketch(sets: DataFrame, cells: int) -> np.ndarray:
+    """Rough frequencies of tokens by hash, for so many cells: it only orders tokens, so its errors change no result.
+
+    The levels are put together in tasks, a block of counters each; MOST_COUNTERS bytes at most reach the driver.
+    """
+    n = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (cells // 4).bit_length()))
+    slot = F.col("t").bitwiseAND(F.lit(n - 1).cast("long")).alias("slot")
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy(slot).count().withColumn("block", F.floor(F.col("slot") / _BLOCK))
+    out = np.zeros(n, np.uint8)
+    for r in counts.groupBy("block").applyInArrow(_block, "block long, levels binary").collect():
+        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(bytes(r.levels), np.uint8)
     return out
 
 
-def frequency(counts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return counts[tokens & (SKETCH - 1)]
+def frequency(levels: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return levels[tokens & (len(levels) - 1)]
 
 
 def classes(sets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

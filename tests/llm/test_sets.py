@@ -38,7 +38,7 @@ def jaccard(a, b):
     return len(a & b), len(a | b)
 
 
-@pytest.mark.parametrize("options", [{}, {"subset": 1}, {"small_part": 5}, {"hot_token": 3}, {"small_part": 5, "hot_token": 3}])
+@pytest.mark.parametrize("options", [{}, {"subset": 1}, {"small_part": 5}, {"hot_token": 3}, {"small_part": 5, "hot_token": 3}, {"key_rows": 4}, {"small_part": 5, "key_rows": 3}])
 def test_similar_pairs(spark, options):
     sets = records()
     got = {(r.id_a, r.id_b) for r in similar_pairs(token_sets(rows(spark, sets)), "7/10", **options).collect()}
@@ -51,6 +51,16 @@ def test_similar_pairs(spark, options):
     assert got == want
 
 
+def test_sketch_grows_with_the_cells(spark, monkeypatch):
+    import presq.llm.sets as sets
+
+    df = token_sets(spark.createDataFrame([(f"r{i}", f"t{i % 7}") for i in range(70)] + [("r0", "alone")], "rec string, term string"))
+    assert len(sets.sketch(df, 10)) == sets.LEAST_COUNTERS and len(sets.sketch(df, 10**6)) == 1 << 18
+    monkeypatch.setattr(sets, "MOST_COUNTERS", 1 << 17)
+    counters = sets.sketch(df, 10**9)
+    assert len(counters) == 1 << 17 and sorted(counters[counters > 0]) == [1] + [sets.level(10)] * 7
+
+
 def test_pairs_of_two_tables(spark):
     a = token_sets(spark.createDataFrame([("s", "x"), ("s", "y"), ("s", "z")], "rec string, term string"))
     b = token_sets(spark.createDataFrame([(k, t) for k in ("p", "q") for t in "xyz"], "rec string, term string"), kind=1)
