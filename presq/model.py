@@ -27,7 +27,8 @@ class AlleleFrame:
         self.alleles = alleles.select("col_idx", "allele")
         counted = self.presence.groupBy("guid").agg(F.count("*").alias("n"))
         mass = F.coalesce("n", F.lit(0)).cast("int").alias("mass")
-        self.guids = guids.select("row_idx", "guid").join(counted, "guid", "left").select("row_idx", "guid", mass)
+        self.labels = guids.select("row_idx", "guid")
+        self.guids = self.labels.join(counted, "guid", "left").select("row_idx", "guid", mass)
         self._sizes: dict[str, int] = {}
         self._cached: dict[str, DataFrame] = {}
 
@@ -53,6 +54,7 @@ class AlleleFrame:
 
     def persist(self) -> AlleleFrame:
         self.presence, self.guids, self.alleles = self.presence.persist(), self.guids.persist(), self.alleles.persist()
+        self.labels = self.guids.select("row_idx", "guid")
         return self
 
     def create_views(self) -> AlleleFrame:
@@ -63,7 +65,7 @@ class AlleleFrame:
 
     def n_guids(self) -> int:
         if "g" not in self._sizes:
-            self._sizes["g"] = self.guids.count()
+            self._sizes["g"] = self.labels.count()
         return self._sizes["g"]
 
     def n_alleles(self) -> int:
@@ -79,7 +81,7 @@ class AlleleFrame:
 
     def indexed(self) -> DataFrame:
         """(row_idx, col_idx) of every cell."""
-        g, a = self.guids.select("row_idx", "guid"), self.alleles.select("col_idx", "allele")
+        g, a = self.labels, self.alleles.select("col_idx", "allele")
         return self.presence.join(g, "guid").join(a, "allele").select("row_idx", "col_idx")
 
     def _check(self, values, dim: DataFrame, name: str) -> list[str]:
@@ -90,30 +92,49 @@ class AlleleFrame:
         return asked
 
     def check_guids(self, guids) -> list[str]:
-        return self._check(guids, self.guids, "guid")
+        return self._check(guids, self.labels, "guid")
 
     def check_alleles(self, alleles) -> list[str]:
         return self._check(alleles, self.alleles, "allele")
 
+    def split_labels(self, values, what: str = "guid") -> tuple[list[str], list[str]]:
+        """Those of values that the matrix has, in matrix order, and those that it hasn't, in the order given."""
+        dim, idx = (self.labels, "row_idx") if what == "guid" else (self.alleles, "col_idx")
+        asked = list(dict.fromkeys(str(v) for v in values))
+        known = [r[0] for r in dim.where(F.col(what).isin(asked)).orderBy(idx).select(what).collect()]
+        return known, [v for v in asked if v not in set(known)]
+
     def known_guids(self, guids) -> list[str]:
         """Those of guids that the matrix has."""
         return [r.guid for r in self.guids.where(F.col("guid").isin([str(g) for g in guids])).orderBy("row_idx").select("guid").collect()]
 
     # distances
-    def pairwise(self, guids=None, metric: str = "hamming", chunk_size: int | None = None) -> DataFrame:
-        """(guid_a, guid_b, distance) of every pair once; chunk_size has no effect. Kept until flush_cache()."""
+    def pairwise(self, guids=None, metric: str = "hamming", chunk_size: int | None = None, keep: bool = False) -> DataFrame:
+        """(guid_a, guid_b, distance) of every pair once; chunk_size has no effect. With keep the pairs stay until flush_cache()."""
         key = f"{metric}:{sorted(guids) if guids else ''}"
-        if key not in self._cached:
-            self._cached[key] = distance.pairwise(self, metric, guids or None).persist()
-        return self._cached[key]
+        if key in self._cached:
+            return self._cached[key]
+        pairs = distance.pairwise(self, metric, guids or None)
+        if keep:
+            self._cached[key] = pairs = pairs.persist()
+        return pairs
+
+    def pairwise_known(self, guids, metric: str = "hamming") -> DataFrame:
+        """pairwise() of those of guids that the matrix has; with none of them KeyError, with one ValueError."""
+        known, _ = self.split_labels(guids)
+        if not known:
+            raise KeyError("none of the guids is known")
+        if len(known) == 1:
+            raise ValueError("a pair takes two known guids")
+        return self.pairwise(known, metric)
 
     def square_matrix(self, guids=None, metric: str = "hamming") -> DataFrame:
         g = self.guids.where(F.col("guid").isin(list(guids))) if guids else self.guids
         return distance.square(self.pairwise(guids, metric), g)
 
-    def neighbourhood(self, guid: str, n: int, simd: bool = True, include_self: bool = False) -> DataFrame:
+    def neighbourhood(self, guid: str, n: int, simd: bool = True, include_self: bool = False, order_by: str | None = None) -> DataFrame:
         """(guid, distance) within n of guid; simd has no effect."""
-        return distance.neighbourhood(self, guid, n, include_self)
+        return distance.neighbourhood(self, guid, n, include_self, order_by)
 
     def pairs_within(self, n: int) -> DataFrame:
         return distance.pairs_within(self, n)
@@ -132,13 +153,18 @@ class AlleleFrame:
         out = algebra.accessory(self, guids, missingness)
         return out if return_counts else out.select("allele")
 
-    def unique(self, guids) -> DataFrame:
+    def unique(self, guids, on_unknown: str = "error") -> DataFrame:
+        """As algebra.unique; with ignore, unknown guids are left out, and with none left all samples are meant."""
+        if on_unknown == "ignore":
+            guids = self.known_guids(guids)
+            if not guids:
+                return algebra.carried_by_all(self)
         return algebra.unique(self, guids)
 
     def common(self, guids) -> DataFrame:
         """(allele) that all of the known guids carry; with none known, that all samples do."""
-        known = self.known_guids(guids) or [r.guid for r in self.guids.select("guid").collect()]
-        return self.core(known)
+        known = self.known_guids(guids)
+        return self.core(known) if known else algebra.carried_by_all(self)
 
     def allele(self, alleles, on_unknown: str = "error") -> DataFrame:
         return algebra.carriers(self, alleles, on_unknown)
@@ -204,7 +230,7 @@ class AlleleFrame:
         return every.join(ones, ["guid", "allele"], "left").select("guid", "allele", F.coalesce("value", F.lit(0)).cast("int").alias("value"))
 
     def get_headers(self) -> dict:
-        guids = [r.guid for r in self.guids.orderBy("row_idx").select("guid").collect()]
+        guids = [r.guid for r in self.labels.orderBy("row_idx").select("guid").collect()]
         return {"guids": guids, "alleles": [r.allele for r in self.alleles.orderBy("col_idx").select("allele").collect()]}
 
     def get_matrix(self, max_cells: int = 200_000_000):
@@ -214,11 +240,10 @@ class AlleleFrame:
         n, m = self.n_guids(), self.n_alleles()
         if n * m > max_cells:
             raise ValueError(f"{n} x {m} cells are more than max_cells; write the matrix with presq.sources.writers instead")
-        head = self.get_headers()
-        rows, cols = ({v: i for i, v in enumerate(head[k])} for k in ("guids", "alleles"))
         out = np.zeros((n, m), np.uint8)
-        for r in self.presence.toLocalIterator():
-            out[rows[r.guid], cols[r.allele]] = 1
+        ranks = [dict_of.orderBy(c).select(c).toArrow()[c].to_numpy() for dict_of, c in ((self.labels, "row_idx"), (self.alleles, "col_idx"))]
+        cells = self.indexed().toArrow()
+        out[np.searchsorted(ranks[0], cells["row_idx"].to_numpy()), np.searchsorted(ranks[1], cells["col_idx"].to_numpy())] = 1
         return out
 
     def to_dataframe(self, max_columns: int = 10_000) -> DataFrame:

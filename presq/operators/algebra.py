@@ -48,6 +48,11 @@ def unique(frame, guids) -> DataFrame:
     return both.where((F.col("in") == len(given)) & (F.col("out") == 0)).select("allele")
 
 
+def carried_by_all(frame) -> DataFrame:
+    """(allele): those that every sample carries."""
+    return frame.presence.groupBy("allele").agg(F.count("*").alias("n")).where(F.col("n") == frame.n_guids()).select("allele")
+
+
 def carriers(frame, alleles, on_unknown: str = "error") -> DataFrame:
     """(guid): samples that carry every allele given. Unknown alleles are an error, or with ignore are left out;
     with none left every sample is a carrier."""

@@ -2,35 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presq.functions.bits import MAX_WORDS, differing, n_words, pack
 
 METRICS = ("hamming", "jaccard", "absolute", "euclidean", "hamming_fraction")
-#: Rows of a block of the all-pairs plan.
+#: Most rows of a block of the all-pairs plan, and tasks that a plan of few rows is spread over for each core.
 BLOCK_ROWS = 2_000
+TASKS_A_CORE = 2
+#: Columns up to which one sample's alleles, no more than these, are broadcast.
+OWN_CELLS = 200_000
 
 
-def _blocks(n: int) -> int:
-    return max(1, -(-n // BLOCK_ROWS))
+def _blocks(frame, n: int) -> int:
+    """Blocks so that rows fit in one, and so that pairs of blocks keep all cores busy: half a pair for two blocks."""
+    cores = frame.spark.sparkContext.defaultParallelism
+    busy = int((2 * TASKS_A_CORE * cores) ** 0.5) + 1 if n > 200 else 1
+    return max(busy, -(-n // BLOCK_ROWS))
 
 
 def block_pairs(rows: DataFrame, blocks: int, band: str | None = None) -> DataFrame:
     """Pairs x.row_idx < y.row_idx of rows, met in blocks: an equi-join of block pairs, never a nested-loop join.
 
-    With a band column only rows of equal or neighbouring bands meet.
+    Each two blocks i <= j meet once; rows of two blocks meet in either order of their numbers. With a band column only
+    rows of equal or neighbouring bands meet.
     """
-    block = F.pmod(F.xxhash64("row_idx"), F.lit(blocks)).cast("int")
-    r = rows.withColumn("_b", block)
-    left = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_i", F.col("_b")).withColumn("_j", F.col("_o"))
-    right = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_i", F.col("_o")).withColumn("_j", F.col("_b"))
-    keys = (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
+    r = rows.withColumn("_b", F.pmod(F.xxhash64("row_idx"), F.lit(blocks)).cast("int"))
+    left = r.withColumn("_j", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1)))).withColumn("_i", F.col("_b"))
+    right = r.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))).withColumn("_j", F.col("_b"))
+    number = lambda df: df.withColumn("_k", F.col("_i") * blocks + F.col("_j"))
+    left, right, on = number(left), number(right), ["_k"]
     if band is not None:
         left = left.withColumn("_band", F.explode(F.array(F.col(band) - 1, F.col(band), F.col(band) + 1)))
-        right = right.withColumn("_band", F.col(band))
-        keys &= F.col("x._band") == F.col("y._band")
-    return left.alias("x").join(right.alias("y"), keys & (F.col("x.row_idx") < F.col("y.row_idx")))
+        right, on = right.withColumn("_band", F.col(band)), ["_k", "_band"]
+    else:
+        # few rows make many pairs: a partition for each pair of blocks, which adaptive execution leaves alone
+        parts = blocks * (blocks + 1) // 2
+        left, right = (x.repartition(parts, "_k").hint("shuffle_hash") for x in (left, right))
+    keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    within = (F.col("x._i") != F.col("x._j")) | (F.col("x.row_idx") < F.col("y.row_idx"))
+    met = left.alias("x").join(right.alias("y"), [*keys, within])
+    return met
+
+
+def _ordered(first: str, second: str, name: str):
+    """Columns name_a and name_b of the side with the lesser row number and of the other."""
+    lower = F.col("x.row_idx") < F.col("y.row_idx")
+    return [F.when(lower, F.col(f"x.{first}")).otherwise(F.col(f"y.{first}")).alias(f"{name}_a"), F.when(lower, F.col(f"y.{second}")).otherwise(F.col(f"x.{second}")).alias(f"{name}_b")]
 
 
 def common_counts(indexed: DataFrame) -> DataFrame:
@@ -40,17 +62,23 @@ def common_counts(indexed: DataFrame) -> DataFrame:
     return x.join(y, "col_idx").where("ra < rb").groupBy("ra", "rb").agg(F.count("*").alias("c"))
 
 
+def _masses(words: int):
+    return reduce(add, [F.bit_count(f"w{k}") for k in range(words)]).cast("int")
+
+
 def hamming_pairs(frame, guids: list[str] | None = None) -> DataFrame:
     """(guid_a, guid_b, mass_a, mass_b, distance) of every pair in matrix order."""
-    g = frame.guids if guids is None else frame.guids.where(F.col("guid").isin(guids))
-    n = frame.n_guids()
-    indexed = frame.indexed() if guids is None else frame.indexed().join(g.select("row_idx"), "row_idx", "left_semi")
     words = n_words(frame.width())
-    named = [F.col("x.guid").alias("guid_a"), F.col("y.guid").alias("guid_b"), F.col("x.mass").alias("mass_a"), F.col("y.mass").alias("mass_b")]
+    labels = frame.labels if guids is None else frame.labels.where(F.col("guid").isin(guids))
+    n = frame.n_guids() if guids is None else len(set(guids))
+    indexed = frame.indexed() if guids is None else frame.indexed().join(F.broadcast(labels.select("row_idx")), "row_idx", "left_semi")
     if words <= MAX_WORDS:
-        return block_pairs(pack(indexed, g, words), _blocks(n)).select(*named, differing("x", "y", words).alias("distance"))
-    pairs = block_pairs(g, _blocks(n)).select(*named, F.col("x.row_idx").alias("ra"), F.col("y.row_idx").alias("rb"))
-    joined = pairs.join(common_counts(indexed), ["ra", "rb"], "left")
+        rows = pack(indexed, labels, words)
+        rows = rows.withColumn("mass", _masses(words))
+        return block_pairs(rows, _blocks(frame, n)).select(*_ordered("guid", "guid", "guid"), *_ordered("mass", "mass", "mass"), differing("x", "y", words).alias("distance"))
+    g = frame.guids if guids is None else frame.guids.where(F.col("guid").isin(guids))
+    pairs = block_pairs(g, _blocks(frame, n)).select(*_ordered("guid", "guid", "guid"), *_ordered("mass", "mass", "mass"), *_ordered("row_idx", "row_idx", "r"))
+    joined = pairs.join(common_counts(indexed).select(F.col("ra").alias("r_a"), F.col("rb").alias("r_b"), "c"), ["r_a", "r_b"], "left")
     distance = (F.col("mass_a") + F.col("mass_b") - 2 * F.coalesce("c", F.lit(0))).cast("int")
     return joined.select("guid_a", "guid_b", "mass_a", "mass_b", distance.alias("distance"))
 
@@ -91,18 +119,33 @@ def condensed(squared: DataFrame, guids: DataFrame) -> DataFrame:
     return squared.join(a, "guid_a").join(b, "guid_b").where("ra < rb").select("guid_a", "guid_b", "distance")
 
 
-def neighbourhood(frame, guid: str, n: int, include_self: bool = False) -> DataFrame:
-    """(guid, distance) of the samples within n of guid, bounds included; the sample itself only if asked for."""
+def neighbourhood(frame, guid: str, n: int, include_self: bool = False, order_by: str | None = None) -> DataFrame:
+    """(guid, distance) of the samples within n of guid, bounds included; the sample itself only if asked for.
+
+    One pass over the cells counts each sample's alleles and those in common; order_by is guid, distance or none.
+    """
     if n < 0:
         raise ValueError("the distance isn't negative")
+    if order_by not in (None, "guid", "distance"):
+        raise ValueError("order_by is guid or distance")
     frame.check_guids([guid])
-    own = frame.presence.where(F.col("guid") == guid).select("allele")
-    mass = F.broadcast(frame.guids.where(F.col("guid") == guid).select(F.col("mass").alias("qm")))
-    others = frame.guids.join(mass, F.abs(F.col("mass") - F.col("qm")) <= n)
-    shared = frame.presence.join(own, "allele", "left_semi").groupBy("guid").agg(F.count("*").alias("c"))
-    out = others.join(shared, "guid", "left")
-    out = out.select("guid", (F.col("mass") + F.col("qm") - 2 * F.coalesce("c", F.lit(0))).cast("int").alias("distance"))
-    return out.where((F.col("distance") <= n) & (F.lit(include_self) | (F.col("guid") != guid)))
+    own = frame.presence.where(F.col("guid") == guid).select("allele", F.lit(1).alias("own"))
+    counted = frame.presence.join(F.broadcast(own) if frame.width() <= OWN_CELLS else own, "allele", "left")
+    counted = counted.groupBy("guid").agg(F.count("*").alias("mass"), F.count("own").alias("c"))
+    mass = own.agg(F.count("*").alias("qm"))
+    zero = F.lit(0).cast("long")
+    out = frame.labels.select("guid").join(counted, "guid", "left").crossJoin(F.broadcast(mass))
+    out = out.select("guid", (F.coalesce("mass", zero) + F.col("qm") - 2 * F.coalesce("c", zero)).cast("int").alias("distance"))
+    out = out.where((F.col("distance") <= n) & (F.lit(include_self) | (F.col("guid") != guid)))
+    return out if order_by is None else out.orderBy(order_by, "guid")
+
+
+def below(pairs: DataFrame, guid: str, d: float, strict: bool = True) -> DataFrame:
+    """(guid, distance) of the row of guid in condensed or square pairs: distances less than d, or at most d; not itself."""
+    at = F.col("distance") < d if strict else F.col("distance") <= d
+    a = pairs.where((F.col("guid_a") == guid) & at).select(F.col("guid_b").alias("guid"), "distance")
+    b = pairs.where((F.col("guid_b") == guid) & at).select(F.col("guid_a").alias("guid"), "distance")
+    return a.union(b).where(F.col("guid") != guid).distinct()
 
 
 def pairs_within(frame, n: int) -> DataFrame:
@@ -110,13 +153,29 @@ def pairs_within(frame, n: int) -> DataFrame:
     if n < 0:
         raise ValueError("the distance isn't negative")
     words = n_words(frame.width())
-    near = F.abs(F.col("x.mass") - F.col("y.mass")) <= n
     if words > MAX_WORDS:
-        return hamming_pairs(frame).where(F.col("distance") <= n).select("guid_a", "guid_b", "distance")
-    rows = pack(frame.indexed(), frame.guids, words).withColumn("band", F.floor(F.col("mass") / (n + 1)).cast("int"))
-    pairs = block_pairs(rows, _blocks(frame.n_guids()), "band").where(near)
-    out = pairs.select(F.col("x.guid").alias("guid_a"), F.col("y.guid").alias("guid_b"), differing("x", "y", words).alias("distance"))
-    return out.where(F.col("distance") <= n)
+        return _sparse_within(frame, n)
+    rows = pack(frame.indexed(), frame.labels, words).withColumn("mass", _masses(words))
+    rows = rows.withColumn("band", F.floor(F.col("mass") / (n + 1)).cast("int"))
+    pairs = block_pairs(rows, _blocks(frame, frame.n_guids()), "band").where(F.abs(F.col("x.mass") - F.col("y.mass")) <= n)
+    return pairs.select(*_ordered("guid", "guid", "guid"), differing("x", "y", words).alias("distance")).where(F.col("distance") <= n)
+
+
+def _sparse_within(frame, n: int) -> DataFrame:
+    """As pairs_within for wide matrices: alleles in common are counted only for pairs whose masses are near; pairs
+    without one are within n only if their masses add up to n at most."""
+    g = frame.guids
+    cell = frame.presence.join(g, "guid").select("row_idx", "guid", "mass", "allele")
+    near = (F.col("x.row_idx") < F.col("y.row_idx")) & (F.abs(F.col("x.mass") - F.col("y.mass")) <= n)
+    names = [F.col("x.guid").alias("guid_a"), F.col("y.guid").alias("guid_b"), F.col("x.mass").alias("mass_a"), F.col("y.mass").alias("mass_b")]
+    shared = cell.alias("x").join(cell.alias("y"), (F.col("x.allele") == F.col("y.allele")) & near).select(*names)
+    shared = shared.groupBy("guid_a", "guid_b", "mass_a", "mass_b").agg(F.count("*").alias("c"))
+    light = g.where(F.col("mass") <= n)
+    apart = block_pairs(light, max(1, -(-frame.n_guids() // BLOCK_ROWS))).where(F.col("x.mass") + F.col("y.mass") <= n)
+    apart = apart.select(*_ordered("guid", "guid", "guid"), *_ordered("mass", "mass", "mass"), F.lit(0).cast("long").alias("c"))
+    both = shared.union(apart).groupBy("guid_a", "guid_b", "mass_a", "mass_b").agg(F.max("c").alias("c"))
+    distance = (F.col("mass_a") + F.col("mass_b") - 2 * F.col("c")).cast("int")
+    return both.select("guid_a", "guid_b", distance.alias("distance")).where(F.col("distance") <= n)
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:

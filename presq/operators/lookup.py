@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,16 @@ from pyspark.sql import functions as F
 def access(frame, coords) -> DataFrame:
     """(pos, row_idx, col_idx, value) of coordinates, given as pairs or as a frame of these columns; order and repeats stay."""
     spark = frame.spark
-    if not isinstance(coords, DataFrame):
+    small = not isinstance(coords, DataFrame)
+    if small:
         rows = [(i, int(r), int(c)) for i, (r, c) in enumerate(coords)]
         coords = spark.createDataFrame(rows, "pos long, row_idx long, col_idx long")
     ends = coords.agg(F.min("row_idx"), F.max("row_idx"), F.min("col_idx"), F.max("col_idx")).first()
     if ends[0] is not None and (min(ends[0], ends[2]) < 0 or ends[1] >= frame.n_guids() or ends[3] >= frame.n_alleles()):
         raise IndexError("coordinates out of range")
-    cells = frame.indexed().withColumn("value", F.lit(1))
+    # labels of the asked places first: only cells of asked rows are met
+    cells = frame.presence.join(F.broadcast(frame.labels.join(coords.select("row_idx").distinct(), "row_idx", "left_semi")) if small else frame.labels, "guid")
+    cells = cells.join(frame.alleles, "allele").select("row_idx", "col_idx", F.lit(1).alias("value"))
     return coords.join(cells, ["row_idx", "col_idx"], "left").select("pos", "row_idx", "col_idx", F.coalesce("value", F.lit(0)).cast("int").alias("value"))
 
 
@@ -34,7 +39,14 @@ def match_names(frame, expression: str) -> DataFrame:
     """(allele) whose name begins with a match of the expression: * stands for any text, the rest is a regular expression."""
     if not isinstance(expression, str):
         raise ValueError("the expression is a string")
-    return frame.alleles.where(F.col("allele").rlike("(?d)^(?:" + expression.replace("*", ".*") + ")")).select("allele")
+    pattern = expression.replace("*", ".*")
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise ValueError(f"not a regular expression: {expression}") from e
+    # what Python writes differently
+    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace("\\Z", "\\z")
+    return frame.alleles.where(F.col("allele").rlike("(?d)^(?:" + pattern + ")")).select("allele")
 
 
 def coordinates(frame, alleles=None, guids=None) -> DataFrame:

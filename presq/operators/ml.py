@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def features(frame) -> DataFrame:
-    """(guid, features): each sample's row as a sparse vector."""
+    """(guid, features): each sample's row as a sparse vector, made in the JVM."""
     m = frame.n_alleles()
-    to_vector = F.udf(lambda c: Vectors.sparse(m, c, [1.0] * len(c)), VectorUDT())
-    sets = frame.indexed().groupBy("row_idx").agg(F.array_sort(F.collect_set("col_idx")).alias("cols"))
-    rows = frame.guids.join(sets, "row_idx", "left")
-    return rows.select("guid", to_vector(F.coalesce("cols", F.array().cast("array<int>"))).alias("features"))
+    to_vector = CountVectorizerModel.from_vocabulary([str(i) for i in range(m)], "cols", "features", binary=True)
+    sets = frame.indexed().groupBy("row_idx").agg(F.collect_set(F.col("col_idx").cast("string")).alias("cols"))
+    rows = frame.labels.join(sets, "row_idx", "left").select("guid", F.coalesce("cols", F.array().cast("array<string>")).alias("cols"))
+    return to_vector.transform(rows).select("guid", "features")
 
 
 def principal_components(frame, k: int = 4) -> DataFrame:
@@ -26,7 +25,17 @@ def principal_components(frame, k: int = 4) -> DataFrame:
     return PCA(k=k, inputCol="scaled", outputCol="pc").fit(scaled).transform(scaled).select("guid", vector_to_array("pc").alias("components"))
 
 
-def kmeans(frame, k: int, seed: int = 0) -> DataFrame:
-    """(guid, cluster) of the rows; labels are arbitrary."""
-    data = features(frame)
+def distance_rows(frame, metric: str = "hamming") -> DataFrame:
+    """(guid, features): each sample's row of the square distance matrix, in matrix order; meant for few samples."""
+    at = frame.labels.select(F.col("row_idx").alias("at"), F.col("guid").alias("guid_b"))
+    rows = frame.square_matrix(metric=metric).join(at, "guid_b").groupBy(F.col("guid_a").alias("guid"))
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("at", F.col("distance").cast("double").alias("d")))).alias("row"))
+    return rows.select("guid", array_to_vector(F.col("row.d")).alias("features"))
+
+
+def kmeans(frame, k: int, seed: int = 0, on: str = "distances") -> DataFrame:
+    """(guid, cluster) of the rows of the distance matrix, or of the cells; labels are arbitrary."""
+    if on not in ("distances", "cells"):
+        raise ValueError("on is distances or cells")
+    data = distance_rows(frame) if on == "distances" else features(frame)
     return KMeans(k=k, seed=seed).fit(data).transform(data).select("guid", F.col("prediction").alias("cluster"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from presq.functions.text import norm
 from presq.model import AlleleFrame
 from presq.operators import algebra, distance
-from presq.plans.shared import materialize
 from presq.plans.tables import cells, table
 from presq.streaming.arrivals import arriving_neighbours
 
@@ -35,8 +34,7 @@ def matrix_e(spark: SparkSession, d: str) -> AlleleFrame:
 def matrix_p(spark: SparkSession, d: str) -> AlleleFrame:
     g = table(spark, d, "guids").where("guid is not null").groupBy(norm("guid").alias("guid")).agg(F.min("row_idx").alias("row_idx"))
     a = table(spark, d, "alleles").where("allele is not null").groupBy(norm("allele").alias("allele")).agg(F.min("col_idx").alias("col_idx"))
-    # repeated cells are combined once; every operator then reads the small table
-    return AlleleFrame(materialize(cells(table(spark, d, "presence")).distinct(), "matrix-p"), g, a)
+    return AlleleFrame(cells(table(spark, d, "presence")).distinct(), g, a)
 
 
 def _returned(spark: SparkSession, d: str, flag: str) -> DataFrame:
@@ -75,7 +73,7 @@ def _arrivals(spark: SparkSession, d: str) -> DataFrame:
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:
     s = matrix_p(spark, d).stats()
-    return spark.createDataFrame([(s["n_guids"], s["n_alleles"])], "n_guids long, n_alleles long")
+    return spark.createDataFrame([(s["n_guids"], s["n_alleles"], s["matrix_size"])], "n_guids long, n_alleles long, matrix_size string")
 
 
 def _agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +207,10 @@ ORACLE: dict[str, str] = {
     "remove_guid": _E + "z as (select 1) select guid, allele from p where guid <> '0'",
     "zero_column_drop": _P + "z as (select 1) select allele from a where allele in (select allele from p)",
     "to_dict": _P + "z as (select guid, list_sort(list(allele)) as alleles from p group by guid) select l.guid, coalesce(alleles, []) as alleles from l left join z using (guid)",
-    "stats": _P + "z as (select 1) select (select count(*) from l)::bigint as n_guids, (select count(*) from a)::bigint as n_alleles",
+    "stats": _P
+    + """z as (select (select count(*) from l)::bigint as n, (select count(*) from a)::bigint as m)
+select n as n_guids, m as n_alleles, case when n * m < 1048576 then printf('%.1f KiB', n * m / 1024.0) when n * m < 1073741824 then printf('%.1f MiB', n * m / 1048576.0)
+  else printf('%.1f GiB', n * m / 1073741824.0) end as matrix_size from z""",
     "to_dense": f"with {_b('R', 'b')} select x.guid, y.allele, (b.guid is not null)::int as value from (select distinct guid from b) x cross join (select distinct allele from b) y left join b on b.guid = x.guid and b.allele = y.allele",
     "to_dataframe": f"""with {_b('R', 'b')}, w as (select guid, allele, 1 as v from b)
 select guid, {", ".join(f"max(case when allele = 'Brand#{n}' then 1 else 0 end)::int as \"Brand#{n}\"" for n in range(1, 26))} from w group by guid""",

@@ -17,8 +17,8 @@ def arriving_neighbours(stream: DataFrame, frame: AlleleFrame, n: int) -> DataFr
     q = stream.select("query", F.array_distinct(F.filter("alleles", lambda x: x.isNotNull())).alias("own"))
     cells = q.select("query", F.size("own").alias("qm"), F.explode("own").alias("allele"))
     shared = cells.join(frame.presence, "allele").groupBy("query", "guid").agg(F.count("*").alias("c"))
-    few = frame.guids.where(F.col("mass") <= n)
-    apart = q.where(F.size("own") <= n).select("query").join(few.select("guid"), F.lit(True)).select("query", "guid", F.lit(0).cast("long").alias("c"))
+    light = q.where(F.size("own") <= n).select("query", F.explode(F.sequence(F.lit(0), F.lit(n) - F.size("own"))).alias("mass"))
+    apart = light.join(frame.guids.where(F.col("mass") <= n), "mass").select("query", "guid", F.lit(0).cast("long").alias("c"))
     counts = shared.union(apart).groupBy("query", "guid").agg(F.max("c").alias("c"))
     sized = counts.join(q.select("query", F.size("own").alias("qm")), "query").join(frame.guids, "guid")
     distance = (F.col("qm") + F.col("mass") - 2 * F.col("c")).cast("int")
