@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presq.model import AlleleFrame
@@ -23,15 +27,34 @@ def write_parquet(frame: AlleleFrame, path: str) -> None:
     frame.presence.repartition("allele").sortWithinPartitions("allele", "guid").write.mode("overwrite").parquet(path)
 
 
-def write_csv(frame: AlleleFrame, path: str) -> None:
-    """Wide lines of 0 and 1 as text, built without a column per allele; a header line comes first in each file."""
-    names = F.broadcast(frame.alleles.agg(F.array_sort(F.collect_list(F.struct("col_idx", "allele"))).alias("cols")))
-    sets = frame.to_dict().withColumnRenamed("alleles", "own")
-    cells = F.transform("cols", lambda c: F.when(F.array_contains("own", c["allele"]), "1").otherwise("0"))
-    lines = sets.join(frame.guids.select("guid", "row_idx"), "guid").crossJoin(names)
-    lines = lines.select("row_idx", F.concat_ws(",", F.array("guid"), cells).alias("value"))
-    head = names.select(F.lit(-1).alias("row_idx"), F.concat(F.lit(","), F.array_join(F.col("cols.allele"), ",")).alias("value"))
-    head.union(lines).coalesce(1).sortWithinPartitions("row_idx").select("value").write.mode("overwrite").text(path)
+def write_csv(frame: AlleleFrame, path: str, max_cells: int = 1_000_000_000) -> None:
+    """Wide lines of 0 and 1 as text, built in tasks without a column per allele; one file, in matrix order, after a
+    header line. Refused above max_cells, as one task writes it: write_parquet has no such bound."""
+    n, m = frame.n_guids(), frame.n_alleles()
+    if n * m > max_cells:
+        raise ValueError(f"{n} x {m} cells are more than max_cells; use write_parquet")
+    order = [r.col_idx for r in frame.alleles.orderBy("col_idx").select("col_idx").collect()]
+    names = [r.allele for r in frame.alleles.orderBy("col_idx").select("allele").collect()]
+    place = np.searchsorted(order, np.arange((order[-1] if order else 0) + 1))
+
+    def text(values: list[str]) -> str:
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow(values)
+        return out.getvalue()
+
+    def lines(batches):
+        for b in batches:
+            out = []
+            for guid, cols in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                row = np.full(m, "0", object)
+                row[place[cols or []]] = "1"
+                out.append(",".join([text([guid]), *row]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["row_idx", "value"])
+
+    own = frame.indexed().groupBy("row_idx").agg(F.collect_list("col_idx").alias("cols"))
+    rows = frame.labels.join(own, "row_idx", "left").select("row_idx", "guid", "cols").mapInArrow(lines, "row_idx int, value string")
+    head = frame.spark.createDataFrame([(-1, text(["", *names]))], "row_idx int, value string")
+    head.union(rows).coalesce(1).sortWithinPartitions("row_idx").select("value").write.mode("overwrite").text(path)
 
 
 def write_distances(pairs: DataFrame, path: str) -> None:
@@ -49,9 +72,22 @@ def write_stats(frame: AlleleFrame, path: str) -> None:
     frame.unique_per_sample().write.mode("overwrite").json(path)
 
 
-def write_bed(bed: DataFrame, path: str) -> None:
-    """A folder per sample with tab-separated rows and no header."""
-    bed.write.mode("overwrite").partitionBy("sample").option("sep", "\t").option("header", False).csv(path)
+BED = "chrom string, start long, end long, description string, sample string"
+
+
+def write_bed(bed: DataFrame, path: str, skip_existing: bool = False) -> None:
+    """A folder per sample with tab-separated rows and no header; with skip_existing samples that have one stay as they are."""
+    if skip_existing:
+        try:
+            bed = bed.join(read_bed(bed.sparkSession, path).select("sample").distinct(), "sample", "left_anti").select(*bed.columns)
+        except AnalysisException:
+            pass  # nothing there yet
+    bed.write.mode("append" if skip_existing else "overwrite").partitionBy("sample").option("sep", "\t").option("header", False).csv(path)
+
+
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """What write_bed wrote."""
+    return spark.read.schema(BED).option("sep", "\t").csv(path)
 
 
 def fasta(frame: AlleleFrame, name: str, sequence: str) -> DataFrame:

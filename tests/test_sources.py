@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from presq.operators import ml
 from presq.sources import generators, writers
@@ -13,6 +14,9 @@ VCF = """##fileformat=VCFv4.2
 chr1\t10\t.\tA\tC,GT\t50\t.\t.\tGT:DP\t1/1:3\t0|2:4
 chr1\t20\t.\tG\tT\t10\t.\t.\tGT\t1/1\t1/1
 chr2\t5\t.\tC\tT\t99\t.\t.\tGT\t./.\t0/1
+chr2\t7\t.\tG\tA\t99\t.\t.\tGT\t0/0\t1
+chr2\t9\t.\tT\tA\t3\t.\t.\tGT\t0|0\t0/1
+chr2\t11\t.\tAC\tA\t.\t.\t.\tGT\t0/.\t1/1
 """
 
 
@@ -30,6 +34,23 @@ def test_csv(spark, golden, tmp_path):
         load(spark, str(tmp_path / "bad.csv"))
 
 
+def test_csv_quotes_and_reference_row(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text(',"a,1","b ""x"""\n"s,1",1,0\n"s 2",0,1\n')
+    f = load(spark, str(path), add_ref=True)
+    assert f.get_headers() == {"guids": ["s,1", "s 2", "REF"], "alleles": ["a,1", 'b "x"']}
+    assert f.get_matrix().tolist() == [[1, 0], [0, 1], [0, 0]]
+    writers.write_csv(f, str(tmp_path / "again.csv"))
+    assert load(spark, str(tmp_path / "again.csv")).get_matrix().tolist() == [[1, 0], [0, 1], [0, 0]]
+    for bad in (",a\nx,1\nx,0\n", ",a,a\nx,1,1\n", ",a\nx,1,1\n"):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            load(spark, str(path))
+    path.write_text("'x;1';1\ny;0\n")
+    f = load(spark, str(path), delimiter=";", quote="'", header=False)
+    assert f.get_headers() == {"guids": ["x;1", "y"], "alleles": ["allele_0"]}
+
+
 def test_parquet(spark, golden, frame, tmp_path):
     path = str(tmp_path / "m.parquet")
     pd.DataFrame(golden[0], golden[1]["guids"], golden[1]["alleles"]).to_parquet(path)
@@ -77,13 +98,20 @@ def test_vcf(spark, tmp_path):
     (tmp_path / "one.x.vcf").write_text(VCF)
     f = from_vcf(spark, str(tmp_path / "one.x.vcf"))
     cells = {(r.guid, r.allele) for r in f.presence.collect()}
-    assert cells == {("S1", "chr1.10.C"), ("S2", "chr2.5.T")}
-    assert set(f.get_headers()["alleles"]) == {"chr1.10.A", "chr1.10.C", "chr2.5.C", "chr2.5.T"}
+    assert cells == {("S1", "chr1.10.C"), ("S2", "chr2.5.T"), ("S2", "chr2.7.A")}
+    # a column of the reference base takes a genotype of two reference copies, at any quality; 0/1, 0|2 and 0/. make none
+    assert set(f.get_headers()["alleles"]) == {"chr1.10.C", "chr2.5.T", "chr2.7.A", "chr2.7.G", "chr2.9.T"}
+    merged = from_vcf(spark, str(tmp_path / "one.x.vcf"), database=f)
+    assert merged.presence.count() == 3 and merged.n_alleles() == 5
     bed = vcf_to_bed(spark, str(tmp_path / "one.x.vcf"))
     rows = [(r.sample, r.chrom, r.start, r.end) for r in bed.collect()]
     assert rows.count(("one", "chr1", 9, 10)) == 2
     writers.write_bed(bed, str(tmp_path / "bed"))
     assert (tmp_path / "bed" / "sample=one").exists()
+    more = bed.union(bed.withColumn("sample", F.lit("007")))
+    for _ in range(2):
+        writers.write_bed(more, str(tmp_path / "bed"), skip_existing=True)
+    assert {r["sample"]: r["count"] for r in writers.read_bed(spark, str(tmp_path / "bed")).groupBy("sample").count().collect()} == {"one": bed.count(), "007": bed.count()}
 
 
 def test_fasta(spark, tmp_path):
@@ -109,4 +137,7 @@ def test_generators(spark):
 
 def test_ml(frame):
     assert len(ml.principal_components(frame, 3).first().components) == 3
-    assert ml.kmeans(frame, 3).select("cluster").distinct().count() == 3
+    for on in ("distances", "cells"):
+        assert ml.kmeans(frame, 3, on=on).select("cluster").distinct().count() == 3
+    row = {r.guid: r.features.toArray().tolist() for r in ml.distance_rows(frame).collect()}["GUID10"]
+    assert row == [6, 6, 6, 6, 6, 4, 4, 1, 1, 0]
