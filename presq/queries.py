@@ -6,15 +6,19 @@ presence table with its label tables) and B, a narrow one (brands that customers
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presq.functions.text import norm
 from presq.model import AlleleFrame
-from presq.operators import algebra, distance
+from presq.operators import algebra, distance, lookup, ml
+from presq.plans.shared import shared_folder
 from presq.plans.tables import cells, table
+from presq.sources import generators, loaders, writers
 from presq.streaming.arrivals import arriving_neighbours
 
 CONTROL = "CTRL-POS-01"
@@ -82,6 +86,129 @@ def _agreement(spark: SparkSession, d: str) -> DataFrame:
     return distance.agreement(m.neighbourhood("0", 26), pairs.select(F.col("guid_b").alias("guid"), "distance"))
 
 
+def _work(spark: SparkSession, name: str) -> str:
+    """A new place for files in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _local_work(spark: SparkSession, name: str) -> str:
+    path = "/" + _work(spark, name).removeprefix("file:").lstrip("/")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    return path
+
+
+def _csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _work(spark, "wide.csv")
+    writers.write_csv(matrix_e(spark, d), path)
+    return loaders.load(spark, path, "csv").presence
+
+
+def _parquet_wide_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _work(spark, "wide.parquet")
+    matrix_e(spark, d).to_dataframe().write.parquet(path)
+    return loaders.load(spark, path, "parquet").presence
+
+
+def _parquet_long_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _work(spark, "long.parquet")
+    writers.write_parquet(matrix_p(spark, d), path)
+    return loaders.load(spark, path, "parquet").presence
+
+
+def _npy_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    prefix = _local_work(spark, "npy")
+    writers.write_npy(matrix_e(spark, d), prefix)
+    return loaders.load(spark, [f"{prefix}_matrix.npy", f"{prefix}_headers.json"]).presence
+
+
+def _memory_source(spark: SparkSession, d: str) -> DataFrame:
+    m = matrix_e(spark, d)
+    return loaders.load(spark, [m.get_headers(), m.get_matrix()]).presence
+
+
+def _pandas_source(spark: SparkSession, d: str) -> DataFrame:
+    return loaders.from_pandas(spark, matrix_e(spark, d).to_dataframe().toPandas().set_index("guid")).presence
+
+
+def _label_order(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the matrix read from a CSV file, numbered as in the file."""
+    path = _work(spark, "wide.csv")
+    writers.write_csv(matrix_e(spark, d), path)
+    return loaders.load(spark, path, "csv").labels
+
+
+def _vcf(spark: SparkSession, d: str) -> str:
+    """A merged VCF file of E: samples that have an allele call 1/1 there, others 0/0."""
+    m, path = matrix_e(spark, d), _work(spark, "calls.vcf")
+    guids = m.get_headers()["guids"]
+    calls = m.to_dense().join(m.labels, "guid").groupBy("allele").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "value"))), lambda c: F.when(c["value"] == 1, "1/1").otherwise("0/0")).alias("gt"))
+    body = calls.select(F.concat_ws("\t", F.lit("c"), F.col("allele").cast("int") + 1, F.lit("."), F.lit("A"), F.lit("C"), F.lit("50"), F.lit("."), F.lit("."), F.lit("GT"), F.array_join("gt", "\t")).alias("value"))
+    head = spark.createDataFrame([("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *guids]),)], "value string")
+    head.union(body).coalesce(1).write.text(path)
+    return path
+
+
+def _bed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _work(spark, "bed")
+    writers.write_bed(loaders.vcf_to_bed(spark, _vcf(spark, d)), path)
+    return writers.read_bed(spark, path).groupBy("chrom", "start", "end", "description").agg(F.count("*").alias("copies"))
+
+
+def _stats_json(spark: SparkSession, d: str) -> DataFrame:
+    path = _work(spark, "stats.json")
+    writers.write_stats(matrix_p(spark, d), path)
+    return spark.read.schema("guid string, total long, `unique` long").json(path)
+
+
+def _distances_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = _work(spark, "distances.csv")
+    writers.write_distances(_pairs(matrix_e(spark, d).pairwise()), path)
+    return spark.read.schema("guid_a string, guid_b string, distance int").option("header", True).csv(path)
+
+
+def _wide_distances(spark: SparkSession, d: str) -> DataFrame:
+    return writers.wide_distances(matrix_e(spark, d).square_matrix(TEN), TEN)
+
+
+def _fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of a reference of as many A as E has columns, in which each allele of a sample is a C."""
+    e, path = matrix_e(spark, d), _work(spark, "fasta")
+    name = lambda c: F.concat(F.lit("A"), (F.col(c).cast("int") + 1).cast("string"), F.lit("C")).alias(c)
+    m = AlleleFrame(e.presence.select("guid", name("allele")), e.labels, e.alleles.select("col_idx", name("allele")))
+    writers.write_fasta(writers.fasta(m, "ref", "A" * e.width()), path)
+    return loaders.read_fasta(spark, path)
+
+
+def _codes(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of some labels, and the labels at these positions."""
+    m = matrix_e(spark, d)
+    at = [(g, lookup.encode(m, guid=g)) for g in TEN]
+    return spark.createDataFrame([(g, i, lookup.decode(m, row_idx=i)) for g, i in at], "label string, idx int, again string")
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    known, unknown = matrix_e(spark, d).split_labels(["nobody", *TEN, "1"])
+    return spark.createDataFrame([(x, True) for x in known] + [(x, False) for x in unknown], "label string, known boolean")
+
+
+def _loaded_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """(matrix_id, n_guids, n_alleles, n_cells) of every loaded file: its distinct labels, and the cells of P that lie in it."""
+    h = table(spark, d, "headers")
+    own = lambda col, name: h.select("matrix_id", F.explode(col).alias("x")).where("x is not null").select("matrix_id", norm("x").alias(name)).distinct()
+    g, a = own("guids", "guid"), own("alleles", "allele")
+    cell = cells(table(spark, d, "presence")).distinct()
+    # a cell lies in a file if the file lists both labels: rows of one file meet by file and allele
+    inside = cell.join(g, "guid").join(a, ["matrix_id", "allele"]).groupBy("matrix_id").agg(F.count("*").alias("n_cells"))
+    count = lambda df, name: df.groupBy("matrix_id").agg(F.count("*").alias(name))
+    out = h.select("matrix_id").distinct().join(count(g, "n_guids"), "matrix_id", "left").join(count(a, "n_alleles"), "matrix_id", "left").join(inside, "matrix_id", "left")
+    return out.select("matrix_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_guids", "n_alleles", "n_cells")])
+
+
+def _strain_cells(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "strains").select(F.col("strain_id").alias("guid"), F.explode("alleles").alias("a"))
+    return s.where("a is not null").select("guid", norm("a").alias("allele")).distinct()
+
+
 E, P, B = matrix_e, matrix_p, matrix_b
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snp_count": lambda s, d: P(s, d).snp_count(),
@@ -131,6 +258,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "symmetric_difference": lambda s, d: algebra.symmetric_difference(E(s, d), "1", "2"),
     "union_alleles": lambda s, d: algebra.union_alleles(E(s, d), ["1", "2"]),
     "arriving_neighbours": _arrivals,
+    "csv_round_trip": _csv_round_trip,
+    "csv_label_order": _label_order,
+    "parquet_wide_round_trip": _parquet_wide_round_trip,
+    "parquet_long_round_trip": _parquet_long_round_trip,
+    "npy_round_trip": _npy_round_trip,
+    "memory_source": _memory_source,
+    "pandas_source": _pandas_source,
+    "vcf_round_trip": lambda s, d: loaders.from_vcf(s, _vcf(s, d)).presence,
+    "vcf_columns": lambda s, d: loaders.from_vcf(s, _vcf(s, d)).alleles.select("allele"),
+    "bed_round_trip": _bed_round_trip,
+    "fasta_round_trip": _fasta_round_trip,
+    "stats_json": _stats_json,
+    "distances_csv": _distances_csv,
+    "wide_distances": _wide_distances,
+    "loaded_matrices": _loaded_matrices,
+    "label_codes": _codes,
+    "split_labels": _split,
+    "neighbourhood_sorted": lambda s, d: E(s, d).neighbourhood("0", 24, order_by="distance"),
+    "threshold_slice": lambda s, d: distance.below(E(s, d).pairwise(), "0", 24),
+    "common_of_unknown": lambda s, d: P(s, d).common(["nobody"]),
+    "unique_legacy": lambda s, d: P(s, d).unique([CONTROL, "nobody"], on_unknown="ignore"),
+    "match_presence_names": lambda s, d: P(s, d).match_allele_names("[^.]+.[0-9]*7.[AC]$"),
+    "to_dense_embeddings": lambda s, d: E(s, d).to_dense(),
+    "merge_presence": lambda s, d: algebra.merge(P(s, d).presence, _strain_cells(s, d)),
+    "merge_presence_sum": lambda s, d: algebra.merge(P(s, d).presence, _strain_cells(s, d), "sum"),
+    "generated_sparse": lambda s, d: generators.sparse(s, 500, 400, 0.05).snp_count(),
+    "generated_clusters": lambda s, d: generators.clustered(s, 107, 200, 0.1, 10, 0.01).snp_count().groupBy((F.col("mass") == 0).alias("empty")).count(),
+    "generated_coordinates": lambda s, d: generators.coordinates(s, 5, 50, 1000).agg(F.count("*").alias("n"), (F.max("row_idx") < 5).alias("rows"), (F.max("col_idx") < 50).alias("cols")),
+    "generated_uniform": lambda s, d: generators.uniform(s, 300, 200).snp_count(),
+    "principal_components": lambda s, d: ml.principal_components(E(s, d)),
+    "kmeans_distances": lambda s, d: ml.kmeans(E(s, d), 8),
 }
 
 
@@ -227,4 +385,41 @@ n as (select strain_id as query, count(distinct allele) as qm from strains left
 k as (select query, guid, count(*) as c from s join p using (allele) group by 1, 2)
 select n.query, g.guid, (qm + mass - 2 * coalesce(c, 0))::int as distance from n join g on true left join k on k.query = n.query and k.guid = g.guid
 where qm + mass - 2 * coalesce(c, 0) <= 60""",
+    **dict.fromkeys(
+        ("csv_round_trip", "parquet_wide_round_trip", "npy_round_trip", "memory_source", "pandas_source"),
+        _E + "z as (select 1) select guid, allele from p",
+    ),
+    "csv_label_order": _E + "z as (select 1) select r as row_idx, guid from g",
+    "parquet_long_round_trip": _P + "z as (select 1) select guid, allele from p",
+    "vcf_round_trip": _E + "z as (select 1) select guid, 'c.' || (c + 1) || '.C' as allele from p",
+    "vcf_columns": _E
+    + "n as (select c, count(*) as n from p group by c), t as (select count(*) as t from g) select 'c.' || (c + 1) || '.C' as allele from n union all select 'c.' || (c + 1) || '.A' from n, t where n < t",
+    "bed_round_trip": _E + "z as (select 1) select 'c' as chrom, c::bigint as \"start\", (c + 1)::bigint as \"end\", 'c.' || (c + 1) || '.C' as description, (2 * count(*))::bigint as copies from p group by c",
+    "fasta_round_trip": "with x as (select vec_id::varchar as name, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) select name, string_agg(case when embedding[i] > 0 then 'C' else 'A' end, '' order by i) as sequence from x group by name",
+    "distances_csv": _E + _D + _ALL,
+    "wide_distances": _E + _D + _BOTH + "select guid_a, " + ", ".join(f"max(case when guid_b = '{i}' then distance end)::int as \"{i}\"" for i in range(10)) + f" from sq where guid_a in {_TEN} group by guid_a",
+    "loaded_matrices": """with p as (select distinct upper(trim(guid)) as guid, upper(trim(allele)) as allele from presence where guid is not null and allele is not null),
+hg as (select distinct matrix_id, upper(trim(x)) as guid from (select matrix_id, unnest(guids) as x from headers) where x is not null),
+ha as (select distinct matrix_id, upper(trim(x)) as allele from (select matrix_id, unnest(alleles) as x from headers) where x is not null),
+n as (select hg.matrix_id, count(*) as n from p join hg on hg.guid = p.guid join ha on ha.matrix_id = hg.matrix_id and ha.allele = p.allele group by 1),
+cg as (select matrix_id, count(*) as n from hg group by 1), ca as (select matrix_id, count(*) as n from ha group by 1)
+select h.matrix_id, coalesce(cg.n, 0)::bigint as n_guids, coalesce(ca.n, 0)::bigint as n_alleles, coalesce(n.n, 0)::bigint as n_cells
+from (select distinct matrix_id from headers) h left join cg on cg.matrix_id = h.matrix_id left join ca on ca.matrix_id = h.matrix_id left join n on n.matrix_id = h.matrix_id""",
+    "label_codes": _E + f"z as (select 1) select guid as label, r as idx, guid as again from g where guid in {_TEN}",
+    "split_labels": _E + f"z as (select 1) select guid as label, true as known from g where guid in {_TEN} union all select 'nobody', false",
+    "neighbourhood_sorted": _E + _D + _BOTH + "select guid_b as guid, distance from sq where guid_a = '0' and guid_b <> '0' and distance <= 24",
+    "threshold_slice": _E + _D + _BOTH + "select guid_b as guid, distance from sq where guid_a = '0' and guid_b <> '0' and distance < 24",
+    "common_of_unknown": _P + "z as (select 1) select allele from p group by allele having count(*) = (select count(*) from l)",
+    "match_presence_names": _P + "z as (select 1) select allele from a where regexp_matches(allele, '^(?:[^.]+.[0-9].*7.[AC]$)')",
+    "to_dense_embeddings": _E + "z as (select 1) select g.guid, k.allele, (p.guid is not null)::int as value from g cross join (select distinct c, c::varchar as allele from (select unnest(range(0, 64)) as c)) k left join p on p.guid = g.guid and p.allele = k.allele",
+    "generated_sparse": "select 'sample_' || i as guid, 20::int as mass from range(500) t(i)",
+    "generated_clusters": "select false as empty, 100::bigint as count union all select true, 7::bigint",
+    "generated_coordinates": "select 1000::bigint as n, true as rows, true as cols",
+}
+_S = "s as (select distinct strain_id as guid, upper(trim(a)) as allele from (select strain_id, unnest(alleles) as a from strains) where a is not null)"
+ORACLE |= {
+    "stats_json": ORACLE["unique_per_sample"],
+    "unique_legacy": ORACLE["unique"],
+    "merge_presence": _P + _S + " select guid, allele from p union select guid, allele from s",
+    "merge_presence_sum": _P + _S + " select guid, allele, count(*)::int as value from (select guid, allele from p union all select guid, allele from s) group by 1, 2",
 }
