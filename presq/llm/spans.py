@@ -5,8 +5,15 @@ one at a place that its own text decides, are looked up first; those that repeat
 twice the length on either side, which narrows the full windows that may be shared; these are looked up last. Where
 all full windows around a picked one agree with another record's, one hash settles them together.
 
-Each level moves hashes and offsets, never texts. Copies within a batch of records are combined before the
+Lengths double from a quarter of the full one to the full one, where the question is decided: longer spans are unions
+of full windows. Levels move hashes and offsets, never texts. Copies within a batch of records are combined before the
 exchange, and a window frequent within a batch skips the middle levels, so hot passages don't pile up in a task.
+
+Equal hashes only claim that texts are equal. Each window found keeps the place of another record's that it was taken
+to be equal to, and in the end the texts of all such stretches, a record's and the other's, are compared by their
+SHA-256 digests. Where a claim fails, hashes have met by chance: its windows are looked up in all texts by digest, and
+so is what was held equal to them. Failures too many to be looked up (REPAIR_BYTES) make the search begin anew with
+other hash values.
 Offsets count code points. Defined cases: null texts and ids, and texts shorter than the length, have no span;
 repeats within one record alone aren't shared; equal texts are shared whole; an empty table gives an empty result;
 other columns are ignored.
@@ -14,6 +21,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presq.plans.shared import BROADCAST_BYTES, materialize, partitions_for, scan_bytes
+from presq.plans.shared import drop_table, materialize, partitions_for, scan_bytes
 
 #: Characters hashed at a time; a longer text makes its batch longer.
 BATCH_CHARS = 2_000_000
 #: A first-level window with more differing surroundings than this within a batch skips the middle levels.
 BATCH_HOT = 64
 TASK_ROWS = 1_500_000
+#: Hashes of failed windows that are broadcast at most; some claims fail beyond 10^12 characters, a few windows each.
+REPAIR_BYTES = 8 << 20
+#: Searches with other hash values before giving up.
+SEEDS = 4
 #: The optimiser's size of what it can't tell is beyond this.
 UNKNOWN = 1 << 60
 _BASE = 0x9E3779B97F4A7C15
@@ -55,14 +67,14 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return _mix(np.arange(0x110000, dtype=np.uint64) + _U(0x1234567))
+def _letters(seed: int) -> np.ndarray:
+    return _mix(np.arange(0x110000, dtype=np.uint64) + _U(0x1234567 + (seed << 24)))
 
 
 class _Batch:
     """Texts of a batch as one array of code points, with hashes of any window."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, seed: int):
         raw = pa.concat_arrays([texts]) if texts.offset else texts
         offsets = np.frombuffer(raw.buffers()[1], np.int64 if pa.types.is_large_string(raw.type) else np.int32, len(raw) + 1)
         body = memoryview(raw.buffers()[2] or b"")[offsets[0] : offsets[-1]]
@@ -74,7 +86,7 @@ class _Batch:
         self.n = len(points)
         pw, self.inverse = _powers(1 << max(16, int(self.n).bit_length()))
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_letters()[points] * pw[: self.n], out=self.sums[1:])
+        np.cumsum(_letters(seed)[points] * pw[: self.n], out=self.sums[1:])
 
     def rolling(self, length: int) -> np.ndarray:
         return (self.sums[length:] - self.sums[:-length]) * self.inverse[: max(0, self.n - length + 1)]
@@ -107,6 +119,29 @@ def _repeated(key: np.ndarray, doc: np.ndarray, given: np.ndarray | None = None)
     return out
 
 
+def _partners(key: np.ndarray, doc: np.ndarray, at: np.ndarray, given: np.ndarray, pdoc: np.ndarray, pat: np.ndarray):
+    """For each row whether its key is with two different docs or on a row where given holds, and the doc and place of
+    another doc's row of the key; that of the given row if there is no other doc's."""
+    n = len(key)
+    if not n:
+        return np.zeros(0, bool), pdoc, pat
+    order = np.lexsort((doc, key))
+    k = key[order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    first = np.flatnonzero(new)
+    group = np.empty(n, np.int64)
+    group[order] = np.cumsum(new) - 1
+    low, high = order[first], order[np.r_[first[1:], n] - 1]
+    many = (doc[low] != doc[high])[group]
+    other = np.where(doc != doc[low][group], low[group], high[group])
+    says = np.full(len(first), -1)
+    says[group[given]] = np.flatnonzero(given)
+    says = says[group]
+    told = ~many & (says >= 0)
+    told_doc, told_at = pdoc[says], pat[says]
+    return many | told, np.where(many, doc[other], np.where(told, told_doc, -1)), np.where(many, at[other], np.where(told, told_at, -1))
+
+
 def _firsts(key: np.ndarray) -> np.ndarray:
     """Places of the first row of each key."""
     return np.unique(key, return_index=True)[1]
@@ -134,17 +169,17 @@ def _joined(held):
     return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns]
 
 
-_PICK = ["key", "ctx", "left", "right", "doc", "at", "lo", "hi", "state"]
-_PICK_SCHEMA = "key long, ctx long, left long, right long, doc long, at int, lo short, hi short, state byte"
+_PICK = ["key", "ctx", "left", "right", "doc", "at", "lo", "hi", "state", "pdoc", "shift"]
+_PICK_SCHEMA = "key long, ctx long, left long, right long, doc long, at int, lo short, hi short, state byte, pdoc long, shift int"
 
 
-def _picker(length: int, k: int, hot: int):
+def _picker(length: int, k: int, hot: int, seed: int):
     """First level: each picked window with the hashes of its surroundings and the full windows [at - lo, at - hi] that hold it."""
 
     def run(batches):
         for keys, texts in _batches(batches, BATCH_CHARS):
             docs = keys.to_numpy(zero_copy_only=False).astype(np.int64)
-            b = _Batch(texts)
+            b = _Batch(texts, seed)
             if b.n < length:
                 continue
             order = ((b.rolling(k) * _U(0xC4CEB9FE1A85EC53)) >> _U(32)) << _U(32)
@@ -174,7 +209,9 @@ def _picker(length: int, k: int, hot: int):
             d = docs[row]
             state = np.full(len(at), FULL, np.int8)
             # copies within the batch are settled here; one of them goes on for the rest
-            twin = _repeated(ctx, d)
+            none = np.full(len(at), -1)
+            twin, pdoc, pat = _partners(ctx, d, at - begin, np.zeros(len(at), bool), none, none)
+            shift = np.where(twin, pat - (at - begin), 0)
             lead = np.zeros(len(at), bool)
             lead[_firsts(ctx)] = True
             state[twin & ~lead] = DONE
@@ -190,7 +227,7 @@ def _picker(length: int, k: int, hot: int):
             key = core[pick].copy()
             free = (state == DONE) | (state == OPEN)
             key[free] = own[pick][free]
-            out = [key.view(np.int64), ctx[pick].view(np.int64), left[pick].view(np.int64), right[pick].view(np.int64), d[pick], (at - begin)[pick].astype(np.int32), (at - first)[pick].astype(np.int16), (at - last)[pick].astype(np.int16), state]
+            out = [key.view(np.int64), ctx[pick].view(np.int64), left[pick].view(np.int64), right[pick].view(np.int64), d[pick], (at - begin)[pick].astype(np.int32), (at - first)[pick].astype(np.int16), (at - last)[pick].astype(np.int16), state, pdoc[pick], shift[pick].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=_PICK)
 
     return run
@@ -202,7 +239,7 @@ def _whole(batches, names):
     return {c: t[c].to_numpy() for c in names}
 
 
-_RANGE_SCHEMA = "doc long, lo int, hi int, state byte"
+_RANGE_SCHEMA = "doc long, lo int, hi int, state byte, pdoc long, shift int"
 
 
 def _narrow(length: int, k: int):
@@ -215,6 +252,7 @@ def _narrow(length: int, k: int):
         x = _whole(held, _PICK)
         del held
         state, doc, at = x["state"], x["doc"], x["at"].astype(np.int64)
+        pdoc, shift = x["pdoc"].copy(), x["shift"].astype(np.int64)
         lo, hi = at - x["lo"], at - x["hi"]
         out = np.full(len(at), -1, np.int8)
         out[state == DONE] = DONE
@@ -227,7 +265,8 @@ def _narrow(length: int, k: int):
         live, many, hot = live[real], many[real], hot[real]
         left = _repeated(x["left"][live], doc[live], many) | hot
         right = _repeated(x["right"][live], doc[live], many) | hot
-        settled = _repeated(x["ctx"][live], doc[live], many)
+        settled, other, place = _partners(x["ctx"][live], doc[live], at[live], many, pdoc[live], at[live] + shift[live])
+        pdoc[live], shift[live] = np.where(settled, other, -1), np.where(settled, place - at[live], 0)
         lo[live] = np.where(left, lo[live], np.maximum(lo[live], at[live] - k + 1))
         hi[live] = np.where(right, hi[live], np.minimum(hi[live], at[live] - (length - 2 * k) - 1))
         full_lo, full_hi = at - x["lo"], at - x["hi"]
@@ -245,28 +284,35 @@ def _narrow(length: int, k: int):
         # a giver stands for copies that are settled already: its own row is settled too
         pick = np.r_[keep, also]
         st = np.r_[out[keep], np.full(len(also), GIVER, np.int8)]
-        cols = [doc[pick], lo[pick].astype(np.int32), hi[pick].astype(np.int32), st]
+        cols = [doc[pick], lo[pick].astype(np.int32), hi[pick].astype(np.int32), st, pdoc[pick], shift[pick].astype(np.int32)]
         for s in range(0, len(pick), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000]) for c in cols], names=["doc", "lo", "hi", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000]) for c in cols], names=["doc", "lo", "hi", "state", "pdoc", "shift"])
 
     return run
 
 
-_WINDOW_SCHEMA = "hash long, doc long, lo int, state byte"
+_WINDOW = ["hash", "doc", "lo", "hi", "state", "pdoc", "shift"]
+_WINDOW_SCHEMA = "hash long, doc long, lo int, hi int, state byte, pdoc long, shift int"
+
 
+def _runs(doc: np.ndarray, lo: np.ndarray, pdoc: np.ndarray, shift: np.ndarray):
+    """(row of the first, last place) of each run of consecutive places with one partner and shift; rows are in order."""
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1] + 1) | (pdoc[1:] != pdoc[:-1]) | (shift[1:] != shift[:-1])]
+    first = np.flatnonzero(new)
+    return first, lo[np.r_[first[1:], len(lo)] - 1]
 
-def _windows(length: int):
-    """Last level: the hash of every open full window, copies within the batch combined."""
+
+def _windows(length: int, seed: int):
+    """Last level: the hash of every open full window; copies within the batch are settled, as runs of windows."""
 
     def run(batches):
         for keys, texts, spans in _batches(batches, BATCH_CHARS):
             docs = keys.to_numpy(zero_copy_only=False).astype(np.int64)
-            b = _Batch(texts)
+            b = _Batch(texts, seed)
             count = np.diff(spans.offsets.to_numpy())
             flat = spans.flatten()
             row = np.repeat(np.arange(len(docs)), count)
-            lo, hi = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi"))
-            st = flat.field("state").to_numpy(zero_copy_only=False)
+            lo, hi, st, pd, sh = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "hi", "state", "pdoc", "shift"))
             n = hi - lo + 1
             total = int(n.sum())
             if not total:
@@ -277,40 +323,64 @@ def _windows(length: int):
             g = b.starts[r] + start
             h = b.at(g, g + length)
             d, giver = docs[r], st[which] == GIVER
-            twin = _repeated(h, d, giver)
+            twin, pdoc, pat = _partners(h, d, start, giver, pd[which], start + sh[which])
+            shift = np.where(twin, pat - start, 0)
             lead = np.zeros(total, bool)
             lead[_firsts(h)] = True
-            state = np.where(twin, np.where(giver, -1, DONE), OPEN).astype(np.int8)
-            extra = np.flatnonzero(twin & lead)
-            keep = np.flatnonzero(state >= 0)
-            pick = np.r_[keep, extra]
-            state = np.r_[state[keep], np.full(len(extra), GIVER, np.int8)]
+            done, extra, open_ = np.flatnonzero(twin & ~giver), np.flatnonzero(twin & lead), np.flatnonzero(~twin)
+            done = done[np.lexsort((start[done], d[done]))]
+            first, last = _runs(d[done], start[done], pdoc[done], shift[done]) if len(done) else (done, done)
+            pick = np.r_[done[first], open_, extra]
+            end = np.r_[last, start[open_], start[extra]]
+            state = np.repeat(np.array([DONE, OPEN, GIVER], np.int8), [len(first), len(open_), len(extra)])
+            key = h[pick].view(np.int64)
             for s in range(0, len(pick), 200_000):
                 p = pick[s : s + 200_000]
-                cols = [h[p].view(np.int64), d[p], start[p].astype(np.int32), state[s : s + 200_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hash", "doc", "lo", "state"])
+                cols = [key[s : s + 200_000], d[p], start[p].astype(np.int32), end[s : s + 200_000].astype(np.int32), state[s : s + 200_000], pdoc[p], shift[p].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_WINDOW)
 
     return run
 
 
+_FOUND = ["doc", "s", "e", "pdoc", "shift"]
+_FOUND_SCHEMA = "doc long, s int, e int, pdoc long, shift int"
+
+
 def _settle(length: int):
-    """Full windows that repeat, as stretches of their texts."""
+    """Full windows that repeat, as stretches of their texts, each with the place that it repeats."""
 
     def run(batches):
         held = list(batches)
         if not held:
             return
-        x = _whole(held, ["hash", "doc", "lo", "state"])
+        x = _whole(held, _WINDOW)
         del held
-        state = x["state"]
-        hit = _repeated(x["hash"], x["doc"], state == GIVER) & (state == OPEN) | (state == DONE)
-        lo = x["lo"][hit].astype(np.int64)
-        doc, s, e = _merge(x["doc"][hit], lo, lo + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s.astype(np.int32)), pa.array((e - 1 + length).astype(np.int32))], names=["doc", "s", "e"])
+        state, lo, hi = x["state"], x["lo"].astype(np.int64), x["hi"].astype(np.int64)
+        met = np.flatnonzero(state != DONE)
+        found, other, place = _partners(x["hash"][met], x["doc"][met], lo[met], state[met] == GIVER, x["pdoc"][met], lo[met] + x["shift"][met])
+        pdoc, shift = x["pdoc"].copy(), x["shift"].astype(np.int64)
+        pdoc[met], shift[met] = other, place - lo[met]
+        hit = state == DONE
+        hit[met[found & (state[met] == OPEN)]] = True
+        doc, s, e, pdoc, shift = _merged(x["doc"][hit], lo[hit], hi[hit] + 1, pdoc[hit], shift[hit])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s.astype(np.int32)), pa.array((e - 1 + length).astype(np.int32)), pa.array(pdoc), pa.array(shift.astype(np.int32))], names=_FOUND)
 
     return run
 
 
+def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray, pdoc: np.ndarray, shift: np.ndarray):
+    """Stretches of overlapping or adjoining intervals of one doc, partner and shift each."""
+    if not len(doc):
+        return doc, s, e, pdoc, shift
+    order = np.lexsort((shift, pdoc, doc))
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (pdoc[order][1:] != pdoc[order][:-1]) | (shift[order][1:] != shift[order][:-1])]
+    group = np.empty(len(doc), np.int64)
+    group[order] = np.cumsum(new) - 1
+    g, s, e = _merge(group, s, e)
+    first = order[np.flatnonzero(new)][g]
+    return doc[first], s, e, pdoc[first], shift[first]
+
+
 def _merge(doc: np.ndarray, s: np.ndarray, e: np.ndarray):
     """Stretches of overlapping or adjoining intervals of each doc."""
     if not len(doc):
@@ -326,12 +396,96 @@ def _merge(doc: np.ndarray, s: np.ndarray, e: np.ndarray):
 
 
 def _stretches(batches):
+    """Each doc's stretches (pdoc is null), and its stretches by the place that they repeat."""
     held = list(batches)
     if not held:
         return
-    x = _whole(held, ["doc", "s", "e"])
-    doc, s, e = _merge(x["doc"], x["s"].astype(np.int64), x["e"].astype(np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "span_start", "span_end"])
+    x = _whole(held, _FOUND)
+    s, e = x["s"].astype(np.int64), x["e"].astype(np.int64)
+    claims = _merged(x["doc"], s, e, x["pdoc"], x["shift"].astype(np.int64))
+    doc, s, e = _merge(x["doc"], s, e)
+    none = np.zeros(len(doc), np.int64)
+    for cols, whole in (((doc, s, e, none, none), True), (claims, False)):
+        d, s, e, p, h = cols
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(p, mask=np.full(len(d), whole)), pa.array(h.astype(np.int32))], names=_FOUND)
+
+
+def _digests(batches):
+    """(doc, s, e, digest): the SHA-256 of each stretch asked for."""
+    for b in batches:
+        doc, at, end, out = [], [], [], []
+        for d, text, places in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for p in places:
+                doc.append(d)
+                at.append(p["s"])
+                end.append(p["e"])
+                out.append(hashlib.sha256(text[p["s"] : p["e"]].encode("utf-8", "surrogatepass")).digest())
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(end, pa.int32()), pa.array(out, pa.binary())], names=["doc", "s", "e", "digest"])
+
+
+def _failed(texts: DataFrame, claims: DataFrame) -> DataFrame:
+    """Those of claims(doc, s, e, pdoc, shift) whose stretch doesn't have the text of the place that it is said to repeat."""
+    there = claims.select("doc", "s", "e", "pdoc", "shift", (F.col("s") + F.col("shift")).alias("ps"), (F.col("e") + F.col("shift")).alias("pe"))
+    # a place that many records repeat is hashed once
+    places = there.select("doc", "s", "e").union(there.select("pdoc", "ps", "pe")).distinct()
+    asked = places.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("places"))
+    known = materialize(texts.join(asked, "doc").select("doc", "text", "places").mapInArrow(_digests, "doc long, s int, e int, digest binary"), "p8-digests")
+    own = there.join(known.withColumnRenamed("digest", "own"), ["doc", "s", "e"], "left")
+    other = known.select(F.col("doc").alias("pdoc"), F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("digest").alias("other"))
+    same = F.coalesce(F.col("own") == F.col("other"), F.lit(False))
+    out = materialize(own.join(other, ["pdoc", "ps", "pe"], "left").where(~same).select("doc", "s", "e", "pdoc", "shift"), "p8-failed")
+    drop_table(known)
+    return out
+
+
+def _hashes_of(length: int, seed: int):
+    """The hash of every full window of each stretch."""
+
+    def run(batches):
+        for _, texts, places in _batches(batches, BATCH_CHARS):
+            b = _Batch(texts, seed)
+            out = []
+            for begin, own in zip(b.starts.tolist(), places.to_pylist(), strict=False):
+                for p in own:
+                    at = begin + np.arange(p["s"], p["e"] - length + 1)
+                    out.append(b.at(at, at + length).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["hash"])
+
+    return run
+
+
+def _lookup(length: int, seed: int, shipped):
+    """(digest, doc, s) of every full window whose hash is asked for."""
+
+    def run(batches):
+        wanted = shipped.value
+        for keys, texts in _batches(batches, BATCH_CHARS):
+            b = _Batch(texts, seed)
+            docs, held = keys.to_pylist(), texts.to_pylist()
+            doc, at, out = [], [], []
+            for i, text in enumerate(held):
+                start = b.starts[i] + np.arange(len(text) - length + 1)
+                h = b.at(start, start + length).view(np.int64)
+                place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                for s in np.flatnonzero(wanted[place] == h).tolist():
+                    doc.append(docs[i])
+                    at.append(s)
+                    out.append(hashlib.sha256(text[s : s + length].encode("utf-8", "surrogatepass")).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int32())], names=["digest", "doc", "s"])
+
+    return run
+
+
+def _repaired(texts: DataFrame, failed: DataFrame, length: int, seed: int) -> DataFrame | None:
+    """(doc, s, e) of the windows of failed stretches, and of windows equal to them, that other records have too."""
+    asked = failed.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("places"))
+    hashes = materialize(texts.join(asked, "doc").select("doc", "text", "places").mapInArrow(_hashes_of(length, seed), "hash long").distinct(), "p8-asked")
+    if hashes.count() * 8 > REPAIR_BYTES:
+        return None
+    wanted = texts.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow()["hash"].to_numpy()))
+    met = materialize(texts.select("doc", "text").mapInArrow(_lookup(length, seed, wanted), "digest binary, doc long, s int"), "p8-met")
+    many = met.groupBy("digest").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("digest")
+    return met.join(many, "digest", "left_semi").select("doc", "s", (F.col("s") + length).alias("e"))
 
 
 def shared_spans(docs: DataFrame, length: int = 160, key: str = "doc_id", text: str = "text", batch_hot: int = BATCH_HOT, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -345,20 +499,34 @@ def shared_spans(docs: DataFrame, length: int = 160, key: str = "doc_id", text:
     if chars >= UNKNOWN:
         chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     picked = chars * 2 // (length - k + 2)
-    n = partitions_for(spark, picked, task_rows)
-    first = long_enough.mapInArrow(_picker(length, k, batch_hot), _PICK_SCHEMA)
-    ranges = materialize(first.repartition(n, "key").mapInArrow(_narrow(length, k), _RANGE_SCHEMA), "p8-ranges")
-    done = ranges.where(F.col("state") == DONE).select("doc", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    open_ = ranges.where(F.col("state") != DONE)
-    size = open_.agg(F.count("*").alias("rows"), F.sum(F.col("hi") - F.col("lo") + 1).alias("windows")).first()
-    by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "state")).alias("spans"))
-    if size.rows * 24 <= BROADCAST_BYTES:
-        by_doc = F.broadcast(by_doc)
-    again = long_enough.join(by_doc, "doc").select("doc", "text", "spans").mapInArrow(_windows(length), _WINDOW_SCHEMA)
-    n = partitions_for(spark, size.windows or 0, 2 * task_rows)
-    found = again.repartition(n, "hash").mapInArrow(_settle(length), "doc long, s int, e int")
-    out = done.union(found).repartition(partitions_for(spark, picked // 4, task_rows), "doc").mapInArrow(_stretches, "doc_id long, span_start int, span_end int")
-    return out
+    for seed in range(SEEDS):
+        first = long_enough.mapInArrow(_picker(length, k, batch_hot, seed), _PICK_SCHEMA)
+        ranges = materialize(first.repartition(partitions_for(spark, picked, task_rows), "key").mapInArrow(_narrow(length, k), _RANGE_SCHEMA), "p8-ranges")
+        done = ranges.where(F.col("state") == DONE).select("doc", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"), "pdoc", "shift")
+        open_ = ranges.where(F.col("state") != DONE)
+        windows = open_.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
+        by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "state", "pdoc", "shift")).alias("spans"))
+        again = long_enough.join(by_doc, "doc").select("doc", "text", "spans").mapInArrow(_windows(length, seed), _WINDOW_SCHEMA)
+        found = again.repartition(partitions_for(spark, windows, 2 * task_rows), "hash").mapInArrow(_settle(length), _FOUND_SCHEMA)
+        merged = done.union(found).repartition(partitions_for(spark, picked // 4, task_rows), "doc").mapInArrow(_stretches, _FOUND_SCHEMA)
+        merged = materialize(merged, "p8-stretches")
+        drop_table(ranges)
+        whole = merged.where(F.col("pdoc").isNull())
+        claims = merged.where(F.col("pdoc").isNotNull())
+        failed = _failed(long_enough, claims)
+        if not failed.isEmpty():
+            again = _repaired(long_enough, failed, length, seed + SEEDS)
+            if again is None:
+                drop_table(merged)
+                continue
+            # records with a failure are put together anew from what holds and what was looked up
+            none = [F.lit(0).cast("long").alias("pdoc"), F.lit(0).alias("shift")]
+            kept = claims.join(failed, ["doc", "s", "e", "pdoc", "shift"], "left_anti")
+            new = kept.union(again.select("doc", "s", "e", *none))
+            merged = new.repartition(partitions_for(spark, picked // 4, task_rows), "doc").mapInArrow(_stretches, _FOUND_SCHEMA)
+            whole = merged.where(F.col("pdoc").isNull())
+        return whole.select(F.col("doc").alias("doc_id"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
+    raise RuntimeError("too many hashes of different texts met, with every seed")
 
 
 def shared_share(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -148,6 +148,39 @@ def test_stop_test():
     assert abs(stop_factor(8, 0.95) - 15.507) < 1e-2
 
 
+@pytest.mark.parametrize("repair", [8 << 20, 0])
+def test_spans_are_compared(spark, monkeypatch, repair):
+    """Hashes that meet by chance are found out by the texts: windows are looked up, or the search is made again."""
+    import presq.llm.spans as spans
+
+    monkeypatch.setattr(spans, "REPAIR_BYTES", repair)
+    rng = np.random.default_rng(3)
+    texts = [(d, "".join(rng.choice(list("abc"), 120))) for d in range(30)] + [(50, "x" * 5 + "abcabcabcacb" * 3), (51, "abcabcabcacb" * 3 + "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    searches, real = [], spans._picker
+
+    def picker(length, k, hot, seed):
+        searches.append(seed)
+        run = real(length, k, hot, seed)
+
+        def weak(batches):
+            import presq.llm.spans as inside
+
+            mix = inside._mix
+            if seed == 0:
+                inside._mix = lambda h: mix(h) & np.uint64(63)
+            try:
+                yield from run(batches)
+            finally:
+                inside._mix = mix
+
+        return weak
+
+    monkeypatch.setattr(spans, "_picker", picker)
+    assert {tuple(r) for r in shared_spans(docs, 12).collect()} == brute_spans(texts, 12)
+    assert searches == ([0] if repair else [0, 1])
+
+
 def test_chance_of_a_cut_off_neighbour():
     from presq.llm.neighbours import _home, _touched, layout, log_cut_off
 
