@@ -35,7 +35,7 @@ from presq.plans.shared import drop_table, materialize, partitions_for, scan_byt
 BATCH_CHARS = 2_000_000
 #: A first-level window with more differing surroundings than this within a batch skips the middle levels.
 BATCH_HOT = 64
-TASK_ROWS = 1_500_000
+TASK_ROWS = 250_000
 #: Hashes of failed windows that are broadcast at most; some claims fail beyond 10^12 characters, a few windows each.
 REPAIR_BYTES = 8 << 20
 #: Searches with other hash values before giving up.
@@ -291,8 +291,9 @@ def _narrow(length: int, k: int):
     return run
 
 
-_WINDOW = ["hash", "doc", "lo", "hi", "state", "pdoc", "shift"]
-_WINDOW_SCHEMA = "hash long, doc long, lo int, hi int, state byte, pdoc long, shift int"
+#: Most rows of all lie here, so small fields share one: place is lo and hi - lo, how is state and shift.
+_WINDOW = ["hash", "doc", "place", "pdoc", "how"]
+_WINDOW_SCHEMA = "hash long, doc long, place long, pdoc long, how long"
 
 
 def _runs(doc: np.ndarray, lo: np.ndarray, pdoc: np.ndarray, shift: np.ndarray):
@@ -336,7 +337,8 @@ def _windows(length: int, seed: int):
             key = h[pick].view(np.int64)
             for s in range(0, len(pick), 200_000):
                 p = pick[s : s + 200_000]
-                cols = [key[s : s + 200_000], d[p], start[p].astype(np.int32), end[s : s + 200_000].astype(np.int32), state[s : s + 200_000], pdoc[p], shift[p].astype(np.int32)]
+                place = start[p] | (end[s : s + 200_000] - start[p]) << 32
+                cols = [key[s : s + 200_000], d[p], place, pdoc[p], state[s : s + 200_000].astype(np.int64) | shift[p] << 8]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_WINDOW)
 
     return run
@@ -355,10 +357,11 @@ def _settle(length: int):
             return
         x = _whole(held, _WINDOW)
         del held
-        state, lo, hi = x["state"], x["lo"].astype(np.int64), x["hi"].astype(np.int64)
+        state, shift, lo = x["how"] & 0xFF, x["how"] >> 8, x["place"] & 0xFFFFFFFF
+        hi = lo + (x["place"] >> 32)
         met = np.flatnonzero(state != DONE)
-        found, other, place = _partners(x["hash"][met], x["doc"][met], lo[met], state[met] == GIVER, x["pdoc"][met], lo[met] + x["shift"][met])
-        pdoc, shift = x["pdoc"].copy(), x["shift"].astype(np.int64)
+        found, other, place = _partners(x["hash"][met], x["doc"][met], lo[met], state[met] == GIVER, x["pdoc"][met], lo[met] + shift[met])
+        pdoc = x["pdoc"].copy()
         pdoc[met], shift[met] = other, place - lo[met]
         hit = state == DONE
         hit[met[found & (state[met] == OPEN)]] = True
@@ -507,7 +510,7 @@ def shared_spans(docs: DataFrame, length: int = 160, key: str = "doc_id", text:
         windows = open_.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
         by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "state", "pdoc", "shift")).alias("spans"))
         again = long_enough.join(by_doc, "doc").select("doc", "text", "spans").mapInArrow(_windows(length, seed), _WINDOW_SCHEMA)
-        found = again.repartition(partitions_for(spark, windows, 2 * task_rows), "hash").mapInArrow(_settle(length), _FOUND_SCHEMA)
+        found = again.repartition(partitions_for(spark, windows, task_rows), "hash").mapInArrow(_settle(length), _FOUND_SCHEMA)
         merged = done.union(found).repartition(partitions_for(spark, picked // 4, task_rows), "doc").mapInArrow(_stretches, _FOUND_SCHEMA)
         merged = materialize(merged, "p8-stretches")
         drop_table(ranges)
