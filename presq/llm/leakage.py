@@ -1,10 +1,11 @@
 """Problem 7: evaluation texts leaking into training text.
 
-Method: the normalised word n-grams of the test items form a hash set that is broadcast; the word windows of each
-training text are scanned against it, hits are verified word by word, and leaked spans or documents can be removed.
+Method: the normalised word n-grams of the test items form a hash set, which is broadcast as a bitmap of fixed size
+whatever the number of items. Each training text is scanned once: its word windows are tested against the set, and those
+that pass meet the items' n-grams by hash and are verified word by word. Leaked spans or documents can be removed.
 
-Words are maximal runs of letters and digits, compared case-folded. Item sets above BLOCK_WORDS words are scanned
-in blocks of that many, so what is broadcast is bounded by a parameter and the corpus is never shuffled.
+Words are maximal runs of letters and digits, compared case-folded. The corpus is never shuffled, only the windows that
+pass: with few items those that leak, with so many items that the bitmap fills more of them, but no hit is lost.
 Defined cases: null texts and passages, and passages shorter than n words, have no case; items with equal passages
 are all reported; repeated rows give one case; an empty table gives an empty result; other columns are ignored.
 """
@@ -15,14 +16,22 @@ import re
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from presq.plans.shared import materialize
+
 WORD = re.compile(r"[^\W_]+")
 N = 13
-#: Words of items in one broadcast block: about 30 bytes each.
-BLOCK_WORDS = 1_000_000
+#: Bits of the broadcast hash set, two for each n-gram.
+SET_BITS = 27
+#: Words whose hashes a worker remembers; beyond it memory starts anew. Results don't depend on it.
+MEMORY_WORDS = 500_000
+_BLOCK_BITS = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_U = np.uint64
 
 
 def words(text: str) -> list[str]:
@@ -33,141 +42,125 @@ def words(text: str) -> list[str]:
     return [w.casefold() for w in WORD.findall(text)]  # folding may add marks that would part a word
 
 
-def _grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the window of n ids at each position."""
-    h = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    x = ids.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(1)
-    x ^= x >> np.uint64(29)
-    for k in range(n):
-        h = h * _BASE + x[k : len(ids) - n + 1 + k]
-    return h ^ (h >> np.uint64(32))
-
-
-class ItemIndex:
-    """The n-grams of a block of items: sorted hashes, the place of each, and the items by place."""
-
-    def __init__(self, items: list[tuple[str, list[str]]], n: int):
-        self.n, self.names = n, [i for i, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        number = self.vocabulary.setdefault
-        rows = [np.fromiter((number(w, len(self.vocabulary) + 1) for w in ws), np.int64, len(ws)) for _, ws in items]
-        # 0 parts the items: no window with it is kept
-        flat = np.concatenate([np.r_[r, 0] for r in rows]) if rows else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows]) if rows else np.zeros(0, np.int64)
-        h = _grams(flat, n)
-        clean = np.convolve(flat == 0, np.ones(n, int), "valid")[: len(h)] == 0 if len(h) else np.zeros(0, bool)
-        at = np.flatnonzero(clean)
-        order = np.argsort(h[at], kind="stable")
-        self.at = at[order].astype(np.int32)
-        self.hashes, self.flat, self.owner = h[self.at], flat.astype(np.int32), owner.astype(np.int32)
-        # a table of the top bits rejects nearly all windows before the search
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window start, item) of every verified hit; ids holds word numbers, 0 for words no item has."""
-        n = self.n
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(ids) < n or not len(self.hashes):
-            return none
-        zero = np.r_[0, np.cumsum(ids == 0)]
-        start = np.flatnonzero(zero[n:] == zero[:-n])
-        if not len(start):
-            return none
-        h = _grams_at(ids, start, n)
-        keep = self.seen[(h >> np.uint64(42)).astype(np.int64)]
-        start, h = start[keep], h[keep]
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        count = hi - lo
-        start = np.repeat(start, count)
-        place = self.at[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        same = np.ones(len(start), bool)
-        for k in range(n):
-            same &= ids[start + k] == self.flat[place + k]
-        return start[same], self.owner[place[same]]
-
-
-def _grams_at(ids: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(1)
-    x ^= x >> np.uint64(29)
-    h = np.zeros(len(start), np.uint64)
+class _WordHashes(dict):
+    """Hashes of words, the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def _windows(texts: list[list[str]], n: int, known: _WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, word) of every window of n words within a text."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    x = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, int(length.sum()))
+    size = np.maximum(0, len(x) - n + 1)
+    h = np.zeros(size, np.uint64)
     for k in range(n):
-        h = h * _BASE + x[start + k]
-    return h ^ (h >> np.uint64(32))
-
-
-def _blocks(items: DataFrame, n: int, block_words: int):
-    """Item indexes of at most about block_words words each; items are streamed, never all held."""
-    held, size = [], 0
-    for row in items.toLocalIterator():
-        ws = words(row[1])
-        if len(ws) < n:
-            continue
-        held.append((row[0], ws))
-        size += len(ws)
-        if size >= block_words:
-            yield ItemIndex(held, n)
-            held, size = [], 0
-    if held:
-        yield ItemIndex(held, n)
-
-
-def leaks(docs: DataFrame, items: DataFrame, n: int = N, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
-    """(key, item, span_start, span_end): each maximal stretch of a text, as code point offsets, covered by windows
-    of n words that also stand in the item's passage."""
-    spark = docs.sparkSession
-    key_type = docs.schema[key].dataType.simpleString()
-    kept = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string"), passage)
-    scanned = docs.where(F.col(text).isNotNull()).select(key, text)
-    schema = f"`{key}` {key_type}, `{item}` string, span_start int, span_end int"
-    out = spark.createDataFrame([], schema)
-    for k, index in enumerate(_blocks(kept, n, block_words)):
-        found = scanned.mapInArrow(_scanner(spark.sparkContext.broadcast(index), key, item), schema)
-        out = found if k == 0 else out.union(found)
-    return out.distinct()
+        h = h * _BASE + x[k : size + k]
+    h ^= h >> _U(32)
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(32)
+    count = np.maximum(0, length - n + 1)
+    text = np.repeat(np.arange(len(texts)), count)
+    word = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return h[np.repeat(np.cumsum(length) - length, count) + word], text, word
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> _U(64 - bits)).astype(np.int64), ((h >> _U(8)) & _U((1 << bits) - 1)).astype(np.int64)
 
 
-def _scanner(shipped, key: str, item: str):
+def _item_grams(n: int):
+    """(h, item, gram) of every distinct window of each passage; the gram is its words."""
+
     def run(batches):
-        import pyarrow as pa
+        known = _WordHashes()
+        for b in batches:
+            names = b.column(0).to_pylist()
+            for at in range(0, b.num_rows, 500):
+                own = [words(t) for t in b.column(1).slice(at, 500).to_pylist()]
+                h, text, word = _windows(own, n, known)
+                grams = [" ".join(own[t][w : w + n]) for t, w in zip(text.tolist(), word.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([names[at + t] for t in text.tolist()], pa.string()), pa.array(grams, pa.string())], names=["h", "item", "gram"])
+
+    return run
+
 
-        index: ItemIndex = shipped.value
-        n, get = index.n, index.vocabulary.get
+def _bitmap(grams: DataFrame, bits: int) -> np.ndarray:
+    """The set of the grams' hashes, put together in tasks, a block of bits each; 2^bits bits reach the driver."""
+
+    def ends(batches):
+        for b in batches:
+            place = np.unique(np.concatenate(_places(b.column(0).to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(place >> _BLOCK_BITS)], names=["place", "block"])
+
+    def block(table: pa.Table) -> pa.Table:
+        on = np.zeros(1 << _BLOCK_BITS, bool)
+        on[table["place"].to_numpy() & ((1 << _BLOCK_BITS) - 1)] = True
+        return pa.table({"block": table["block"].slice(0, 1), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (_BLOCK_BITS - 3)
+    for r in grams.select("h").mapInArrow(ends, "place long, block long").distinct().groupBy("block").applyInArrow(block, "block long, bits binary").collect():
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _scanner(shipped, key: str, n: int, bits: int):
+    """The windows of each text that the set may hold: (key, h, word, span_start, span_end, gram)."""
+
+    def inside(held, place):
+        return (held[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+
+    def run(batches):
+        held, known = shipped.value, _WordHashes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            took, names, starts, ends = [], [], [], []
             for at in range(0, len(texts), 500):
-                docs = [words(t) for t in texts[at : at + 500]]
-                length = np.fromiter(map(len, docs), np.int64, len(docs)) + 1
-                # a 0 after each text keeps windows within it
-                ids = np.fromiter((get(w, 0) for w in chain.from_iterable(d + [""] for d in docs)), np.int64, int(length.sum()))
-                where, owner = index.hits(ids)
-                if not len(where):
+                own = [words(t) for t in texts[at : at + 500]]
+                h, text, word = _windows(own, n, known)
+                first, second = _places(h, bits)
+                hit = np.flatnonzero(inside(held, first))
+                hit = hit[inside(held, second[hit]) == 1]
+                if not len(hit):
                     continue
-                base = np.cumsum(length) - length
-                doc = np.searchsorted(base, where, "right") - 1
-                order = np.lexsort((where, owner, doc))
-                places: dict[int, list[tuple[int, int]]] = {}
-                begin = last = None
-                for i in order.tolist():
-                    d, o, w = int(doc[i]), int(owner[i]), int(where[i] - base[doc[i]])
-                    if d not in places:
-                        places[d] = [m.span() for m in WORD.finditer(texts[at + d])]
-                    if begin and begin[:2] == (d, o) and w <= last + n:
-                        last = w
-                    else:
-                        begin, last = (d, o), w
-                        took.append(at + d)
-                        names.append(index.names[o])
-                        starts.append(places[d][w][0])
-                        ends.append(0)
-                    ends[-1] = places[d][w + n - 1][1]
-            if took:
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(took)), pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, item, "span_start", "span_end"])
+                spans, starts, ends, grams = {}, [], [], []
+                for t, w in zip(text[hit].tolist(), word[hit].tolist(), strict=True):
+                    if t not in spans:
+                        spans = {t: [m.span() for m in WORD.finditer(texts[at + t])]}
+                    starts.append(spans[t][w][0])
+                    ends.append(spans[t][w + n - 1][1])
+                    grams.append(" ".join(own[t][w : w + n]))
+                cols = [keys.take(pa.array(at + text[hit])), pa.array(h[hit].view(np.int64)), pa.array(word[hit].astype(np.int32)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(grams, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "h", "_word", "span_start", "span_end", "_gram"])
 
     return run
 
 
+def leaks(docs: DataFrame, items: DataFrame, n: int = N, set_bits: int = SET_BITS, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
+    """(key, item, span_start, span_end): each maximal stretch of a text, as code point offsets, covered by windows
+    of n words that also stand in the item's passage."""
+    spark = docs.sparkSession
+    key_type = docs.schema[key].dataType.simpleString()
+    kept = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("string"), passage)
+    grams = materialize(kept.mapInArrow(_item_grams(n), "h long, item string, gram string").distinct(), "p7-grams")
+    shipped = spark.sparkContext.broadcast(_bitmap(grams, set_bits))
+    scanned = docs.where(F.col(text).isNotNull()).select(key, text)
+    schema = f"`{key}` {key_type}, h long, _word int, span_start int, span_end int, _gram string"
+    found = scanned.mapInArrow(_scanner(shipped, key, n, set_bits), schema)
+    # equal hashes are compared word by word
+    g = grams.select(F.col("h").alias("_h"), F.col("item").alias(item), F.col("gram").alias("_item_gram"))
+    hits = found.hint("merge").join(g, (F.col("h") == F.col("_h")) & (F.col("_gram") == F.col("_item_gram")))
+    by = Window.partitionBy(key, item).orderBy("_word", "span_start")
+    # windows that overlap or adjoin are one stretch
+    new = F.coalesce(F.col("_word") > F.lag("_word").over(by) + n, F.lit(True))
+    island = hits.select(key, item, "_word", "span_start", "span_end", new.cast("int").alias("_new")).withColumn("_island", F.sum("_new").over(by))
+    return island.groupBy(key, item, "_island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("_island").distinct()
+
+
 def leaked_items(found: DataFrame, item: str = "item_id", key: str = "doc_id") -> DataFrame:
     """Which items leaked, and into how many documents."""
     return found.select(item, key).distinct().groupBy(item).agg(F.count("*").alias("n_docs"))

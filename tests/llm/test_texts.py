@@ -63,8 +63,8 @@ def passage(k, n=20):
     return " ".join(f"word{k}x{i}" for i in range(n))
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 25])
-def test_leaks(spark, block_words):
+@pytest.mark.parametrize("set_bits", [27, 17])
+def test_leaks(spark, set_bits):
     long = "filler " * 30_000
     texts = [
         (1, "before " + passage(1).upper().replace(" ", " -- ") + " after"),
@@ -77,7 +77,7 @@ def test_leaks(spark, block_words):
     ]
     docs = spark.createDataFrame([(i, t, "z") for i, t in texts], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([("a", passage(1)), ("b", "“" + passage(1) + "”!"), ("c", passage(2)), ("d", "too short"), ("e", None), ("f", "STRASSE " + " ".join(f"w{i}" for i in range(14)))], "item_id string, passage string")
-    found = leaks(docs, items, block_words=block_words)
+    found = leaks(docs, items, set_bits=set_bits)
     got = {(r.doc_id, r.item_id) for r in found.collect()}
     assert got == {(1, "a"), (1, "b"), (3, "c"), (6, "a"), (6, "b"), (7, "f")}
     spans = {(r.doc_id, r.item_id, r.span_start, r.span_end) for r in found.collect()}
