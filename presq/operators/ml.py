@@ -1,10 +1,11 @@
-"""Standardised principal components and k-means of samples."""
+"""Standardised principal components, k-means of samples and a non-negative factorisation."""
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, CountVectorizerModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,19 @@ def kmeans(frame, k: int, seed: int = 0, on: str = "distances") -> DataFrame:
         raise ValueError("on is distances or cells")
     data = distance_rows(frame) if on == "distances" else features(frame)
     return KMeans(k=k, seed=seed).fit(data).transform(data).select("guid", F.col("prediction").alias("cluster"))
+
+
+def admixture(frame, k: int = 4, seed: int = 0, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(guid, shares) and (allele, source): a non-negative factorisation of the cells by alternating least squares.
+
+    shares are a sample's k weights, made to sum to 1; source is the factor with an allele's greatest weight. It visits
+    every cell of the matrix, zeros included, and is meant for narrow ones; factors come in no particular order.
+    """
+    at = frame.to_dense().join(frame.labels, "guid").join(frame.alleles, "allele")
+    ratings = at.select(F.col("row_idx").alias("user"), F.col("col_idx").alias("item"), F.col("value").cast("float").alias("rating"))
+    model = ALS(rank=k, maxIter=iterations, nonnegative=True, seed=seed, regParam=0.01).fit(ratings)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    shares = F.transform("features", lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0 / k)))
+    w = model.userFactors.select(F.col("id").alias("row_idx"), shares.alias("shares")).join(frame.labels, "row_idx").select("guid", "shares")
+    source = (F.array_position("features", F.array_max("features")) - 1).cast("int")
+    return w, model.itemFactors.select(F.col("id").alias("col_idx"), source.alias("source")).join(frame.alleles, "col_idx").select("allele", "source")

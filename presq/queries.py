@@ -289,6 +289,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "generated_uniform": lambda s, d: generators.uniform(s, 300, 200).snp_count(),
     "principal_components": lambda s, d: ml.principal_components(E(s, d)),
     "kmeans_distances": lambda s, d: ml.kmeans(E(s, d), 8),
+    "admixture": lambda s, d: ml.admixture(E(s, d))[0],
+    "unpivot_wide": lambda s, d: loaders.from_wide(E(s, d).to_dataframe()).presence,
 }
 
 
@@ -386,7 +388,7 @@ k as (select query, guid, count(*) as c from s join p using (allele) group by 1,
 select n.query, g.guid, (qm + mass - 2 * coalesce(c, 0))::int as distance from n join g on true left join k on k.query = n.query and k.guid = g.guid
 where qm + mass - 2 * coalesce(c, 0) <= 60""",
     **dict.fromkeys(
-        ("csv_round_trip", "parquet_wide_round_trip", "npy_round_trip", "memory_source", "pandas_source"),
+        ("csv_round_trip", "parquet_wide_round_trip", "npy_round_trip", "memory_source", "pandas_source", "unpivot_wide"),
         _E + "z as (select 1) select guid, allele from p",
     ),
     "csv_label_order": _E + "z as (select 1) select r as row_idx, guid from g",

@@ -114,6 +114,17 @@ def from_pandas(spark: SparkSession, frame, binarize: bool = False, add_ref: boo
     return from_memory(spark, frame.to_numpy(), {"guids": list(frame.index), "alleles": list(frame.columns)}, binarize, add_ref)
 
 
+def from_wide(wide: DataFrame, key: str = "guid", binarize: bool = False) -> AlleleFrame:
+    """From a Spark frame with a column per allele, few enough to be columns: they are turned into rows."""
+    names = [c for c in wide.columns if c != key]
+    kept = wide.select(F.col(key).cast("string").alias("guid"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
+    long = kept.unpivot("guid", [F.col(f"`{c}`") for c in names], "allele", "value").where("value is not null")
+    if not binarize and (bad := long.where(~F.col("value").isin(0.0, 1.0)).first()):
+        raise ValueError(f"a cell of {bad.guid} is {bad.value}: cells are 0 or 1")
+    a = wide.sparkSession.createDataFrame([(x,) for x in names], "allele string")
+    return AlleleFrame.from_cells(long.where("value <> 0"), kept.select("guid"), a)
+
+
 def from_csv(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', binarize: bool = False, header: bool = True, index_col: int = 0, add_ref: bool = False) -> AlleleFrame:
     """From a wide CSV: lines are parsed in tasks, quotes and all, so width never becomes schema. Labels are strings.
 

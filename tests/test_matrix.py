@@ -171,3 +171,45 @@ def test_arrivals(spark, frame):
     assert got["new", "GUID10"] == 1
     assert got["bare", "GUID10"] == 4
     assert ("bare", "GUID1") not in got
+
+
+def test_arriving_samples(spark, frame, golden, tmp_path):
+    """Samples that arrive as files of a stream, each micro-batch against the matrix."""
+    import json
+
+    from presq.streaming.arrivals import arriving_neighbours
+
+    matrix, headers = golden
+    found: dict[str, dict[str, int]] = {}
+
+    def batch(df, _):
+        for r in arriving_neighbours(df, frame, 4).collect():
+            found.setdefault(r.query, {})[r.guid] = r.distance
+
+    (tmp_path / "in").mkdir()
+    queries = {"same": ["SNP1", "SNP5", "SNP6", "SNP7", "SNP8", "SNP10"], "none": [], "twice": ["SNP4", "SNP4", None]}
+    for name, own in queries.items():
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"query": name, "alleles": own}))
+    stream = spark.readStream.schema("query string, alleles array<string>").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    run = stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    sets = {g: {a for a, v in zip(headers["alleles"], row, strict=True) if v} for g, row in zip(headers["guids"], matrix, strict=True)}
+    want = {q: {g: len(s ^ {a for a in own if a}) for g, s in sets.items() if len(s ^ {a for a in own if a}) <= 4} for q, own in queries.items()}
+    assert found == {q: w for q, w in want.items() if w}
+
+
+def test_labels_and_slices(frame):
+
+    assert frame.split_labels(["GUID3", "nobody", "GUID1"]) == (["GUID1", "GUID3"], ["nobody"])
+    assert {r.guid for r in distance.below(frame.pairwise(), "GUID10", 4).collect()} == {"GUID8", "GUID9"}
+    assert {r.guid for r in distance.below(frame.square_matrix(), "GUID10", 4, strict=False).collect()} == {"GUID6", "GUID7", "GUID8", "GUID9"}
+    assert [r.distance for r in frame.neighbourhood("GUID10", 6, order_by="distance").collect()] == [1, 1, 4, 4, 6, 6, 6, 6, 6]
+    assert {r.allele for r in frame.unique(["nobody"], on_unknown="ignore").collect()} == {"SNP5", "SNP7"}
+    with pytest.raises(KeyError):
+        frame.pairwise_known(["nobody"])
+    with pytest.raises(ValueError):
+        frame.pairwise_known(["nobody", "GUID1"])
+    assert frame.pairwise_known(["nobody", "GUID1", "GUID3"]).first().distance == 2
+    assert {r.allele for r in frame.match_allele_names("(?P<x>SNP)1$").collect()} == {"SNP1"}
+    with pytest.raises(ValueError):
+        frame.match_allele_names("SNP[")

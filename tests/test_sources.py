@@ -141,3 +141,18 @@ def test_ml(frame):
         assert ml.kmeans(frame, 3, on=on).select("cluster").distinct().count() == 3
     row = {r.guid: r.features.toArray().tolist() for r in ml.distance_rows(frame).collect()}["GUID10"]
     assert row == [6, 6, 6, 6, 6, 4, 4, 1, 1, 0]
+
+
+def test_admixture(frame):
+    shares, sources = ml.admixture(frame, 2)
+    assert all(abs(sum(r.shares) - 1) < 1e-5 and min(r.shares) >= 0 for r in shares.collect())
+    assert {r.source for r in sources.collect()} <= {0, 1} and sources.count() == 10
+
+
+def test_wide_frame(spark, frame, golden):
+    from presq.sources.loaders import from_wide
+
+    m = from_wide(frame.to_dataframe())
+    assert m.presence.count() == 56 and m.n_alleles() == 10
+    with pytest.raises(ValueError):
+        from_wide(spark.createDataFrame([("x", 2)], "guid string, a int"))
