@@ -68,8 +68,16 @@ ranked as (select lab.guid, lab.cluster_id, row_number() over (partition by lab.
   from lab left join own on own.guid = lab.guid)
 select cluster_id, count(*)::bigint as size, list(guid order by r) filter (where r <= 3) as typical from ranked group by cluster_id"""
 
+_LINKS = f"""with s as (select g as id, a, 0 as kind from ({_CELLS}) union all
+  select distinct strain_id, upper(trim(a)), 1 from (select strain_id, unnest(alleles) as a from strains) where a is not null),
+k as (select id, kind, count(*) as n, string_agg(a, '|' order by a) as own from s group by id, kind),
+pair as ({_PAIRS}),
+link as (select id, count(*) as n from (select id_a as id from pair union all select id_b from pair) group by id)
+select k.id, min(k.id) over (partition by kind, own) as class_id, coalesce(link.n, 0)::bigint as n_links from k left join link on link.id = k.id"""
+
 ORACLE: dict[str, str] = {
     "p1_found": _PAIRS,
+    "p1_links": _LINKS,
     "p2_found": _GROUPS + "select guid, group_id from grp",
     "p2_group_sizes": _GROUPS + "select group_id, count(*)::bigint as members from grp group by group_id",
     "p3_found": _NEAR + "select distinct least(guid, neighbour) as guid_a, greatest(guid, neighbour) as guid_b from near",

@@ -267,11 +267,9 @@ def _blocks(parts: DataFrame, key_rows: int) -> DataFrame:
     return met.select(*[cut(c) if c in ("key", "token") else c for c in parts.columns])
 
 
-def similar_pairs(sets: DataFrame, threshold: str = "7/10", subset: int = 2, small_part: int = SMALL_PART, hot_token: int = HOT_TOKEN, task_rows: int = TASK_ROWS, key_rows: int = KEY_ROWS) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of sets(id, kind, tokens) whose similarity reaches the threshold, a fraction.
-
-    Pairs of two records of kind 1 are left out: kind 0 is joined with itself and with kind 1.
-    """
+def similar_classes(sets: DataFrame, threshold: str = "7/10", subset: int = 2, small_part: int = SMALL_PART, hot_token: int = HOT_TOKEN, task_rows: int = TASK_ROWS, key_rows: int = KEY_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal sets: similar pairs (rep_a, kind_a, rep_b, kind_b) of two different ones, once; the members
+    (rep, id, kind) of those with copies; and all (rep, kind). Copies aren't expanded into pairs."""
     spark, t = sets.sparkSession, Fraction(threshold)
     if not 0 < t <= 1 or subset not in (1, 2):
         raise ValueError("threshold is in (0, 1], subset is 1 or 2")
@@ -289,7 +287,30 @@ def similar_pairs(sets: DataFrame, threshold: str = "7/10", subset: int = 2, sma
     left = reps.select(F.col("num").alias("a"), F.col("rep").alias("rep_a"), F.col("kind").alias("kind_a"), F.col("tokens").alias("ta"))
     right = reps.select(F.col("num").alias("b"), F.col("rep").alias("rep_b"), F.col("kind").alias("kind_b"), F.col("tokens").alias("tb"))
     near = pairs.join(left, "a").join(right, "b").where(reaches("ta", "tb", t)).select("rep_a", "kind_a", "rep_b", "kind_b")
+    return near, members, reps.select("rep", "kind")
+
+
+def linked(sets: DataFrame, threshold: str = "7/10", **options) -> DataFrame:
+    """(id, kind, class_id, n_links) of every record: the least id among its equal sets, and how many similar partners
+    it has. The links of copies are counted by class, so their number never grows with the square of a class."""
+    near, members, reps = similar_classes(sets, threshold, **options)
+    near = materialize(near, "p1-near")
+    sizes = reps.join(members.groupBy("rep", "kind").agg(F.count("*").alias("c")), ["rep", "kind"], "left").select("rep", "kind", F.coalesce("c", F.lit(1)).alias("c"))
+    ends = near.union(near.select("rep_b", "kind_b", "rep_a", "kind_a"))
+    of = sizes.select(F.col("rep").alias("rep_b"), F.col("kind").alias("kind_b"), F.col("c").alias("partners"))
+    other = ends.join(of, ["rep_b", "kind_b"]).groupBy(F.col("rep_a").alias("rep"), F.col("kind_a").alias("kind")).agg(F.sum("partners").alias("n"))
+    twins = F.when(F.col("kind") == 0, F.col("c") - 1).otherwise(0)
+    per = sizes.join(other, ["rep", "kind"], "left").select("rep", "kind", (F.coalesce("n", F.lit(0)) + twins).cast("long").alias("n_links"))
+    return per.join(members, ["rep", "kind"], "left").select(F.coalesce("id", "rep").alias("id"), "kind", F.col("rep").alias("class_id"), "n_links")
 
+
+def similar_pairs(sets: DataFrame, threshold: str = "7/10", **options) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of sets(id, kind, tokens) whose similarity reaches the threshold, a fraction.
+
+    Pairs of two records of kind 1 are left out: kind 0 is joined with itself and with kind 1. Options are those of
+    similar_classes. All pairs among copies are listed; linked() gives each record's class and number of links instead.
+    """
+    near, members, _ = similar_classes(sets, threshold, **options)
     # copies: a representative's pairs hold for its members, and the members of a class are pairs themselves
     ma = members.select(F.col("rep").alias("rep_a"), F.col("kind").alias("kind_a"), F.col("id").alias("id_a"))
     mb = members.select(F.col("rep").alias("rep_b"), F.col("kind").alias("kind_b"), F.col("id").alias("id_b"))
@@ -308,4 +329,4 @@ def _short(t: Fraction) -> int:
     return s
 
 
-__all__ = ["similar_pairs"]
+__all__ = ["linked", "similar_classes", "similar_pairs"]

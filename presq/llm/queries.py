@@ -16,7 +16,7 @@ from presq.llm.components import components, group_sizes
 from presq.llm.leakage import leaked_items, leaks, without_leaks
 from presq.llm.lineages import clusters, described
 from presq.llm.neighbours import nearest
-from presq.llm.overlap import similar_pairs
+from presq.llm.overlap import linked, similar_pairs
 from presq.llm.sets import token_sets
 from presq.llm.spans import shared_share, shared_spans
 from presq.llm.termcount import marked_terms
@@ -38,9 +38,17 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     return token_sets(cells(table(spark, d, "presence")).select(F.col("guid").alias("rec"), F.col("allele").alias("term")))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark: SparkSession, d: str) -> DataFrame:
     strains = table(spark, d, "strains").select(F.col("strain_id").alias("rec"), F.explode("alleles").alias("a")).select("rec", norm("a").alias("term"))
-    return similar_pairs(_samples(spark, d).union(token_sets(strains, kind=1)), "7/10")
+    return _samples(spark, d).union(token_sets(strains, kind=1))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(_records(spark, d), "7/10")
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    return linked(_records(spark, d), "7/10").select("id", "class_id", "n_links")
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +141,7 @@ def p8_shared_share(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_links": p1_links,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
     "p3_found": p3_found,

@@ -5,7 +5,7 @@ import pytest
 
 from presq.llm.components import components, group_sizes
 from presq.llm.lineages import clusters, described
-from presq.llm.overlap import similar_pairs
+from presq.llm.overlap import linked, similar_pairs
 from presq.llm.sets import token_sets
 from presq.llm.termcount import marked_terms
 
@@ -51,6 +51,14 @@ def test_similar_pairs(spark, options):
     assert got == want
 
 
+def test_links_of_classes(spark):
+    sets = records(seed=6, families=5)
+    got = {r.id: (r.class_id, r.n_links) for r in linked(token_sets(rows(spark, sets))).collect()}
+    near = lambda a, b: 10 * jaccard(sets[a], sets[b])[0] >= 7 * jaccard(sets[a], sets[b])[1]
+    assert got == {a: (min(b for b in sets if sets[b] == sets[a]), sum(near(a, b) for b in sets if b != a)) for a in sets}
+    assert linked(token_sets(spark.createDataFrame([], "rec string, term string"))).count() == 0
+
+
 def test_sketch_grows_with_the_cells(spark, monkeypatch):
     import presq.llm.sets as sets
 
