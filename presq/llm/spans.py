@@ -6,8 +6,9 @@ twice the length on either side, which narrows the full windows that may be shar
 all full windows around a picked one agree with another record's, one hash settles them together.
 
 Lengths double from a quarter of the full one to the full one, where the question is decided: longer spans are unions
-of full windows. Levels move hashes and offsets, never texts. Copies within a batch of records are combined before the
-exchange, and a window frequent within a batch skips the middle levels, so hot passages don't pile up in a task.
+of full windows. Levels move hashes and offsets, packed as bytes by column, and never texts. Copies within a batch of
+records are combined before the exchange, and a window frequent within a batch skips the middle levels, so hot passages
+don't pile up in a task.
 
 Equal hashes only claim that texts are equal. Each window found keeps the place of another record's that it was taken
 to be equal to, and in the end the texts of all such stretches, a record's and the other's, are compared by their
@@ -35,7 +36,7 @@ from presq.plans.shared import drop_table, materialize, partitions_for, scan_byt
 BATCH_CHARS = 2_000_000
 #: A first-level window with more differing surroundings than this within a batch skips the middle levels.
 BATCH_HOT = 64
-TASK_ROWS = 250_000
+TASK_ROWS = 500_000
 #: Hashes of failed windows that are broadcast at most; some claims fail beyond 10^12 characters, a few windows each.
 REPAIR_BYTES = 8 << 20
 #: Searches with other hash values before giving up.
@@ -169,11 +170,37 @@ def _joined(held):
     return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns]
 
 
-_PICK = ["key", "ctx", "left", "right", "doc", "at", "lo", "hi", "state", "pdoc", "shift"]
-_PICK_SCHEMA = "key long, ctx long, left long, right long, doc long, at int, lo short, hi short, state byte, pdoc long, shift int"
+_PACKED_SCHEMA = "part int, rows binary"
+_PICK = {"key": "i8", "ctx": "i8", "left": "i8", "right": "i8", "doc": "i8", "at": "i4", "lo": "i2", "hi": "i2", "state": "i1", "pdoc": "i8", "shift": "i4"}
 
 
-def _picker(length: int, k: int, hot: int, seed: int):
+def _packed(cols: list[np.ndarray], types: dict[str, str], parts: int):
+    """Rows as bytes, column by column, one for each part of the exchange: the first column's hash bits name the part."""
+    part = (_mix(cols[0].view(np.uint64)) % _U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(bounds))
+    cols = [c[order].astype(t) for c, t in zip(cols, types.values(), strict=True)]
+    blobs = [b"".join(c[bounds[p] : bounds[p + 1]].tobytes() for c in cols) for p in used.tolist()]
+    for at in range(0, len(used), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(used[at : at + 64].astype(np.int32)), pa.array(blobs[at : at + 64], pa.binary())], names=["part", "rows"])
+
+
+def _unpacked(batches, types: dict[str, str]) -> dict[str, np.ndarray] | None:
+    """All rows of a task by column; tasks are sized to hold them."""
+    width = sum(np.dtype(t).itemsize for t in types.values())
+    held: dict[str, list[np.ndarray]] = {c: [] for c in types}
+    for b in batches:
+        for blob in b.column(1):
+            raw = blob.as_buffer()
+            n, at = raw.size // width, 0
+            for c, t in types.items():
+                held[c].append(np.frombuffer(raw, t, n, at))
+                at += n * np.dtype(t).itemsize
+    return {c: np.concatenate(x) for c, x in held.items()} if held[next(iter(types))] else None
+
+
+def _picker(length: int, k: int, hot: int, seed: int, parts: int):
     """First level: each picked window with the hashes of its surroundings and the full windows [at - lo, at - hi] that hold it."""
 
     def run(batches):
@@ -227,8 +254,8 @@ def _picker(length: int, k: int, hot: int, seed: int):
             key = core[pick].copy()
             free = (state == DONE) | (state == OPEN)
             key[free] = own[pick][free]
-            out = [key.view(np.int64), ctx[pick].view(np.int64), left[pick].view(np.int64), right[pick].view(np.int64), d[pick], (at - begin)[pick].astype(np.int32), (at - first)[pick].astype(np.int16), (at - last)[pick].astype(np.int16), state, pdoc[pick], shift[pick].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=_PICK)
+            out = [key.view(np.int64), ctx[pick].view(np.int64), left[pick].view(np.int64), right[pick].view(np.int64), d[pick], (at - begin)[pick], (at - first)[pick], (at - last)[pick], state, pdoc[pick], shift[pick]]
+            yield from _packed(out, _PICK, parts)
 
     return run
 
@@ -246,14 +273,12 @@ def _narrow(length: int, k: int):
     """Middle levels: settles, narrows or drops the full windows [lo, hi] around each picked window."""
 
     def run(batches):
-        held = list(batches)
-        if not held:
+        x = _unpacked(batches, _PICK)
+        if x is None:
             return
-        x = _whole(held, _PICK)
-        del held
         state, doc, at = x["state"], x["doc"], x["at"].astype(np.int64)
         pdoc, shift = x["pdoc"].copy(), x["shift"].astype(np.int64)
-        lo, hi = at - x["lo"], at - x["hi"]
+        lo, hi = at - x["lo"].astype(np.int64), at - x["hi"].astype(np.int64)
         out = np.full(len(at), -1, np.int8)
         out[state == DONE] = DONE
         out[state == OPEN] = OPEN
@@ -269,7 +294,7 @@ def _narrow(length: int, k: int):
         pdoc[live], shift[live] = np.where(settled, other, -1), np.where(settled, place - at[live], 0)
         lo[live] = np.where(left, lo[live], np.maximum(lo[live], at[live] - k + 1))
         hi[live] = np.where(right, hi[live], np.minimum(hi[live], at[live] - (length - 2 * k) - 1))
-        full_lo, full_hi = at - x["lo"], at - x["hi"]
+        full_lo, full_hi = at - x["lo"].astype(np.int64), at - x["hi"].astype(np.int64)
         lo[live[settled]], hi[live[settled]] = full_lo[live[settled]], full_hi[live[settled]]
         out[live[settled]] = DONE
         rest = live[~settled & (lo[live] <= hi[live])]
@@ -291,9 +316,7 @@ def _narrow(length: int, k: int):
     return run
 
 
-#: Most rows of all lie here, so small fields share one: place is lo and hi - lo, how is state and shift.
-_WINDOW = ["hash", "doc", "place", "pdoc", "how"]
-_WINDOW_SCHEMA = "hash long, doc long, place long, pdoc long, how long"
+_WINDOW = {"hash": "i8", "doc": "i8", "lo": "i4", "hi": "i4", "state": "i1", "pdoc": "i8", "shift": "i4"}
 
 
 def _runs(doc: np.ndarray, lo: np.ndarray, pdoc: np.ndarray, shift: np.ndarray):
@@ -303,7 +326,7 @@ def _runs(doc: np.ndarray, lo: np.ndarray, pdoc: np.ndarray, shift: np.ndarray):
     return first, lo[np.r_[first[1:], len(lo)] - 1]
 
 
-def _windows(length: int, seed: int):
+def _windows(length: int, seed: int, parts: int):
     """Last level: the hash of every open full window; copies within the batch are settled, as runs of windows."""
 
     def run(batches):
@@ -334,12 +357,7 @@ def _windows(length: int, seed: int):
             pick = np.r_[done[first], open_, extra]
             end = np.r_[last, start[open_], start[extra]]
             state = np.repeat(np.array([DONE, OPEN, GIVER], np.int8), [len(first), len(open_), len(extra)])
-            key = h[pick].view(np.int64)
-            for s in range(0, len(pick), 200_000):
-                p = pick[s : s + 200_000]
-                place = start[p] | (end[s : s + 200_000] - start[p]) << 32
-                cols = [key[s : s + 200_000], d[p], place, pdoc[p], state[s : s + 200_000].astype(np.int64) | shift[p] << 8]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_WINDOW)
+            yield from _packed([h[pick].view(np.int64), d[pick], start[pick], end, state, pdoc[pick], shift[pick]], _WINDOW, parts)
 
     return run
 
@@ -352,13 +370,10 @@ def _settle(length: int):
     """Full windows that repeat, as stretches of their texts, each with the place that it repeats."""
 
     def run(batches):
-        held = list(batches)
-        if not held:
+        x = _unpacked(batches, _WINDOW)
+        if x is None:
             return
-        x = _whole(held, _WINDOW)
-        del held
-        state, shift, lo = x["how"] & 0xFF, x["how"] >> 8, x["place"] & 0xFFFFFFFF
-        hi = lo + (x["place"] >> 32)
+        state, shift, lo, hi = x["state"], x["shift"].astype(np.int64), x["lo"].astype(np.int64), x["hi"].astype(np.int64)
         met = np.flatnonzero(state != DONE)
         found, other, place = _partners(x["hash"][met], x["doc"][met], lo[met], state[met] == GIVER, x["pdoc"][met], lo[met] + shift[met])
         pdoc = x["pdoc"].copy()
@@ -503,14 +518,16 @@ def shared_spans(docs: DataFrame, length: int = 160, key: str = "doc_id", text:
         chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     picked = chars * 2 // (length - k + 2)
     for seed in range(SEEDS):
-        first = long_enough.mapInArrow(_picker(length, k, batch_hot, seed), _PICK_SCHEMA)
-        ranges = materialize(first.repartition(partitions_for(spark, picked, task_rows), "key").mapInArrow(_narrow(length, k), _RANGE_SCHEMA), "p8-ranges")
+        n = partitions_for(spark, picked, task_rows)
+        first = long_enough.mapInArrow(_picker(length, k, batch_hot, seed, n), _PACKED_SCHEMA)
+        ranges = materialize(first.repartitionById(n, F.col("part")).mapInArrow(_narrow(length, k), _RANGE_SCHEMA), "p8-ranges")
         done = ranges.where(F.col("state") == DONE).select("doc", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"), "pdoc", "shift")
         open_ = ranges.where(F.col("state") != DONE)
         windows = open_.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
         by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "state", "pdoc", "shift")).alias("spans"))
-        again = long_enough.join(by_doc, "doc").select("doc", "text", "spans").mapInArrow(_windows(length, seed), _WINDOW_SCHEMA)
-        found = again.repartition(partitions_for(spark, windows, task_rows), "hash").mapInArrow(_settle(length), _FOUND_SCHEMA)
+        n = partitions_for(spark, windows, task_rows)
+        again = long_enough.join(by_doc, "doc").select("doc", "text", "spans").mapInArrow(_windows(length, seed, n), _PACKED_SCHEMA)
+        found = again.repartitionById(n, F.col("part")).mapInArrow(_settle(length), _FOUND_SCHEMA)
         merged = done.union(found).repartition(partitions_for(spark, picked // 4, task_rows), "doc").mapInArrow(_stretches, _FOUND_SCHEMA)
         merged = materialize(merged, "p8-stretches")
         drop_table(ranges)

@@ -159,9 +159,9 @@ def test_spans_are_compared(spark, monkeypatch, repair):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     searches, real = [], spans._picker
 
-    def picker(length, k, hot, seed):
+    def picker(length, k, hot, seed, parts):
         searches.append(seed)
-        run = real(length, k, hot, seed)
+        run = real(length, k, hot, seed, parts)
 
         def weak(batches):
             import presq.llm.spans as inside
