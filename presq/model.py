@@ -70,15 +70,19 @@ class AlleleFrame:
 
     def n_alleles(self) -> int:
         if "a" not in self._sizes:
-            self._sizes["a"] = self.alleles.count()
+            self._measure_alleles()
         return self._sizes["a"]
 
     def width(self) -> int:
         """One more than the greatest column number."""
         if "w" not in self._sizes:
-            self._sizes["w"] = (self.alleles.agg(F.max("col_idx")).first()[0] or 0) + 1
+            self._measure_alleles()
         return self._sizes["w"]
 
+    def _measure_alleles(self) -> None:
+        n, top = self.alleles.agg(F.count("*"), F.max("col_idx")).first()
+        self._sizes |= {"a": n, "w": (top or 0) + 1}
+
     def indexed(self) -> DataFrame:
         """(row_idx, col_idx) of every cell."""
         g, a = self.labels, self.alleles.select("col_idx", "allele")

@@ -31,8 +31,9 @@ def matrix_e(spark: SparkSession, d: str) -> AlleleFrame:
     e = table(spark, d, "embeddings")
     long = e.select(F.col("vec_id").cast("string").alias("guid"), F.posexplode("embedding").alias("i", "x")).where("x > 0")
     guids = e.select(F.col("vec_id").cast("int").alias("row_idx"), F.col("vec_id").cast("string").alias("guid"))
-    i = e.select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("i")).distinct()
-    return AlleleFrame(long.select("guid", F.col("i").cast("string").alias("allele")), guids, i.select(F.col("i").alias("col_idx"), F.col("i").cast("string").alias("allele")))
+    m = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    alleles = spark.range(m).select(F.col("id").cast("int").alias("col_idx"), F.col("id").cast("string").alias("allele"))
+    return AlleleFrame(long.select("guid", F.col("i").cast("string").alias("allele")), guids, alleles)
 
 
 def matrix_p(spark: SparkSession, d: str) -> AlleleFrame:
