@@ -48,34 +48,38 @@ def _scratch(spark) -> str:
     return path
 
 
-def _spill(cells: DataFrame, part, path: str) -> dict[int, tuple[int, bool]]:
+_SPILLED = "term string, rec string, part string"
+
+
+def _spill(cells: DataFrame, part, path: str) -> dict[str, tuple[int, bool]]:
     """Writes cells(term, rec) below path, a folder for each value of part; rows of each, and whether it is one term alone."""
     spark = cells.sparkSession
-    cells.select("term", "rec", part.cast("long").alias("part")).write.option("compression", "zstd").partitionBy("part").parquet(f"file://{path}")
-    held = spark.read.schema("term string, rec string, part long").parquet(f"file://{path}")
+    cells.select("term", "rec", part.cast("string").alias("part")).write.option("compression", "zstd").partitionBy("part").parquet(f"file://{path}")
+    held = spark.read.schema(_SPILLED).parquet(f"file://{path}")
     sizes = held.groupBy("part").agg(F.count("*").alias("n"), (F.min("term") == F.max("term")).alias("alone"))
     return {r.part: (r.n, r.alone) for r in sizes.collect()}  # a row for each leaf or partition to split
 
 
 def _leaves(cells: DataFrame, root: str, bits: int, part_rows: int) -> list[tuple[str, bool]]:
-    """Folders of the leaves, and whether a leaf has part of a term's records only."""
+    """Folders of the leaves, and whether a leaf has part of a term's records only. A level splits its partitions in one job."""
     spark, term, rec = cells.sparkSession, F.xxhash64("term"), F.xxhash64("rec", F.lit(7))
     out: list[tuple[str, bool]] = []
-    todo = [(cells, f"{root}/all", 0, 0)]
-    while todo:
-        rows, path, depth, record_bits = todo.pop()
-        n = bits if depth == 0 else MORE_BITS
-        # one term alone: its records' bits go on where the term's end
-        sizes = _spill(rows, _bits(rec, record_bits - MORE_BITS, MORE_BITS) if record_bits else _bits(term, depth, n), path)
-        for k, (count, alone) in sorted(sizes.items()):
-            own = f"{path}/part={k}"
-            if count <= part_rows or record_bits >= 60:
-                out.append((own, record_bits > 0))
-                continue
-            again = spark.read.schema("term string, rec string").parquet(f"file://{own}")
-            by_record = alone or record_bits or depth + n + MORE_BITS > 64
-            todo.append((again, f"{root}/{uuid.uuid4().hex[:12]}", depth + n, record_bits + MORE_BITS if by_record else 0))
-    return out
+    path, level, by_record = f"{root}/0", 0, set()
+    sizes = _spill(cells, _bits(term, 0, bits), path)
+    while True:
+        last = MORE_BITS * (level + 1) > 64
+        big = {k: alone for k, (n, alone) in sizes.items() if n > part_rows and not last}
+        out += [(f"{path}/part={k}", k in by_record) for k in sorted(sizes) if k not in big]
+        if not big:
+            return out
+        # one term alone, or no bits of terms left: split by the records'
+        record = {k for k, alone in big.items() if alone or k in by_record or bits + MORE_BITS * (level + 1) > 64}
+        kinds = F.broadcast(spark.createDataFrame([(k, k in record) for k in big], "part string, by_record boolean"))
+        again = spark.read.schema(_SPILLED).parquet(f"file://{path}").where(F.col("part").isin(list(big))).join(kinds, "part")
+        more = F.when(F.col("by_record"), _bits(rec, MORE_BITS * level, MORE_BITS)).otherwise(_bits(term, bits + MORE_BITS * level, MORE_BITS) if bits + MORE_BITS * (level + 1) <= 64 else F.lit(0).cast("long"))
+        path, level = f"{root}/{level + 1}", level + 1
+        sizes = _spill(again, F.concat_ws("-", "part", more), path)
+        by_record = {k for k in sizes if k.rpartition("-")[0] in record}
 
 
 _COUNTS = pa.schema([("term", pa.string()), ("n_rows", pa.int64()), ("n_records", pa.int64())])
@@ -113,7 +117,7 @@ def term_counts(rows: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFrame,
     scratch = _scratch(spark)
     root = f"{scratch}/p5-radix-{uuid.uuid4().hex[:8]}"
     leaves = _leaves(cells, root, bits, part_rows)
-    spilled = spark.read.schema("term string, rec string, part long").parquet(f"file://{root}/all").select("term", "rec")
+    spilled = spark.read.schema(_SPILLED).parquet(f"file://{root}/0").select("term", "rec")
     if not leaves:
         return spark.createDataFrame([], "term string, n_rows long, n_records long"), spilled
     listed = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(leaves)], "i int, path string")
