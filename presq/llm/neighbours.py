@@ -10,8 +10,11 @@ further trees until the product is at most 1 - confidence. So no vector is sent
 work doesn't grow with the number of cells as a search of all cells in reach would.
 
 The tops of the trees, built on a bounded sample, cut the space into cells that tasks hold whole, at places where few
-sampled vectors lie. Vectors that no number of trees settles (MOST_TREES) search all cells of one tree that their test
-radius touches. Equal vectors are one point with its least ids, so copies never fill a cell.
+sampled vectors lie. Vectors that MOST_TREES don't settle get further trees, to twice that number, while these move fewer
+rows than a search of all cells of one tree that the test radius touches; then they search those cells. That is done in
+portions that move about as many rows as a turn of trees, and a task holds one cell's points and passes those that ask
+in batches, so its memory depends neither on their number nor on the cells they touch. Equal vectors are one point with
+its least ids, so copies never fill a cell.
 
 Defined cases: a vector is usable if it has the given number of elements, all finite and not all zero; others, and
 null ids, take no part; an id counts once, by its least vector; ties go to the smaller id; an empty table gives an
@@ -21,6 +24,8 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,9 @@ AT_ONCE = 4
 #: Trees of each turn; the last number goes on. Between turns, vectors whose test holds leave.
 TREES = (5, 7, 9)
 MOST_TREES = 48
+#: (row, cell) pairs that a search of all cells in reach works out at once, and those that it ships in one batch.
+TOUCH_PAIRS = 2_000_000
+SHIP_PAIRS = 10_000
 #: Rows of cells that a task holds.
 TASK_ROWS = 50_000
 #: Rows that the cells are laid out on: a bound of the sample alone, every row is indexed.
@@ -89,16 +97,28 @@ def _cut(p: np.ndarray) -> tuple[int, float]:
     return best[1], best[2]
 
 
-def layout(points: np.ndarray, cells: int) -> list[tuple]:
-    """Top of the kd-tree as nodes (dimension, value, left, right) or (-1, cell, low corner, high corner)."""
+class Tree(NamedTuple):
+    """Top of a kd-tree: each node's dimension, value and children, or -1, nothing and its cell; corners of each cell."""
+
+    dim: np.ndarray
+    value: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def layout(points: np.ndarray, cells: int) -> Tree:
     nodes: list[tuple] = []
+    corners: list[tuple] = []
 
     def grow(p: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> int:
         at = len(nodes)
         nodes.append(())
         d, value = _cut(p) if n > 1 and len(p) > 1 else (-1, 0.0)
         if d < 0:
-            nodes[at] = (-1, sum(x[:1] == (-1,) for x in nodes), low, high)
+            nodes[at] = (-1, 0.0, len(corners), -1)
+            corners.append((low, high))
             return at
         left = p[:, d] < value
         few = min(n - 1, max(1, round(n * left.mean())))
@@ -109,39 +129,38 @@ def layout(points: np.ndarray, cells: int) -> list[tuple]:
 
     m = points.shape[1]
     grow(points, cells, np.full(m, -np.inf), np.full(m, np.inf))
-    return nodes
+    dim, value, left, right = (np.array(x) for x in zip(*nodes, strict=True))
+    return Tree(dim, value, left, right, np.stack([x[0] for x in corners]), np.stack([x[1] for x in corners]))
 
 
-def _home(nodes: list[tuple], p: np.ndarray) -> np.ndarray:
+def _home(tree: Tree, p: np.ndarray) -> np.ndarray:
     out = np.zeros(len(p), np.int32)
     todo = [(0, np.arange(len(p)))]
     while todo:
         k, rows = todo.pop()
-        node = nodes[k]
-        if node[0] < 0:
-            out[rows] = node[1]
+        if tree.dim[k] < 0:
+            out[rows] = tree.left[k]
         else:
-            left = p[rows, node[0]] < node[1]
-            todo += [(node[2], rows[left]), (node[3], rows[~left])]
+            left = p[rows, tree.dim[k]] < tree.value[k]
+            todo += [(tree.left[k], rows[left]), (tree.right[k], rows[~left])]
     return out
 
 
-def _touched(nodes: list[tuple], p: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _touched(tree: Tree, p: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of every cell within the squared distance reach of a row, by descent."""
     rows, cells = [], []
     todo = [(0, np.arange(len(p)), np.zeros_like(p))]
     while todo:
         k, at, gap = todo.pop()
-        node = nodes[k]
         if not len(at):
             continue
-        if node[0] < 0:
+        d = tree.dim[k]
+        if d < 0:
             rows.append(at)
-            cells.append(np.full(len(at), node[1]))
+            cells.append(np.full(len(at), tree.left[k]))
             continue
-        d, value = node[:2]
-        over = p[at, d] - value
-        for child, beyond in ((node[2], np.maximum(over, 0)), (node[3], np.maximum(-over, 0))):
+        over = p[at, d] - tree.value[k]
+        for child, beyond in ((tree.left[k], np.maximum(over, 0)), (tree.right[k], np.maximum(-over, 0))):
             far = gap.copy()
             far[:, d] = np.maximum(far[:, d], beyond)
             go = (far * far).sum(1) <= reach[at] + 1e-12
@@ -149,6 +168,15 @@ def _touched(nodes: list[tuple], p: np.ndarray, reach: np.ndarray) -> tuple[np.n
     return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cells or [np.zeros(0, int)])
 
 
+def _touches(tree: Tree, p: np.ndarray, reach: np.ndarray):
+    """The pairs of _touched in pieces of SHIP_PAIRS at most; TOUCH_PAIRS, or one row's, are held."""
+    step = max(1, TOUCH_PAIRS // len(tree.low))
+    for lo in range(0, len(p), step):
+        row, cell = _touched(tree, p[lo : lo + step], reach[lo : lo + step])
+        for at in range(0, len(row), SHIP_PAIRS):
+            yield lo + row[at : at + SHIP_PAIRS], cell[at : at + SHIP_PAIRS]
+
+
 def _chi_one(x: np.ndarray) -> np.ndarray:
     """Chi-square distribution function of one degree of freedom at x * x; a rational approximation good to 2e-7."""
     z = x / math.sqrt(2)
@@ -156,12 +184,10 @@ def _chi_one(x: np.ndarray) -> np.ndarray:
     return 1 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * np.exp(-z * z)
 
 
-def log_cut_off(nodes: list[tuple], p: np.ndarray, distance: np.ndarray) -> np.ndarray:
+def log_cut_off(tree: Tree, p: np.ndarray, distance: np.ndarray) -> np.ndarray:
     """Log of the chance that a neighbour at the given true distance lies outside the cell of a projected row."""
-    boxes = {x[1]: x for x in nodes if x[0] == -1}
-    home = _home(nodes, p)
-    low = np.stack([boxes[c][2] for c in range(len(boxes))])[home]
-    high = np.stack([boxes[c][3] for c in range(len(boxes))])[home]
+    home = _home(tree, p)
+    low, high = tree.low[home], tree.high[home]
     d = np.maximum(distance, 1e-9)[:, None]
     inside = (_chi_one(np.minimum((p - low) / d, 40.0)) + _chi_one(np.minimum((high - p) / d, 40.0))) / 2
     return np.log(np.maximum(1 - inside.prod(1), 1e-300))
@@ -300,8 +326,8 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
     sample = _unit(np.frombuffer(b"".join(bytes(r[0]) for r in drawn.collect()), np.float32).reshape(-1, width))
     cells = max(1, min(-(-n // cell_rows), len(sample) // 8))
     top_bound, floor, enough = 2 - 2 * min_similarity, min_similarity - 1e-12, math.log(1 - confidence)
-    matrices = [projection(width, dimensions, SEED + i) for i in range(most_trees)]
-    trees: list[list[tuple]] = []
+    matrices = [projection(width, dimensions, SEED + i) for i in range(2 * most_trees)]
+    trees: list[Tree] = []
 
     def placed(shipped, first: int, last: int):
         """Each point once per tree, in its own cell; those that are open ask, too."""
@@ -354,15 +380,44 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
         """Each open point once for every cell of the first tree that its test radius touches."""
 
         def run(batches):
-            (nodes, *_) = shipped.value
+            (tree, *_) = shipped.value
             for b in batches:
                 bound = b.column(2).to_numpy()
-                row, cell = _touched(nodes, _unit(_matrix(b.column(1), width)) @ matrices[0], factor * bound)
-                pick = pa.array(row)
-                yield _rows(cell, b.column(0).take(pick), b.column(1).take(pick), bound[row], np.full(len(row), ASKS, np.int8))
+                for row, cell in _touches(tree, _unit(_matrix(b.column(1), width)) @ matrices[0], factor * bound):
+                    pick = pa.array(row)
+                    yield _rows(cell, b.column(0).take(pick), b.column(1).take(pick), bound[row], np.full(len(row), ASKS, np.int8))
+
+        return run
+
+    def counted(shipped):
+        """Number of cells in reach, for each batch."""
+
+        def run(batches):
+            (tree, *_) = shipped.value
+            for b in batches:
+                pairs = _touches(tree, _unit(_matrix(b.column(1), width)) @ matrices[0], factor * b.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([sum(len(row) for row, _ in pairs)], pa.int64())], names=["pairs"])
 
         return run
 
+    def looked_up(batches):
+        """Rows sorted by cell, role and rep: a cell's points are held, those that ask pass in batches."""
+        held, at = [], None
+        for b in batches:
+            cell, role = b.column(0).to_numpy(), b.column(4).to_numpy()
+            begin = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (role[1:] != role[:-1])][: len(cell)])
+            for lo, hi in zip(begin, np.r_[begin[1:], len(cell)], strict=False):
+                part = b.slice(lo, hi - lo)
+                if role[lo] == FOUND:
+                    held, at = [*(held if at == cell[lo] else []), part], cell[lo]
+                elif at == cell[lo]:
+                    held = pa.Table.from_batches(held).combine_chunks().to_batches()
+                    (own,) = held
+                    number = pa.concat_arrays([own.column(1), part.column(1)]).dictionary_encode().indices.to_numpy()
+                    best, where = search(_unit(_matrix(own.column(2), width)), number[: len(own)], _unit(_matrix(part.column(2), width)), number[len(own) :], part.column(3).to_numpy(), k, factor, matrices[0], floor)
+                    i, j = np.nonzero(where >= 0)
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(i)), own.column(1).take(pa.array(where[i, j])), pa.array(best[i, j])], names=["rep", "other", "sim"])
+
     def kept(hits: DataFrame) -> DataFrame:
         found = hits.groupBy("rep", "other").agg(F.max("sim").alias("sim"))
         rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc(F.round("sim", 12)), "other"))
@@ -371,26 +426,48 @@ def nearest(vectors: DataFrame, width: int, k: int = 5, min_similarity: float =
     def visit(rows: DataFrame, n_rows: int) -> DataFrame:
         return rows.repartition(partitions_for(spark, n_rows, TASK_ROWS), "cell").mapInArrow(searched, _HIT_SCHEMA)
 
-    open_, n_open, best, turn = points.select("rep", F.lit(float(top_bound)).alias("bound")), n, None, 0
+    def pairs_of(open_: DataFrame, n_open: int, shipped) -> int:
+        """Cells that open points touch, all together; estimated where they are many."""
+        some = open_.where(F.pmod(F.xxhash64("rep"), F.lit(n_open)) < LAYOUT_ROWS) if n_open > LAYOUT_ROWS else open_
+        (r,) = points.join(some, "rep").select("rep", "vec", "bound").mapInArrow(counted(shipped), "pairs long").agg(F.sum("pairs").alias("pairs")).collect()
+        return max(1, int((r.pairs or 0) * max(1.0, n_open / LAYOUT_ROWS)))
+
+    def reached(open_: DataFrame, pairs: int, shipped) -> list[DataFrame]:
+        """What open points find in every cell in reach of one tree, as a table for each portion of them."""
+        portions, out = -(-pairs // (n * TREES[-1])), []
+        for i in range(portions):
+            own = open_.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(portions)) == i) if portions > 1 else open_
+            rows = points.select("rep", "vec", F.lit(None).cast("double").alias("bound")).mapInArrow(placed(shipped, 0, 1), _CELL_SCHEMA)
+            rows = rows.union(points.join(own, "rep").select("rep", "vec", "bound").mapInArrow(spread(shipped), _CELL_SCHEMA))
+            rows = rows.repartition(partitions_for(spark, n + pairs // portions, TASK_ROWS), "cell").sortWithinPartitions("cell", "role", "rep")
+            out.append(materialize(kept(rows.mapInArrow(looked_up, _HIT_SCHEMA)), "p3-reached"))
+        return out
+
+    open_, n_open, best, turn, shipped, extra = points.select("rep", F.lit(float(top_bound)).alias("bound")), n, None, 0, None, 0
     while n_open:
-        first = len(trees)
-        last = min(most_trees, first + TREES[min(turn, len(TREES) - 1)]) if cells > 1 else 1
-        over = first == last
-        if not over:
-            trees += [layout(sample @ matrices[t], cells) for t in range(first, last)]
+        first, pairs = len(trees), 0
+        if first >= most_trees:
+            pairs = pairs_of(open_, n_open, shipped)
+        over = first >= 2 * most_trees or 0 < pairs <= n * TREES[-1] + extra
+        if over:
+            # further trees cost more than every cell in reach of one tree
+            found = reached(open_, pairs, shipped)
+            best = materialize(kept(reduce(DataFrame.union, found, best)), "p3-best")
+            if report is not None:
+                report.append({"cells": cells, "asked": n_open, "trees": 0, "pairs": pairs, "portions": len(found)})
+            break
+        last = min(most_trees * (1 + (first >= most_trees)), first + TREES[min(turn, len(TREES) - 1)]) if cells > 1 else 1
+        extra += n * (last - first) if pairs else 0
+        trees += [layout(sample @ matrices[t], cells) for t in range(first, last)]
+        if shipped is not None:
+            shipped.unpersist()
         shipped = spark.sparkContext.broadcast(trees)
         asked = points.join(open_, "rep", "left").select("rep", "vec", "bound")
-        if over:
-            # no number of trees settles them: every cell in reach of one tree
-            rows = points.select("rep", "vec", F.lit(None).cast("double").alias("bound")).mapInArrow(placed(shipped, 0, 1), _CELL_SCHEMA)
-            rows = rows.union(asked.where(F.col("bound").isNotNull()).mapInArrow(spread(shipped), _CELL_SCHEMA))
-            new = visit(rows, 2 * n)
-        else:
-            new = visit(asked.mapInArrow(placed(shipped, first, last), _CELL_SCHEMA), n * (last - first))
+        new = visit(asked.mapInArrow(placed(shipped, first, last), _CELL_SCHEMA), n * (last - first))
         best = materialize(kept(new if best is None else new.union(best)), "p3-best")
         if report is not None:
             report.append({"cells": cells, "asked": n_open, "trees": last - first})
-        if cells == 1 or over:
+        if cells == 1:
             break
         bounds = best.groupBy("rep").agg(F.count("*").alias("c"), F.min("sim").alias("worst")).where(F.col("c") == k)
         bounds = bounds.select("rep", F.greatest(F.lit(0.0), F.least(F.lit(float(top_bound)), 2 - 2 * F.col("worst"))).alias("now"))

@@ -224,3 +224,58 @@ def test_nearest(spark, cell_rows, trees):
         hits, total = hits + len(want & got.get(ids[i], set())), total + len(want)
     assert hits >= 0.99 * total
     assert nearest(df.limit(0), 16).count() == 0
+
+
+def brute_nearest(v, k, least):
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    sim = np.round(x @ x.T, 12)
+    np.fill_diagonal(sim, -9)
+    return {(i, int(j)) for i in range(len(v)) for j in np.lexsort((np.arange(len(v)), -sim[i]))[:k] if sim[i, j] >= least}
+
+
+def test_all_cells_in_reach_take_bounded_memory(spark, monkeypatch):
+    """Vectors that trees don't settle: no batch holds all the cells of many vectors, and no task all that ask in a cell."""
+    import presq.llm.neighbours as near
+
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:03}", x.tolist()) for i, x in enumerate(v)], "id string, vec array<float>")
+    # the step that works out the cells in reach is caught, to be run on one large batch here
+    caught, real = [], type(df).mapInArrow
+
+    def watch(self, func, schema, *rest):
+        if schema == near._CELL_SCHEMA and self.columns == ["rep", "vec", "bound"]:
+            caught.append(func)
+        return real(self, func, schema, *rest)
+
+    monkeypatch.setattr(type(df), "mapInArrow", watch)
+    monkeypatch.setattr(near, "TREES", (1, 1, 1))
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, "50")
+    report = []
+    try:
+        got = {(int(r.id), int(r.other)) for r in near.nearest(df, 8, 5, 0.2, cell_rows=20, most_trees=1, report=report).collect()}
+    finally:
+        spark.conf.unset(conf)
+    want = brute_nearest(v, 5, 0.2)
+    assert len(got & want) >= 0.995 * len(want) and len(got) == len(want)
+    many = 20_000
+    batch = near.pa.RecordBatch.from_arrays([near.pa.array([f"{i:05}" for i in range(many)]), near.pa.array([v[i % 600].tobytes() for i in range(many)], near.pa.binary()), near.pa.array([0.5] * many)], names=["rep", "vec", "bound"])
+    sizes = [[x.num_rows for x in func(iter([batch])) if x["role"][0].as_py() == near.ASKS] for func in caught]
+    sizes = max(sizes, key=sum)
+    assert sum(sizes) > 10 * many and max(sizes) <= many
+    assert report[-1]["trees"] == 0 and report[-1]["portions"] > 1
+
+
+def test_trees_go_on_while_they_cost_less(spark, monkeypatch):
+    import presq.llm.neighbours as near
+
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:03}", x.tolist()) for i, x in enumerate(v)], "id string, vec array<float>")
+    monkeypatch.setattr(near, "TREES", (1, 1, 1))
+    report = []
+    got = {(int(r.id), int(r.other)) for r in near.nearest(df, 8, 5, 0.2, cell_rows=20, most_trees=3, report=report).collect()}
+    want = brute_nearest(v, 5, 0.2)
+    assert len(got & want) >= 0.995 * len(want)
+    assert 3 < sum(r["trees"] for r in report) <= 6
