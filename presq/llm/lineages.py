@@ -43,6 +43,8 @@ STEPS = 4
 MOST_STEPS = 12
 #: A value is at rest when a step moves it by no more than this.
 REST = 1e-4
+#: Values of the walk are whole multiples of 1 / FIXED; twice the sum of a record's weights fits into 32 bits.
+FIXED = 1 << 30
 #: Places of the embedding are told apart on this grid; k-means joins those within RADIUS of a centre.
 GRID = 5e-3
 RADIUS = 5e-2
@@ -63,8 +65,10 @@ def affinities(units: DataFrame, n: int, threshold: Fraction, hubs: int = HUBS,
     one cluster share hubs. Shared tokens count by their rarity.
     """
     cell = units.select("num", F.explode("tokens").alias("t"))
-    place = F.struct(F.xxhash64(F.lit(seed), "num").alias("h"), "num")
-    picked = [F.min(place)["num"], F.max(place)["num"]][:ends]
+    # numbers are hashes, so their order after flipping some bits is random, and the number can be read back from its place
+    flip = F.xxhash64(F.lit(seed))
+    place = F.col("num").bitwiseXOR(flip)
+    picked = [F.min(place).bitwiseXOR(flip), F.max(place).bitwiseXOR(flip)][:ends]
     hub = cell.groupBy("t").agg(F.count("*").alias("c"), F.array_distinct(F.array(*picked)).alias("hubs")).where("c > 1")
     hub = hub.select("t", (1 - F.col("c") / F.lit(float(n + 1))).alias("rarity"), F.explode("hubs").alias("hub"))
     shared = cell.join(hub, "t").where("num <> hub").groupBy("num", "hub").agg(F.round(F.sum("rarity"), 6).alias("s"))
@@ -78,34 +82,49 @@ def affinities(units: DataFrame, n: int, threshold: Fraction, hubs: int = HUBS,
     return out
 
 
+def _packed(values: list) -> list:
+    """Columns of values from 0 to 1, two in a whole number, so that sums of weighted values stay apart."""
+    fixed = [F.round(x * FIXED).cast("long") for x in values] + [F.lit(0).cast("long")] * (len(values) % 2)
+    return [F.shiftleft(fixed[i], 32) + fixed[i + 1] for i in range(0, len(fixed), 2)]
+
+
+def _unpacked(columns: list, n: int) -> list:
+    halves = [x for c in columns for x in (F.shiftright(c, 32), c.bitwiseAND(F.lit((1 << 32) - 1)))]
+    return [x / F.lit(float(FIXED)) for x in halves[:n]]
+
+
 def power_vectors(links: DataFrame, vectors: int = VECTORS, seed: int = SEED) -> DataFrame:
     """(num, v, d) of every linked record: the embedding, and the sum of its affinities.
 
-    Each step replaces a record's values by their affinity-weighted mean over its links, and a share of its own.
+    Each step replaces a record's values by their affinity-weighted mean over its links, and a share of its own. Values
+    are moved in pairs, see _packed; as the weights of a record add up to 1, no sum leaves its half.
     """
-    names = [f"v{i}" for i in range(vectors)]
+    pairs = [f"p{i}" for i in range(-(-vectors // 2))]
     both = links.select("a", "b", "w").union(links.select("b", "a", "w")).distinct()
     degree = materialize(both.groupBy("a").agg(F.sum("w").alias("d")), "p4-degree")
     step = both.join(degree, "a").select("a", "b", (F.col("w") / F.col("d") * (1 - LAZY)).alias("w"))
     matrix = materialize(step.union(degree.select("a", F.col("a").alias("b"), F.lit(LAZY).alias("w"))), "p4-matrix")
-    start = [(F.pmod(F.xxhash64("a", F.lit(seed + i)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(x) for i, x in enumerate(names)]
-    state, taken, before = degree.select(F.col("a").alias("num"), *start), 0, None
+    start = [(F.pmod(F.xxhash64("a", F.lit(seed + i)), F.lit(1 << 20)) / F.lit(float(1 << 20))) for i in range(vectors)]
+    state, taken, before = degree.select(F.col("a").alias("num"), *[c.alias(x) for c, x in zip(_packed(start), pairs, strict=True)]), 0, None
     while taken < MOST_STEPS:
         for k in range(STEPS):
             met = matrix.join(state.withColumnRenamed("num", "b"), "b")
-            sums = [F.sum(F.col("w") * F.col(x)).alias(x) for x in names]
+            weighted = _packed([F.col("w") * x for x in _unpacked([F.col(x) for x in pairs], vectors)])
+            sums = [F.sum(c).alias(x) for c, x in zip(weighted, pairs, strict=True)]
             # in the last step the record's own row tells how far it moves
-            old = [F.max(F.when(F.col("a") == F.col("b"), F.col(x))).alias(f"o{x}") for x in names if k == STEPS - 1]
+            old = [F.max(F.when(F.col("a") == F.col("b"), F.col(x))).alias(f"o{x}") for x in pairs if k == STEPS - 1]
             state = met.groupBy(F.col("a").alias("num")).agg(*sums, *old)
-        change = F.greatest(*[F.abs(F.col(x) - F.col(f"o{x}")) for x in names])
-        state = materialize(state.select("num", *names, change.alias("change")), "p4-vectors")
+        now, then = (_unpacked([F.col(f"{o}{x}") for x in pairs], vectors) for o in ("", "o"))
+        change = F.greatest(*[F.abs(x - y) for x, y in zip(now, then, strict=True)])
+        state = materialize(state.select("num", *pairs, change.alias("change")), "p4-vectors")
         taken += STEPS
         restless = state.where(F.col("change") > REST).count()
         if restless == 0 or restless == before:
             break
         before = restless
-        state = state.select("num", *names)
-    return state.join(degree.withColumnRenamed("a", "num"), "num").select("num", F.array(*names).alias("v"), "d")
+        state = state.select("num", *pairs)
+    values = F.array(*_unpacked([F.col(x) for x in pairs], vectors))
+    return state.join(degree.withColumnRenamed("a", "num"), "num").select("num", values.alias("v"), "d")
 
 
 def _centres(points: np.ndarray, weight: np.ndarray, radius: float) -> np.ndarray:
@@ -163,9 +182,10 @@ def verified(units: DataFrame, embedding: DataFrame, grouped: DataFrame, thresho
     """(num, parent): the members of each group that reach the threshold to its most central member, the parent."""
     central = grouped.join(embedding.select("num", "d"), "num").groupBy("grp").agg(F.max(F.struct("d", "num")).alias("m"), F.count("*").alias("c"))
     central = central.where("c > 1").select("grp", F.col("m.num").alias("parent"))
-    sets = central.join(units.select(F.col("num").alias("parent"), F.col("tokens").alias("tp")), "parent")
-    met = grouped.join(units.select("num", "tokens"), "num").join(sets, "grp")
-    return materialize(met.where(F.col("num") != F.col("parent")).where(reaches("tokens", "tp", threshold)).select("num", "parent"), "p4-verified")
+    # the pairs first, by number, so that both sides read one exchange of the sets
+    pairs = materialize(grouped.join(central, "grp").where(F.col("num") != F.col("parent")).select("num", "parent"), "p4-pairs")
+    met = pairs.join(units.select("num", "tokens"), "num").join(units.select(F.col("num").alias("parent"), F.col("tokens").alias("tp")), "parent")
+    return materialize(met.where(reaches("tokens", "tp", threshold)).select("num", "parent"), "p4-verified")
 
 
 def internal_affinity(labelled: DataFrame, points: DataFrame, members: DataFrame) -> DataFrame:

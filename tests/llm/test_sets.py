@@ -235,3 +235,19 @@ def test_terms_of_nothing(spark):
     df = spark.createDataFrame([], "term string, rec string")
     (r,) = marked_terms(df, spark.createDataFrame([("a",)], "term string")).collect()
     assert (r.n_rows, r.n_records, r.mark) == (0, 0, "rare")
+
+
+def test_bytes_that_the_walk_moves(spark):
+    from pyspark.sql import functions as F
+
+    from presq.llm.lineages import power_vectors
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    links = spark.range(20_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(5), F.floor(F.col("id") / 40)).alias("b"), F.lit(0.5).alias("w"))
+    before = written()
+    assert len(power_vectors(links).collect()) == 20_500
+    assert written() - before < 11_000_000
