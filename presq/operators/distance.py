@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presq.functions.bits import MAX_WORDS, differing, n_words, pack
+from presq.operators.wide import near_pairs
 
 METRICS = ("hamming", "jaccard", "absolute", "euclidean", "hamming_fraction")
 #: Most rows of a block of the all-pairs plan, and tasks that a plan of few rows is spread over for each core.
@@ -18,11 +19,15 @@ TASKS_A_CORE = 2
 OWN_CELLS = 200_000
 
 
-def _blocks(frame, n: int) -> int:
-    """Blocks so that rows fit in one, and so that pairs of blocks keep all cores busy: half a pair for two blocks."""
+def _busy(frame, n: int) -> int:
+    """Blocks so that pairs of blocks keep all cores busy: half a pair for two blocks."""
     cores = frame.spark.sparkContext.defaultParallelism
-    busy = int((2 * TASKS_A_CORE * cores) ** 0.5) + 1 if n > 200 else 1
-    return max(busy, -(-n // BLOCK_ROWS))
+    return int((2 * TASKS_A_CORE * cores) ** 0.5) + 1 if n > 200 else 1
+
+
+def _blocks(frame, n: int) -> int:
+    """Blocks so that rows fit in one, and so that pairs of blocks keep all cores busy."""
+    return max(_busy(frame, n), -(-n // BLOCK_ROWS))
 
 
 def block_pairs(rows: DataFrame, blocks: int, band: str | None = None) -> DataFrame:
@@ -154,30 +159,13 @@ def pairs_within(frame, n: int) -> DataFrame:
         raise ValueError("the distance isn't negative")
     words = n_words(frame.width())
     if words > MAX_WORDS:
-        return _sparse_within(frame, n)
+        return near_pairs(frame, n, _busy(frame, frame.n_guids()))
     rows = pack(frame.indexed(), frame.labels, words).withColumn("mass", _masses(words))
     rows = rows.withColumn("band", F.floor(F.col("mass") / (n + 1)).cast("int"))
     pairs = block_pairs(rows, _blocks(frame, frame.n_guids()), "band").where(F.abs(F.col("x.mass") - F.col("y.mass")) <= n)
     return pairs.select(*_ordered("guid", "guid", "guid"), differing("x", "y", words).alias("distance")).where(F.col("distance") <= n)
 
 
-def _sparse_within(frame, n: int) -> DataFrame:
-    """As pairs_within for wide matrices: alleles in common are counted only for pairs whose masses are near; pairs
-    without one are within n only if their masses add up to n at most."""
-    g = frame.guids
-    cell = frame.presence.join(g, "guid").select("row_idx", "guid", "mass", "allele")
-    near = (F.col("x.row_idx") < F.col("y.row_idx")) & (F.abs(F.col("x.mass") - F.col("y.mass")) <= n)
-    names = [F.col("x.guid").alias("guid_a"), F.col("y.guid").alias("guid_b"), F.col("x.mass").alias("mass_a"), F.col("y.mass").alias("mass_b")]
-    shared = cell.alias("x").join(cell.alias("y"), (F.col("x.allele") == F.col("y.allele")) & near).select(*names)
-    shared = shared.groupBy("guid_a", "guid_b", "mass_a", "mass_b").agg(F.count("*").alias("c"))
-    light = g.where(F.col("mass") <= n)
-    apart = block_pairs(light, max(1, -(-frame.n_guids() // BLOCK_ROWS))).where(F.col("x.mass") + F.col("y.mass") <= n)
-    apart = apart.select(*_ordered("guid", "guid", "guid"), *_ordered("mass", "mass", "mass"), F.lit(0).cast("long").alias("c"))
-    both = shared.union(apart).groupBy("guid_a", "guid_b", "mass_a", "mass_b").agg(F.max("c").alias("c"))
-    distance = (F.col("mass_a") + F.col("mass_b") - 2 * F.col("c")).cast("int")
-    return both.select("guid_a", "guid_b", distance.alias("distance")).where(F.col("distance") <= n)
-
-
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """(matches, mismatches) between two maps (guid, distance); a guid that one side lacks is a mismatch."""
     both = a.select("guid", F.col("distance").alias("da")).join(b.select("guid", F.col("distance").alias("db")), "guid", "full")

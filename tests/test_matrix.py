@@ -213,3 +213,66 @@ def test_labels_and_slices(frame):
     assert {r.allele for r in frame.match_allele_names("(?P<x>SNP)1$").collect()} == {"SNP1"}
     with pytest.raises(ValueError):
         frame.match_allele_names("SNP[")
+
+
+def _wide(spark, n=60, m=3300, width=4000):
+    """Two alleles that nearly all rows carry, families of near sets, light and empty rows, copies; the table of alleles
+    lacks one that is carried."""
+    rng = np.random.default_rng(5)
+    x = np.zeros((n, m), np.uint8)
+    for i in range(n):
+        x[i, rng.choice(np.arange(10 + 40 * (i % 4), 50 + 40 * (i % 4)), 20, replace=False)] = 1
+        x[i, rng.choice(np.arange(200, m), 8, replace=False)] = 1
+    x[5:, :2] = 1
+    x[50:54], x[54, :], x[55, :] = 0, x[1], x[2]
+    x[51, 3], x[52, :2] = 1, 1
+    cells = [(f"g{i:02}", f"a{j}") for i, j in zip(*np.nonzero(x), strict=True)]
+    f = AlleleFrame(
+        spark.createDataFrame(cells, "guid string, allele string"),
+        spark.createDataFrame([(7 * (n - i), f"g{i:02}") for i in range(n)], "row_idx int, guid string"),
+        spark.createDataFrame([(j, f"a{j}") for j in range(1, width)], "col_idx int, allele string"),
+    )
+    return x.astype(int), f
+
+
+def _shuffled_joins(df):
+    """Joins by shuffle or nested loop in df's plan, without those of the tables that were made for it."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Join" in line and "BroadcastHashJoin" not in line]
+
+
+def test_wide_pairs_within_meet_in_blocks(spark, monkeypatch):
+    from presq.operators import wide
+
+    monkeypatch.setattr(wide, "NEAR_ROWS", 7)
+    x, f = _wide(spark)
+    every = {(f"g{j:02}", f"g{i:02}"): int((x[i] != x[j]).sum()) for i in range(len(x)) for j in range(i + 1, len(x))}
+    for n in (0, 3, 30, 40):
+        near = f.pairs_within(n)
+        rows = near.collect()
+        assert {(r.guid_a, r.guid_b): r.distance for r in rows} == {k: d for k, d in every.items() if d <= n}
+        assert len(rows) == len({(r.guid_a, r.guid_b) for r in rows})
+    assert not _shuffled_joins(f.pairs_within(40))
+
+
+@pytest.mark.parametrize("hot", [0, 3, 70])
+def test_blocks_count_alleles_in_common(monkeypatch, hot):
+    import pyarrow as pa
+
+    from presq.operators import wide
+
+    monkeypatch.setattr(wide, "CHUNK", 30)
+    monkeypatch.setattr(wide, "CHUNK_COMMON", 50)
+    rng = np.random.default_rng(hot)
+    x = (rng.random((23, 90)) < rng.random((23, 1))).astype(int)
+    x[4] = 0
+
+    def side(rows):
+        cells = [np.flatnonzero(x[i])[::-1].tolist() for i in rows]
+        t = {"_rank": list(rows), "row_idx": list(rows), "guid": [f"g{i}" for i in rows], "mass": x[list(rows)].sum(1).tolist(), "cells": cells}
+        return wide._Side(pa.table(t, pa.schema([("_rank", pa.int32()), ("row_idx", pa.int32()), ("guid", pa.string()), ("mass", pa.int32()), ("cells", pa.list_(pa.int32()))])), np.arange(10, 10 + hot, dtype=np.int32))
+
+    met = list(wide._chunks(side(range(12)), side(range(12, 23))))
+    assert len(met) > 4
+    assert [(a, e) for a, e, _ in met] == list(zip([0, *(e for _, e, _ in met[:-1])], [e for _, e, _ in met], strict=True))
+    assert (np.concatenate([c for _, _, c in met]) == x[:12] @ x[12:].T).all()
