@@ -276,3 +276,17 @@ def test_blocks_count_alleles_in_common(monkeypatch, hot):
     assert len(met) > 4
     assert [(a, e) for a, e, _ in met] == list(zip([0, *(e for _, e, _ in met[:-1])], [e for _, e, _ in met], strict=True))
     assert (np.concatenate([c for _, _, c in met]) == x[:12] @ x[12:].T).all()
+
+
+def test_wide_pairs_meet_in_blocks(spark, monkeypatch):
+    from presq.operators import wide
+
+    monkeypatch.setattr(wide, "BLOCK_ROWS", 7)
+    x, f = _wide(spark)
+    got = distance.pairwise(f)
+    rows = got.collect()
+    assert len(rows) == 60 * 59 // 2
+    assert {(r.guid_a, r.guid_b): r.distance for r in rows} == {(f"g{j:02}", f"g{i:02}"): int((x[i] != x[j]).sum()) for i in range(60) for j in range(i + 1, 60)}
+    assert not _shuffled_joins(got)
+    some = distance.pairwise(f, guids=["g07", "g03", "g54"]).collect()
+    assert {(r.guid_a, r.guid_b): r.distance for r in some} == {(a, b): int((x[int(a[1:])] != x[int(b[1:])]).sum()) for a, b in (("g07", "g03"), ("g54", "g07"), ("g54", "g03"))}
