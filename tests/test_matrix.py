@@ -290,3 +290,21 @@ def test_wide_pairs_meet_in_blocks(spark, monkeypatch):
     assert not _shuffled_joins(got)
     some = distance.pairwise(f, guids=["g07", "g03", "g54"]).collect()
     assert {(r.guid_a, r.guid_b): r.distance for r in some} == {(a, b): int((x[int(a[1:])] != x[int(b[1:])]).sum()) for a, b in (("g07", "g03"), ("g54", "g07"), ("g54", "g03"))}
+
+
+def test_wide_jaccard_meets_in_blocks(spark, monkeypatch):
+    from presq.operators import wide
+
+    monkeypatch.setattr(wide, "BLOCK_ROWS", 11)
+    x, f = _wide(spark)
+    got = distance.pairwise(f, "jaccard")
+    want = {}
+    for i in range(60):
+        for j in range(i + 1, 60):
+            union = int((x[i] | x[j]).sum())
+            want[f"g{j:02}", f"g{i:02}"] = 1 - int((x[i] & x[j]).sum()) / union if union else 0.0
+    rows = got.collect()
+    assert len(rows) == len(want)
+    assert {(r.guid_a, r.guid_b): r.distance for r in rows} == want
+    assert want["g53", "g50"] == 0.0
+    assert not _shuffled_joins(got)
